@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are maximal runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,7 +32,11 @@ def save(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and lets later joins see sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark.conf.set(_CLEAN, "true")  # the shuffle files of this write go when it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexweave_path = path
     return out
