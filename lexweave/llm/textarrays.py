@@ -110,13 +110,27 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Texts]:
         at = to
 
 
-def words_of(t: Texts, lower: bool = False) -> Words:
+#: Every ASCII character that is neither a letter nor a digit.
+IS_BREAK = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def prefix_hashes(t: Texts, w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash of its first ``size`` bytes, lower-cased) of each word longer than that."""
+    at = np.flatnonzero(w.end - w.start > size)
+    key = np.zeros(len(at), U64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            key = key * U64(_BASE) + _SALT[LOWER[t.data[w.start[at] + k]]]
+    return at, mix(key)
+
+
+def words_of(t: Texts, lower: bool = False, breaks: np.ndarray = IS_SPACE) -> Words:
     data, offsets = t.data, t.offsets
     n = len(data)
     if lower:
         data = LOWER[data]
     inside = np.ones(n + 1, bool)
-    inside[:n] = ~IS_SPACE[data]
+    inside[:n] = ~breaks[data]
     inside[n] = False
     opens = inside[:n].copy()
     opens[1:] &= ~inside[: n - 1]

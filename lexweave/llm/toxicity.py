@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are presences of words, neighbouring pairs and pairs with one word
-between.  Each coordinate has its own learning rate and an L1 penalty, so most
+between; a word, here a run of letters and digits, is also known by its stems,
+its first bytes, so that inflected forms share weights.  Each coordinate has its own learning rate and an L1 penalty, so most
 weights are exactly zero; what is broadcast is the list of the others, at most
 2**bits numbers whatever the input's size.
 """
@@ -21,11 +22,16 @@ from .features import collect_rows, distinct_rows, labelled, pairs_of
 
 BITS = 20
 BIAS = 1 << BITS
+#: Bytes of a word that make its stems.
+STEMS = (4, 5, 6)
 
 
 def features_of(t: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
-    w = ta.words_of(t, lower=True)
+    w = ta.words_of(t, lower=True, breaks=ta.IS_BREAK)
     each = [pairs_of(w, gap, gap + 1, BITS) for gap in (0, 1, 2)]
+    for size in STEMS:
+        at, h = ta.prefix_hashes(t, w, size)
+        each.append((w.doc[at], (ta.mix(h + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)))
     return np.concatenate([d for d, _ in each]), np.concatenate([f for _, f in each])
 
 
