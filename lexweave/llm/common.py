@@ -51,6 +51,11 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def only_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids``.  The ids are counted first: up to ``most`` (8 bytes each) are broadcast, so that wide rows stay where they are; more are joined by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text modulo ``divisor``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % divisor, F.lit(-1))

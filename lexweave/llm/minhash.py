@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import components, forget, save
+from .common import components, forget, only_ids, save
 
 U64 = np.uint64
 
@@ -158,11 +158,8 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     ranked = save(members.join(degree, "rep").select("bucket", "rep", F.struct(-F.col("degree"), "rep").alias("rank")))
     heads = save(ranked.groupBy("bucket").agg(F.min("rank")["rep"].alias("centre")))
     edges = save(ranked.join(heads, "bucket").filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
-    sets = save(
-        docs.join(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct(), "doc_id", "left_semi")
-        .join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(_sets(size), "doc_id long, size long, shingles binary")
-    )
+    ends = save(edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct())
+    sets = save(only_ids(docs, ends, "doc_id").mapInArrow(_sets(size), "doc_id long, size long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), F.col("size").alias("ny")), "b")
@@ -172,8 +169,8 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
 
     links = save(confirmed(edges))
     linked = save(components(links))
-    forget(members, heads, edges)
-    done, common = 1, None
+    forget(members, heads)
+    done, common, tested = 1, None, edges
     while True:
         # Buckets with more than one component whose members may still be linked.
         now = ranked.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -194,10 +191,12 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
                 full = save(full.join(save(frame), "bucket").filter("least <= cap and most >= size").select("bucket", "rep", "rank", "component", "size", "cap"))
             full = full.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rank")))
             ranked = save(full.select("bucket", "rep", "size", "cap", "place"))
+            sets = save(sets.join(common.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
             continue
         heads = now.filter(F.col("place").between(done, done + centres - 1)).select("bucket", F.col("rep").alias("a"), F.col("place").alias("at"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("cap").alias("pa"))
         pairs = now.join(save(heads), "bucket").filter("place > at and component <> ca and size <= pa and sa <= cap")
-        pairs = save(pairs.select("a", F.col("rep").alias("b")).filter("a <> b").distinct())
+        pairs = save(pairs.select("a", F.col("rep").alias("b")).filter("a <> b").distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
         new = save(confirmed(pairs))
         if new.head(1):
             links = save(links.union(new))
