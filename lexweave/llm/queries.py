@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .language import identify_language
 from .minhash import near_duplicates
+from .mixing import mix_report
 from .quality import judge_quality
+from .sharding import shard_documents
 from .substring import remove_repeats
 from .toxicity import score_toxicity
 
@@ -45,3 +47,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_op
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=13, texts=False)
+
+
+@_op
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@_op
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))

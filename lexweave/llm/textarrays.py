@@ -13,6 +13,7 @@ They depend on the bytes alone, never on the process or the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system, not to a pool of each idle worker
+try:
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: so do freed arrays of a MB and more
+except (OSError, AttributeError):  # not glibc
+    pass
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SALT = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -28,7 +34,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Bytes of text handled at once; bounds the working memory of a task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
