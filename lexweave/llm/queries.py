@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
+from .html import extract_text
 from .language import identify_language
 from .minhash import near_duplicates
 from .mixing import mix_report
@@ -57,3 +59,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_op
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+@_op
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_op
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
