@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contaminated
 from .html import extract_text
+from .katz import score_texts
 from .language import identify_language
 from .minhash import near_duplicates
 from .mixing import mix_report
@@ -69,3 +70,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_op
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@_op
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
