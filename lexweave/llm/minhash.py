@@ -12,6 +12,8 @@ The proof is exact: of text u, with ``size`` shingles of which ``common`` occur
 in another text that still has an open bucket, overlap with v is at most
 min(common(u), common(v)), hence a link at threshold t needs
 ``size(v) <= common(u) * (1 + 1 / t) - size(u)`` and the same with u and v swapped.
+Pairs beyond the first star must also agree in a one-bit sketch of the signature
+up to six standard deviations.
 """
 
 from __future__ import annotations
@@ -55,8 +57,8 @@ def shingle_sets(t: ta.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], np.searchsorted(doc[keep], np.arange(len(t) + 1))
 
 
-def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One row of ``bands`` bucket keys for each non-empty set."""
+def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty set, a row of ``bands`` bucket keys and a sketch with one bit per bin (64 bands make ``rows`` words)."""
     bins, full = bands * rows, np.flatnonzero(np.diff(bounds))
     n = len(full)
     sig = np.full(n * bins, ~U64(0))
@@ -75,8 +77,18 @@ def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.nd
         hit = filled[source]
         sig[open_[hit]] = sig[source[hit]]
         open_ = open_[~hit]
+    one = (ta.mix(sig ^ ta.mix(np.tile(np.arange(bins, dtype=U64), n))) >> U64(63)).astype(np.uint8)
+    sketch = np.packbits(one.reshape(n, bins), axis=1).reshape(n, -1)
+    sketch = np.pad(sketch, ((0, 0), (0, -sketch.shape[1] % 8))).view(np.int64)
     sig = sig.reshape(n, bands, rows)
-    return ta.combine(np.broadcast_to(np.arange(bands, dtype=U64), (n, bands)).reshape(-1), *(sig[:, :, k].reshape(-1) for k in range(rows))).reshape(n, bands)
+    keys = ta.combine(np.broadcast_to(np.arange(bands, dtype=U64), (n, bands)).reshape(-1), *(sig[:, :, k].reshape(-1) for k in range(rows))).reshape(n, bands)
+    return keys, sketch
+
+
+def most_differing(bits: int, threshold: float) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most, but for six standard deviations (with a third more for refilled bins)."""
+    e = (1 - threshold) / 2
+    return int(bits * e + 6 * 4 / 3 * math.sqrt(bits * e * (1 - e)))
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -89,7 +101,7 @@ def _signer(size: int, bands: int, rows: int):
                 two = [np.add.reduceat(ta.mix(h ^ U64(salt)), bounds[:-1][full]) if full.any() else np.zeros(0, U64) for salt in (0, 0x5851F42D4C957F2D)]
                 cls = np.full((len(t), 2), 0, U64)
                 cls[full] = np.stack(two, 1) if full.any() else cls[full]
-                keys = band_keys(h, bounds, bands, rows)
+                keys, sketch = band_keys(h, bounds, bands, rows)
                 offsets = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -97,8 +109,9 @@ def _signer(size: int, bands: int, rows: int):
                         pa.array(n.astype(np.int64)),
                         ta.binaries(cls.reshape(-1), np.arange(len(t) + 1) * 2),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(offsets // bands * sketch.shape[1]), pa.array(sketch.reshape(-1))),
                     ],
-                    ["doc_id", "n_shingles", "cls", "bands"],
+                    ["doc_id", "n_shingles", "cls", "bands", "sketch"],
                 )
 
     return sign
@@ -145,9 +158,9 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     """
     bands, rows = plan(percent / 100, bands)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = save(docs.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, cls binary, bands array<long>"))
+    signed = save(docs.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, cls binary, bands array<long>, sketch array<long>"))
     some = signed.filter("n_shingles > 0 and doc_id is not null")
-    reps = save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    reps = save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("sign")).select("cls", "rep", "sign.*"))
     rows_ = reps.select("rep", F.explode("bands").alias("bucket"))
     shared = save(rows_.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"))
     members = save(rows_.join(shared, "bucket").select("bucket", "rep", "members"))
@@ -171,6 +184,10 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     linked = save(components(links))
     forget(members, heads)
     done, common, tested = 1, None, edges
+    sketches = reps.select(F.col("rep").alias("doc_id"), "sketch")
+    words = -(-bands * rows // 64)
+    differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("ka", F.lit(k)))) for k in range(words)), F.lit(0))
+    most = most_differing(bands * rows, percent / 100)
     while True:
         # Buckets with more than one component whose members may still be linked.
         now = ranked.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -183,18 +200,18 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
                 once = sets.join(unsure, "doc_id", "left_semi").mapInArrow(_exploded, "doc_id long, shingle long")
                 alone = once.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
                 common = save(
-                    sets.select("doc_id", "size").join(unsure, "doc_id", "left_semi").join(alone, "doc_id", "left")
-                    .select(F.col("doc_id").alias("rep"), "size", ((F.col("size") - F.coalesce("alone", F.lit(0))) * (1 + 100 / percent) - F.col("size") + 1e-6).alias("cap"))
+                    sets.select("doc_id", "size").join(unsure, "doc_id", "left_semi").join(alone, "doc_id", "left").join(sketches, "doc_id")
+                    .select("sketch", F.col("doc_id").alias("rep"), "size", ((F.col("size") - F.coalesce("alone", F.lit(0))) * (1 + 100 / percent) - F.col("size") + 1e-6).alias("cap"))
                 )
                 full = save(full.select("bucket", "rep", "rank", "component").join(common, "rep"))
                 frame = full.groupBy("bucket").agg(F.min("size").alias("least"), F.max("cap").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-                full = save(full.join(save(frame), "bucket").filter("least <= cap and most >= size").select("bucket", "rep", "rank", "component", "size", "cap"))
+                full = save(full.join(save(frame), "bucket").filter("least <= cap and most >= size").select("bucket", "rep", "rank", "component", "size", "cap", "sketch"))
             full = full.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rank")))
-            ranked = save(full.select("bucket", "rep", "size", "cap", "place"))
+            ranked = save(full.select("bucket", "rep", "size", "cap", "place", "sketch"))
             sets = save(sets.join(common.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
             continue
-        heads = now.filter(F.col("place").between(done, done + centres - 1)).select("bucket", F.col("rep").alias("a"), F.col("place").alias("at"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("cap").alias("pa"))
-        pairs = now.join(save(heads), "bucket").filter("place > at and component <> ca and size <= pa and sa <= cap")
+        heads = now.filter(F.col("place").between(done, done + centres - 1)).select("bucket", F.col("rep").alias("a"), F.col("place").alias("at"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("cap").alias("pa"), F.col("sketch").alias("ka"))
+        pairs = now.join(save(heads), "bucket").filter("place > at and component <> ca and size <= pa and sa <= cap").filter(differ <= most)
         pairs = save(pairs.select("a", F.col("rep").alias("b")).filter("a <> b").distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         new = save(confirmed(pairs))
