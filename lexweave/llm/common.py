@@ -13,10 +13,14 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Arrow batches of bounded bytes, whatever the length of the texts in them.
+def tuned(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes from now on, whatever the length of the texts in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,9 +58,9 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in ``ids``.  The ids are counted first: up to ``most`` (8 bytes each) are broadcast, so that wide rows stay where they are; more are joined by a shuffle."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, "left_semi")
+def only_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 4_000_000, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids`` (``left_anti``: is not).  The ids are counted first: up to ``most`` (8 bytes each) are broadcast, so that wide rows stay where they are; more are joined by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
 
 
 def remainder(doc_id: str, divisor: int) -> Column:

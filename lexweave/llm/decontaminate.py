@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .common import only_ids, save, tuned
 
 U64 = np.uint64
 #: Bytes of test items that one block, and so one broadcast, holds at most (a longer item is a block of its own).
@@ -143,6 +144,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, least: int = 5,
     Repeated document rows are judged each; repeated items once.  Other columns
     are ignored.
     """
+    tuned(documents.sparkSession)
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id long, item_id long, n_tiles long, covered_words long, item_words long"
@@ -157,4 +159,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, least: int = 5,
 
 def without_contaminated(documents: DataFrame, found: DataFrame) -> DataFrame:
     """Documents that are in no contaminated pair; rows without doc_id stay."""
-    return documents.join(found.select(F.col("doc_id").alias("_found")).distinct(), F.col("doc_id").cast("long") == F.col("_found"), "left_anti")
+    found = save(found.select(F.col("doc_id").alias("_found")).distinct())
+    return only_ids(documents.withColumn("_found", F.col("doc_id").cast("long")), found, "_found", how="left_anti").drop("_found")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import remainder
+from .common import remainder, tuned
 
 U64 = np.uint64
 
@@ -89,7 +89,7 @@ class Trees:
                 counts[k].append((keys[begins], ta.run_lengths(begins, len(keys))))
         self.cost: list[tuple[Lookup, np.ndarray]] = []  # bits of the last byte, from this depth down
         self.escape: list[tuple[Lookup, np.ndarray]] = []  # bits to leave the context of this depth
-        for k in range(order + 1):
+        for k in range(order + 1 if self.langs else 0):
             every = ta.distinct(np.concatenate([keys for keys, _ in counts[k]]))
             contexts = ta.distinct(every >> U64(8))
             n, d = np.zeros((len(contexts), len(self.langs))), np.zeros((len(contexts), len(self.langs)))
@@ -151,22 +151,31 @@ def has_letter(t: ta.Texts) -> np.ndarray:
     return out
 
 
-def _predict(model):
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = model.value
-        names = np.array([*trees.langs, "und"], object)
+def predict(trees: Trees, t: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Language (object array) and score of each text."""
+    names = np.array([*trees.langs, "und"], object)
+    known = has_letter(t)
+    best, score = np.full(len(t), len(trees.langs)), np.zeros(len(t))
+    if trees.langs:
+        bits = trees.bits(t)
+        best = np.where(known, bits.argmin(1), best)
+        odds = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
+        score = np.where(known, 1 / odds, 0.0)
+    return names[best], score
+
+
+def _tag(model, least: float, names: tuple[str, str] = ("lang_pred", "score")):
+    """All columns but the last, the text, and the prediction; rows that score less than ``least`` are left out."""
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in ta.slices(batch.column(1)):
-                known = has_letter(t)
-                best, score = np.full(len(t), len(trees.langs)), np.zeros(len(t))
-                if trees.langs:
-                    bits = trees.bits(t)
-                    best = np.where(known, bits.argmin(1), best)
-                    odds = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                    score = np.where(known, 1 / odds, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), batch.column(2).slice(t.first, len(t)), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            for t in ta.slices(batch.column(batch.num_columns - 1)):
+                lang, score = predict(model.value, t)
+                part = batch.slice(t.first, len(t))
+                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names[:-1], *names])
+                yield out.filter(pa.array(score >= least)) if least else out
 
-    return predict
+    return tag
 
 
 def identify_language(documents: DataFrame, *, order: int = 4, sample_rows: int = 300, max_langs: int = 200, divisor: int = 3, held: int = 1) -> DataFrame:
@@ -179,7 +188,21 @@ def identify_language(documents: DataFrame, *, order: int = 4, sample_rows: int
     ``und`` with score 0, and so is every text when nothing could be learned.  A null doc_id is not held
     out.  Other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = _learn(documents, order, sample_rows, max_langs, divisor, held)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", divisor) == held).alias("held_out"), "text")
+    return docs.mapInArrow(_tag(model, 0), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def recognised(documents: DataFrame, *, least: float = 0.5, order: int = 4, sample_rows: int = 300, max_langs: int = 200, divisor: int = 3, held: int = 1) -> DataFrame:
+    """The rows of ``documents`` whose language is recognised: not ``und``, and scored ``least`` or more.  Rows and columns are otherwise untouched."""
+    model = _learn(documents, order, sample_rows, max_langs, divisor, held)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    tagged = documents.withColumn("_text", F.col("text")).mapInArrow(_tag(model, least, ("_lang", "_sure")), f"{kinds}, _lang string, _sure double")
+    return tagged.drop("_lang", "_sure")
+
+
+def _learn(documents: DataFrame, order: int, sample_rows: int, max_langs: int, divisor: int, held: int):
+    tuned(documents.sparkSession)
     teaching = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held))
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = teaching.select("lang", F.col("doc_id").cast("long").alias("doc_id")).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= sample_rows)
@@ -188,6 +211,4 @@ def identify_language(documents: DataFrame, *, order: int = 4, sample_rows: int
     texts: dict[str, list[str]] = {}
     for lang, text, _ in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), rows["doc_id"].to_pylist()), key=lambda x: (x[0], x[2], x[1])):
         texts.setdefault(lang, []).append(text)
-    model = documents.sparkSession.sparkContext.broadcast(Trees(texts, order))
-    out = docs.withColumn("held_out", remainder("doc_id", divisor) == held)
-    return out.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return documents.sparkSession.sparkContext.broadcast(Trees(texts, order))

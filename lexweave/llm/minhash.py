@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import components, forget, only_ids, save
+from .common import components, forget, only_ids, save, tuned
 
 U64 = np.uint64
 
@@ -156,6 +156,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     A repeated doc_id with other text has the links of any of its texts.
     Other columns are ignored; an empty table gives an empty result.
     """
+    tuned(documents.sparkSession)
     bands, rows = plan(percent / 100, bands)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = save(docs.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, cls binary, bands array<long>, sketch array<long>"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import running_total, save
+from .common import running_total, save, tuned
 
 U64 = np.uint64
 #: Weights of the sources in their order, repeating (fixed values).
@@ -77,6 +77,11 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int32)), pa.array(k - lo), pa.array(np.full(len(k), source, np.int32)), pa.array(k // n), pa.array(block)], ["mix_shard", "slot", "source_no", "pass", "block"])
 
 
+def key_of():
+    """Rows with the same key are the same document, repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+
+
 class Mix:
     """``documents`` with their place in the source's stream, and the slots that take blocks of it.
 
@@ -86,8 +91,9 @@ class Mix:
     """
 
     def __init__(self, documents: DataFrame, *, share: float = 1.5, most: float = 2.0, block: int = 256, slots_per_shard: int = 16384, seed: int = 11):
+        tuned(documents.sparkSession)
         spark = documents.sparkSession
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64("text").alias("tie"))
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", key_of().alias("tie"))
         sized = save(docs.mapInArrow(_sizes, "doc_id long, source string, size long, tie long"))
         found = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("size")).toLocalIterator()}
         names = sorted((x for x in found if x is not None)) + [None] * (None in found)
@@ -169,10 +175,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     mix = Mix(documents, **options)
     slots = mix.slots.select("source_no", "block", "pass")
-    spans = mix.pieces().join(slots, ["source_no", "block"]).groupBy("doc_id", "tie", "start", "pass").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = mix.pieces().join(slots, ["source_no", "block"]).groupBy(F.col("tie").alias("_key"), "start", "pass").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     columns = documents.columns
-    tied = documents.withColumn("_tie", F.xxhash64("text"))
-    first = spans.groupBy("doc_id", "tie", "pass").agg(F.min_by("spans", "start").alias("spans")).withColumnRenamed("doc_id", "_id")
-    joined = tied.dropDuplicates(["doc_id", "_tie"]).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_tie").eqNullSafe(F.col("tie")))
+    once = documents.withColumn("_key", key_of()).dropDuplicates(["_key"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "n_chars" else "n_chars long" for f in documents.schema.fields)
-    return joined.select(*columns, "spans").mapInArrow(_cut(columns), kinds)
+    return once.join(spans, "_key").select(*columns, "spans").mapInArrow(_cut(columns), kinds)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, running_total, save
+from .common import forget, running_total, save, tuned
 
 
 def quotas(sizes: np.ndarray, wanted: np.ndarray, room: float) -> np.ndarray:
@@ -43,6 +43,7 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, rounds: int = 8,
     doc_id are rows of their own.  Other columns are ignored; an empty table
     gives an empty result.
     """
+    tuned(documents.sparkSession)
     t = F.col(text)
     base = save(
         documents.select(
