@@ -1 +1,3 @@
 """Registered queries; importing this package registers them all."""
+
+from . import cleaning, web  # noqa: F401
