@@ -12,8 +12,8 @@ The proof is exact: of text u, with ``size`` shingles of which ``common`` occur
 in another text that still has an open bucket, overlap with v is at most
 min(common(u), common(v)), hence a link at threshold t needs
 ``size(v) <= common(u) * (1 + 1 / t) - size(u)`` and the same with u and v swapped.
-Pairs beyond the first star must also agree in a one-bit sketch of the signature
-up to six standard deviations.
+It also needs the sets to differ in at most (1 - t) / (1 + t) * (size(u) + size(v))
+elements, of which the odd sketches of the two sets give a lower bound.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from . import textarrays as ta
 from .common import components, forget, only_ids, save, tuned
 
 U64 = np.uint64
+#: Bits of an odd sketch.
+SKETCH = 1024
 
 
 def plan(threshold: float, bands: int = 64) -> tuple[int, int]:
@@ -57,8 +59,21 @@ def shingle_sets(t: ta.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], np.searchsorted(doc[keep], np.arange(len(t) + 1))
 
 
-def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each non-empty set, a row of ``bands`` bucket keys and a sketch with one bit per bin (64 bands make ``rows`` words)."""
+def odd_sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each non-empty set, ``SKETCH`` bits: the parity of the number of elements that hash to each.
+
+    Elements that two sets share cancel out, so their sketches differ in no
+    more bits than the sets differ in elements.
+    """
+    n = np.diff(bounds)
+    full = n > 0
+    at = np.repeat(np.arange(int(full.sum())), n[full]) * SKETCH + (ta.mix(h ^ U64(0x2545F4914F6CDD1D)) >> U64(32)).astype(np.int64) % SKETCH
+    odd = (np.bincount(at, minlength=int(full.sum()) * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, SKETCH), axis=1).view(np.int64)
+
+
+def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One row of ``bands`` bucket keys for each non-empty set."""
     bins, full = bands * rows, np.flatnonzero(np.diff(bounds))
     n = len(full)
     sig = np.full(n * bins, ~U64(0))
@@ -77,18 +92,8 @@ def band_keys(h: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple
         hit = filled[source]
         sig[open_[hit]] = sig[source[hit]]
         open_ = open_[~hit]
-    one = (ta.mix(sig ^ ta.mix(np.tile(np.arange(bins, dtype=U64), n))) >> U64(63)).astype(np.uint8)
-    sketch = np.packbits(one.reshape(n, bins), axis=1).reshape(n, -1)
-    sketch = np.pad(sketch, ((0, 0), (0, -sketch.shape[1] % 8))).view(np.int64)
     sig = sig.reshape(n, bands, rows)
-    keys = ta.combine(np.broadcast_to(np.arange(bands, dtype=U64), (n, bands)).reshape(-1), *(sig[:, :, k].reshape(-1) for k in range(rows))).reshape(n, bands)
-    return keys, sketch
-
-
-def most_differing(bits: int, threshold: float) -> int:
-    """Bits in which the sketches of a pair at the threshold differ at most, but for six standard deviations (with a third more for refilled bins)."""
-    e = (1 - threshold) / 2
-    return int(bits * e + 6 * 4 / 3 * math.sqrt(bits * e * (1 - e)))
+    return ta.combine(np.broadcast_to(np.arange(bands, dtype=U64), (n, bands)).reshape(-1), *(sig[:, :, k].reshape(-1) for k in range(rows))).reshape(n, bands)
 
 
 def _signer(size: int, bands: int, rows: int):
@@ -101,7 +106,7 @@ def _signer(size: int, bands: int, rows: int):
                 two = [np.add.reduceat(ta.mix(h ^ U64(salt)), bounds[:-1][full]) if full.any() else np.zeros(0, U64) for salt in (0, 0x5851F42D4C957F2D)]
                 cls = np.full((len(t), 2), 0, U64)
                 cls[full] = np.stack(two, 1) if full.any() else cls[full]
-                keys, sketch = band_keys(h, bounds, bands, rows)
+                keys, sketch = band_keys(h, bounds, bands, rows), odd_sketches(h, bounds)
                 offsets = np.concatenate(([0], np.cumsum(full * bands))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -186,9 +191,9 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     forget(members, heads)
     done, common, tested = 1, None, edges
     sketches = reps.select(F.col("rep").alias("doc_id"), "sketch")
-    words = -(-bands * rows // 64)
+    words = SKETCH // 64
     differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("ka", F.lit(k)))) for k in range(words)), F.lit(0))
-    most = most_differing(bands * rows, percent / 100)
+    most = (100 - percent) / (100 + percent) * (F.col("size") + F.col("sa"))
     while True:
         # Buckets with more than one component whose members may still be linked.
         now = ranked.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
