@@ -146,9 +146,19 @@ def clean_pdf(t: Column) -> Column:
 
 def distinct_lines(t: Column) -> Column:
     """Lines without blanks, the first of each stripped line kept as it was."""
+    none = F.array().cast("array<string>")
     kept = F.filter(lines(t), lambda x: stripped(x) != "")
-    keys = F.transform(kept, stripped)
-    return F.array_join(F.filter(kept, lambda x, k: F.array_position(keys, stripped(x)) == k + 1), "\n")
+
+    def add(held: Column, x: Column) -> Column:
+        new = F.struct(F.array_append(held["keys"], stripped(x)).alias("keys"), F.array_append(held["lines"], x).alias("lines"))
+        return F.when(F.array_contains(held["keys"], stripped(x)), held).otherwise(new)
+
+    return F.array_join(F.aggregate(kept, F.struct(none.alias("keys"), none.alias("lines")), add, lambda held: held["lines"]), "\n")
+
+
+def distinct_stripped_lines(t: Column) -> Column:
+    """The same with the lines stripped: one hash pass, for where outer blanks do not matter."""
+    return F.array_join(F.array_distinct(F.filter(F.transform(lines(t), stripped), lambda x: x != "")), "\n")
 
 
 def sentences(t: Column) -> Column:
