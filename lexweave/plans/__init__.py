@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from . import cleaning, corpus, web  # noqa: F401
+from . import cleaning, corpus, vectors, web  # noqa: F401
