@@ -136,7 +136,11 @@ def sigmoid(spark, sf_dir):
     return logits(spark).select("id", F.transform("x", lambda e: F.round(A.sigmoid(e), 12)).alias("s"))
 
 
-@query("attention_pool", f"SELECT id, round(list_dot_product({SOFT.replace('x', 'sc')}, x), 9) AS pooled FROM (SELECT id, x, list_transform(x, lambda h: 0.7 * (exp(2 * (0.5 * greatest(-9, least(9, h)) + 0.1)) - 1) / (exp(2 * (0.5 * greatest(-9, least(9, h)) + 0.1)) + 1)) AS sc FROM {LOGITS_SQL})".replace("escp", "exp").replace("list_masc", "list_max"))
+TANH = "(exp(2 * {0}) - 1) / (exp(2 * {0}) + 1)".format("(0.5 * greatest(-9, least(9, h)) + 0.1)")
+
+
+@query("attention_pool", f"""WITH e AS (SELECT id, x, list_transform(x, lambda h: 0.7 * {TANH}) AS score FROM {LOGITS_SQL}),
+w AS (SELECT id, x, list_transform(score, lambda s: exp(s)) AS w FROM e) SELECT id, round(list_dot_product(w, x) / list_sum(w), 9) AS pooled FROM w""")
 def attention_pool(spark, sf_dir):
     """One-dimensional additive attention: scores v tanh(w h + u), softmax, weighted sum of the states."""
     score = F.transform("x", lambda h: 0.7 * F.tanh(0.5 * F.greatest(F.lit(-9.0), F.least(F.lit(9.0), h)) + 0.1))
@@ -168,16 +172,19 @@ def sgns_step(spark, sf_dir):
     return rows.select("id", moved.alias("w"), F.round(F.col("t") * -F.log(F.col("p") + 1e-12) + (1 - F.col("t")) * -F.log(1 - F.col("p") + 1e-12), 9).alias("loss"))
 
 
-SHAPES = [("vanilla", 30, 32, 128, 3), ("vanilla", 50, 16, 64, 2), ("blstm", 30, 32, 64, 1), ("attention", 30, 32, 128, 1)]
+SHAPES = [("vanilla", 30, 32, 128), ("vanilla", 50, 16, 64), ("blstm", 30, 32, 64), ("attention", 30, 32, 128)]
 
 
-@query("param_counts", "SELECT m AS model, v, e, h, l, (CASE m WHEN 'vanilla' THEN v * e + (e * h + h * h + h) + (l - 1) * (2 * h * h + h) + h * v + v WHEN 'blstm' THEN v * e + 3 * 4 * h * (e + h + 1) + 3 * 2 * 4 * h * (3 * h + 1) / 2 ELSE v * e + (e * h + h * h + h) + 2 * h * h + h END)::BIGINT AS parameters FROM (VALUES " + ", ".join(f"('{m}', {v}, {e}, {h}, {n})" for m, v, e, h, n in SHAPES if m == "vanilla") + ") s(m, v, e, h, l)")
+@query("param_counts", """SELECT model, v, e, h, (v * e + CASE model
+  WHEN 'blstm' THEN 3 * (4 * h * (e + h + 1) + 2 * 4 * h * (2 * h + 1)) + (2 * h + 1) * v + (h + 1) * v
+  WHEN 'attention' THEN h * (e + h + 1) + 2 * h * (2 * h + 1) + 2 * h * h + h + (2 * h + 1) * v
+  ELSE h * (e + h + 1) + 2 * h * (2 * h + 1) + (h + 1) * v END)::BIGINT AS parameters FROM (VALUES """ + ", ".join(map(str, SHAPES)) + ") s(model, v, e, h)")
 def param_counts(spark, sf_dir):
-    """Stacked tanh network: embedding, layers and output layer."""
-    rows = spark.createDataFrame([s for s in SHAPES if s[0] == "vanilla"], "model string, v int, e int, h int, l int")
-    first = F.col("h") * (F.col("e") + F.col("h") + 1)
-    more = (F.col("l") - 1) * F.col("h") * (2 * F.col("h") + 1)
-    return rows.select("model", "v", "e", "h", "l", (F.col("v") * F.col("e") + first + more + (F.col("h") + 1) * F.col("v")).cast("long").alias("parameters"))
+    """Sizes of the networks as they are built."""
+    from ..operators.recurrent import Network
+
+    rows = [(m, v, e, h, Network(m, v, e, h).size()) for m, v, e, h in SHAPES]
+    return spark.createDataFrame(rows, "model string, v int, e int, h int, parameters long")
 
 
 LOSSES = [("a", [3.0, 2.0, 2.5, 2.5, 2.5, 1.9, 1.9, 1.9, 1.9, 1.9, 1.9, 1.9, 1.8]), ("b", [1.0, 0.9, 0.8]), ("c", [1.0, 0.999995, 1.0, 1.0, 1.0, 1.0, 1.0, 0.1])]
