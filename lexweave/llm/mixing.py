@@ -110,7 +110,8 @@ class Mix:
             taken, left, shard = taken + counts, left - counts, shard + 1
         plan = spark.createDataFrame(rows, "mix_shard int, source_no int, first long, n long, blocks long")
         self.block = block
-        self.slots = plan.repartition(max(1, min(len(rows), 200))).mapInArrow(_slots, "mix_shard int, slot long, source_no int, pass long, block long")
+        slots = plan.repartition(max(1, min(len(rows), 200))).mapInArrow(_slots, "mix_shard int, slot long, source_no int, pass long, block long")
+        self.slots = save(slots)  # joins then see its size and do not broadcast it as if it were the plan
         about = spark.createDataFrame([(x, k, sizes[k], float(goals[k])) for k, x in enumerate(names)], "name string, source_no int, source_size long, target double")
         known = sized.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
         self.placed = running_total(known, "source_no", "doc_id", "size", "start")
