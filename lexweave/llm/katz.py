@@ -355,23 +355,25 @@ def score_texts(documents: DataFrame, *, divisor: int = 5, held: int = 1) -> Dat
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", divisor) == held).alias("held"))
     encoded = save(docs.mapInArrow(_encode, MESSAGE))
-    seen = encoded.agg(F.count(F.when(F.col("kind") == ENCODED, 1)), F.coalesce(F.sum(F.when(F.col("kind") == ENCODED, F.length("a"))), F.lit(0))).first()
+    seen = encoded.agg(F.count(F.when(F.col("kind") == ENCODED, 1)), F.coalesce(F.sum(F.when(F.col("kind") == ENCODED, F.length("a"))), F.lit(0)), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(1))).first()
     chunks, words = seen[0], seen[1] // 8
     tasks = max(1, min(chunks, 100_000))
+    # Chunks are numbered by rounds over the tasks that made them, and dealt out by number: the same count to each task.
+    turn = ((F.col("chunk").bitwiseAND(0xFFFFFFFF) * seen[2] + F.shiftright("chunk", 32)) % tasks).cast("int")
 
     def answered(kind: int, asked: DataFrame, buckets: int) -> DataFrame:
-        return save(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer(kind), MESSAGE))
+        return save(asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer(kind), MESSAGE))
 
     def gathered(*tables: DataFrame) -> DataFrame:
         out = tables[0]
         for t in tables[1:]:
             out = out.union(t.filter("chunk >= 0"))
-        return out.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
+        return out.repartitionById(tasks, turn).sortWithinPartitions("chunk", "kind")
 
     few = max(8, int(words / BUCKET_KEYS) + 1)
     many = max(8, int(chunks * CHUNK_TOKENS * 0.6 / BUCKET_KEYS) + 1)
     word = answered(WORD, encoded.filter(F.col("kind") == ENCODED).mapInArrow(_ask_words(few), MESSAGE), few)
-    pair = answered(PAIR, encoded.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_ask_pairs(many), MESSAGE), many)
+    pair = answered(PAIR, encoded.repartitionById(tasks, turn).sortWithinPartitions("chunk", "kind").mapInArrow(_ask_pairs(many), MESSAGE), many)
     of_words, of_pairs = _stats(word), _stats(pair)
     model = Model(int(of_words[0]), int(of_words[1]), np.append(0, of_words[2:]), np.append(0, of_pairs[2:]))
     history = answered(HISTORY, gathered(encoded, word, pair).mapInArrow(_ask_histories(few, model), MESSAGE), few)
