@@ -180,7 +180,7 @@ class FingerprintIndex:
         self.runs: list[tuple[int, DataFrame]] = []
 
     def _sorted(self, df: DataFrame) -> DataFrame:
-        return df.repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
+        return df.repartitionById(self.buckets, "bucket").sortWithinPartitions("bucket")
 
     def add(self, postings: DataFrame) -> DataFrame:
         """``postings``: doc_id long, prints binary (64-bit values)."""
@@ -323,7 +323,7 @@ def remove_repeats(documents: DataFrame, *, window: int = 13, stem: int = 6, bat
     asked = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
     with_text = docs.join(asked, "doc_id").select("doc_id", "text", "hits")
     blocks = with_text.mapInArrow(_windows(window, stem, buckets), BLOCK)
-    found = save(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, hit long"))
+    found = save(blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, hit long"))
     found = found.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
     whole = copies.select("doc_id", "copy").distinct()
     marked = docs.join(found, "doc_id", "left").join(whole, "doc_id", "left").select("doc_id", "text", "hits", "copy")
