@@ -40,6 +40,11 @@ TOKEN = "^[a-z][a-z0-9]+$"
 SPLIT = r"""[ \t\n\r\f\x0B\x{00A0}\[\](){}<>,;:"?!&@#$%]+"""
 
 
+def let(t: Column, f) -> Column:
+    """``f(t)`` with ``t`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(t), f), 1)
+
+
 def lines(t: Column) -> Column:
     return F.split(t, "\n")
 
@@ -77,8 +82,7 @@ def is_english_block(t: Column, least: float = 0.8) -> Column:
 
 
 def is_english_sentence(t: Column) -> Column:
-    words = alphabetic(t)
-    return (stripped(t) != "") & ((F.size(words) == 0) | F.coalesce(mean_length(words) > 3.2, F.lit(False)))
+    return (stripped(t) != "") & let(alphabetic(t), lambda words: (F.size(words) == 0) | F.coalesce(mean_length(words) > 3.2, F.lit(False)))
 
 
 def without_provenance(t: Column) -> Column:
@@ -90,13 +94,17 @@ def without_urls(t: Column) -> Column:
 
 
 def join_hidden_emails(t: Column) -> Column:
-    """``a dot b at host dot tld`` becomes ``ab``: matches are marked, then the dots go between the marks only."""
-    marked = F.split(F.regexp_replace(t, HIDDEN_EMAIL, f"{OPEN}$1{SHUT}"), f"[{OPEN}{SHUT}]")
-    return F.array_join(F.transform(marked, lambda x, k: F.when(k % 2 == 1, F.regexp_replace(x, f"(?i){_DOT}", "")).otherwise(x)), "")
+    """``a dot b at host dot tld`` becomes ``ab``: matches are marked, then the dots go between the marks only.  Texts without a "dot" are passed by."""
+
+    def joined(x: Column) -> Column:
+        marked = F.split(F.regexp_replace(x, HIDDEN_EMAIL, f"{OPEN}$1{SHUT}"), f"[{OPEN}{SHUT}]")
+        return F.array_join(F.transform(marked, lambda y, k: F.when(k % 2 == 1, F.regexp_replace(y, f"(?i){_DOT}", "")).otherwise(y)), "")
+
+    return let(t, lambda x: F.when(x.rlike("(?i)dot"), joined(x)).otherwise(x))
 
 
 def without_emails(t: Column) -> Column:
-    return F.regexp_replace(t, EMAIL, " ")
+    return let(t, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, EMAIL, " ")).otherwise(x))
 
 
 def without_entities(t: Column) -> Column:
@@ -116,7 +124,10 @@ def is_boilerplate(line: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Col
 
 
 def without_dividers(t: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
-    return F.array_join(F.filter(lines(t), lambda x: ~(stripped(x).rlike(DIVIDER) | is_boilerplate(x, patterns))), "\n")
+    def kept(line: Column) -> Column:
+        return let(stripped(line), lambda x: ~(x.rlike(DIVIDER) | x.rlike("(?i)" + "|".join(patterns))))
+
+    return F.array_join(F.filter(lines(t), kept), "\n")
 
 
 def collapse_punctuation(t: Column) -> Column:

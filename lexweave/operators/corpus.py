@@ -46,17 +46,18 @@ def tokens(sents: DataFrame) -> DataFrame:
 
 
 def metadata(sents: DataFrame) -> DataFrame:
-    """Sentences, tokens and distinct words of each document."""
-    each = sents.select("doc_id", "sent_idx", F.explode("tokens").alias("word"))
-    words = each.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("vocab_size"))
-    return sents.groupBy("doc_id").agg(F.count("*").alias("sentences")).join(words, "doc_id")
+    """Sentences, tokens and distinct words of each document: one shuffle, in which a task holds no more than a document's own tokens."""
+    each = sents.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.size("tokens")).alias("tokens"), F.collect_list("tokens").alias("every"))
+    return each.select("doc_id", "sentences", "tokens", F.size(F.array_distinct(F.flatten("every"))).cast("long").alias("vocab_size"))
 
 
 def summary(sents: DataFrame) -> DataFrame:
-    by_word = sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.count("*").alias("vocabulary_size"))
-    docs = sents.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("total_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_sentences"))
-    return docs.crossJoin(words)  # one row by one row
+    """Totals in one pass: words and documents are counted side by side under a kind."""
+    keys = F.concat(F.transform("tokens", lambda w: F.struct(F.lit("w").alias("kind"), w.alias("key"))), F.array(F.struct(F.lit("d").alias("kind"), F.col("doc_id").cast("string").alias("key"))))
+    counts = sents.select(F.explode(keys).alias("k")).select("k.*").groupBy("kind", "key").agg(F.count("*").alias("n"))
+    word, doc = F.col("kind") == "w", F.col("kind") == "d"
+    total = lambda of: F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0))
+    return counts.agg(F.count_if(doc).alias("total_documents"), total(doc).alias("total_sentences"), total(word).alias("total_tokens"), F.count_if(word).alias("vocabulary_size"))
 
 
 def averages(one: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..registry import query, table
+from ..registry import query, spread, table
 
 S = r"[ \t\n\r\f\x0B\x{00A0}]"
 NS = r"[^ \t\n\r\f\x0B\x{00A0}]"
@@ -33,7 +33,7 @@ INPUT = f"(SELECT doc_id::BIGINT doc_id, text FROM documents UNION ALL SELECT do
 
 def rows(spark, sf_dir):
     literal = spark.createDataFrame([(-k - 1, s) for k, s in enumerate(QUIRKS)], "doc_id long, text string")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").union(literal)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).union(literal)
 
 
 def strip_sql(x: str) -> str:

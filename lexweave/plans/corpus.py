@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import vocabulary as V
-from ..registry import query, table
+from ..registry import query, spread, table
 from .cleaning import MEAN, S, _quoted, clean_sql, strip_sql
 
 TOK = "list_filter(list_transform(string_split_regex(sentence, '" + r"""[ \t\n\r\f\x0B\x{00A0}\[\](){}<>,;:"?!&@#$%]+""" + "'), lambda w: lower(trim(w, '.''`'))), lambda w: regexp_matches(w, '^[a-z][a-z0-9]+$'))"
@@ -34,7 +34,7 @@ STOP = ", ".join(_quoted(x) for x in C.STOP_WORDS)
 
 def sents(spark, sf_dir):
     """The phone rule is left out, as in the oracle; see ``clean_phones``."""
-    return C.sentences(table(spark, sf_dir, "documents"), phones=False)
+    return C.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), phones=False)
 
 
 def corpus(spark, sf_dir):
@@ -47,12 +47,12 @@ def vocab(spark, sf_dir):
 
 @query("sentence_split", rf"WITH q AS (SELECT doc_id, {SPLIT_SQL.replace('(x,', '(text,')} AS ss FROM documents) SELECT doc_id, generate_subscripts(ss, 1)::INT - 1 AS sent_idx, replace(unnest(ss), '{X.DOT}', '.') AS sentence FROM q")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent_idx", "sentence"))
 
 
 @query("tokenize", f"SELECT doc_id, {TOK.replace('sentence', 'text')} AS tokens FROM documents")
 def tokenize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
 @query("doc_sentences", f"WITH {SENTS} SELECT doc_id, sent_idx, key FROM g")
