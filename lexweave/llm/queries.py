@@ -27,6 +27,29 @@ def _op(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession,
     return f
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+# All pairs by shared shingles, then everything reachable; the operator has no part in it.
+ORACLES["op8_minhash"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda p: array_to_string(ws[p:p + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+ORACLES["op9_substring"] = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, unnest(list_transform(range(1, len(ws) - 11), lambda p: array_to_string(ws[p:p + 12], ' '))) AS g FROM w WHERE len(ws) >= 13),
+f AS (SELECT g, min(doc_id) AS first FROM v GROUP BY g),
+r AS (SELECT doc_id, p FROM v JOIN f USING (g) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+k AS (SELECT t.doc_id, t.p, t.word, max(r.p) OVER (PARTITION BY t.doc_id ORDER BY t.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NULL AS stays FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.p = t.p),
+o AS (SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE stays) AS kept FROM k GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)"""
+
+
 @_op
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
