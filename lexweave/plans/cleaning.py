@@ -15,7 +15,7 @@ _W = r"[\p{L}\p{N}_]"
 
 #: Rows that hold what the documents lack.
 QUIRKS = [
-    "see https://a.b/c?d=1, www.x.y end", "mail dofa[at]uni[dot]ac[dot]in now", "ask pooja dot shivam at uni dot ac dot in", "look at anecdotes",
+    "see https://a.b/c?d=1, www.x.y end", "mail dofa[at]uni[dot]ac[dot]in now", "ask asha dot rao at uni dot ac dot in", "look at anecdotes",
     "mail (a@b.co) ok a@b", "a&amp;b &#39; &NBSP; c&nbsp;d", "call 0291-280-1516 now", "session 2023-2024 begins", "Mar 05 2025 event", "on 02.03.2025 ok",
     "a....b ----c ___d **e --f", "----\n_*_\n——\na-\n\nkeep", "x <b>bold\n</b> y", "SOURCE_URL: http://q\n\nbody\nSOURCE_PDF: z\nend", "Home\nContact\nLast updated : 3 May\nreal line\nreal line\n  real line ",
     "привет ab", "héllo wörld", "12 34", "is it an ox", "cs601 b17me038", "The quick brown fox", "", "   ", "xx yy zz",
