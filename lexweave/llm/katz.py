@@ -36,8 +36,8 @@ from . import textarrays as ta
 from .common import forget, remainder, save
 
 U64 = np.uint64
-CHUNK_TOKENS = 1 << 21
-BUCKET_KEYS = 1_500_000
+CHUNK_TOKENS = 1 << 20
+BUCKET_KEYS = 1_000_000
 #: Counts above this are not discounted.
 KATZ_LIMIT = 5
 #: The hash of the end of a text, which is also the history of its first word.
@@ -148,11 +148,13 @@ class Chunk:
         before[1:] = self.stream[:-1]
         before[np.cumsum(self.lengths) - self.lengths] = end
         key = (before << U64(32)) | self.stream
+        del before
         order = np.argsort(key)
         begins = ta.runs(key[order])
         self.of_token = np.empty(len(key), np.int64)
         self.of_token[order] = np.repeat(np.arange(len(begins)), ta.run_lengths(begins, len(key)))
-        key = key[order][begins]
+        key = key[order[begins]]
+        del order
         self.first, self.second = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
         self.pair = ta.combine(self.words[self.first], self.words[self.second])
 
