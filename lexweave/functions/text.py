@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Private-use characters that mark places inside a text while it is worked on.
-BREAK, DOT, OPEN, SHUT = "", "", "", ""
+BREAK, DOT, OPEN, SHUT = "\uE000", "\uE001", "\uE002", "\uE003"
 SPACE = r"[ \t\n\r\f\x0B\x{00A0}]"
 WORDCHAR = r"[\p{L}\p{N}_]"
 
@@ -138,7 +138,7 @@ def collapse_punctuation(t: Column) -> Column:
 
 
 def plain_spaces(t: Column) -> Column:
-    return F.translate(F.translate(t, " ", " "), "​", "")
+    return F.translate(F.translate(t, "\u00A0", " "), "\u200B", "")
 
 
 def clean(t: Column, hidden_emails: bool = True, phones: bool = True) -> Column:
