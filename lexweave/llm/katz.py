@@ -43,6 +43,7 @@ KATZ_LIMIT = 5
 #: The hash of the end of a text, which is also the history of its first word.
 END = U64(0xE17A1465B1D8F3C7)
 MESSAGE = "chunk long, kind int, bucket int, a binary, b binary"
+CHUNK = "chunk long, words binary, taught binary, stream binary, texts binary"
 ENCODED, STREAM, WORD, PAIR, HISTORY, STATS = range(6)
 
 
@@ -84,7 +85,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, held to one ENCODED and one STREAM row for each chunk."""
+    """doc_id, text, held to one row for each chunk."""
     part, made = TaskContext.get().partitionId(), 0
     hashes, lengths, ids, flags, held = [], [], [], [], 0
 
@@ -102,10 +103,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream[order] = np.repeat(number, size)
         taught = np.bincount(stream[np.repeat((flag & 1) == 0, n)], minlength=len(begins))
         chunk = (part << 32) | made
-        out = _rows([
-            (chunk, ENCODED, 0, h[order][begins][by_size].tobytes(), _pack(taught.astype(np.int64))),
-            (chunk, STREAM, 0, _pack(stream), zstandard.ZstdCompressor(level=1).compress(np.concatenate(ids).tobytes() + n.astype(np.int64).tobytes() + flag.tobytes())),
-        ])
+        texts = zstandard.ZstdCompressor(level=1).compress(np.concatenate(ids).tobytes() + n.astype(np.int64).tobytes() + flag.tobytes())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in (h[order[begins]][by_size].tobytes(), _pack(taught.astype(np.int64)), _pack(stream), texts))],
+            ["chunk", "words", "taught", "stream", "texts"],
+        )
         hashes, lengths, ids, flags, held, made = [], [], [], [], 0, made + 1
         return out
 
@@ -206,10 +208,13 @@ def _ask_words(buckets: int):
 
 def _ask_pairs(buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _chunks(batches):
-            c.pairs()
-            taught = np.bincount(c.of_token[np.repeat((c.flags & 1) == 0, c.lengths)], minlength=len(c.pair))
-            yield from _asked(chunk, PAIR, c.pair, buckets, taught.astype(np.int64))
+        for batch in batches:
+            for row in range(len(batch)):
+                chunk, words, taught, stream, texts = (batch.column(k)[row].as_py() for k in range(5))
+                c = Chunk({ENCODED: [(0, words, taught)], STREAM: [(0, stream, texts)]})
+                c.pairs()
+                known = np.bincount(c.of_token[np.repeat((c.flags & 1) == 0, c.lengths)], minlength=len(c.pair))
+                yield from _asked(chunk, PAIR, c.pair, buckets, known.astype(np.int64))
 
     return ask
 
@@ -356,8 +361,10 @@ def score_texts(documents: DataFrame, *, divisor: int = 5, held: int = 1) -> Dat
     probability one.  Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", divisor) == held).alias("held"))
-    encoded = save(docs.mapInArrow(_encode, MESSAGE))
-    seen = encoded.agg(F.count(F.when(F.col("kind") == ENCODED, 1)), F.coalesce(F.sum(F.when(F.col("kind") == ENCODED, F.length("a"))), F.lit(0)), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(1))).first()
+    encoded = save(docs.mapInArrow(_encode, CHUNK))
+    heads = encoded.select("chunk", F.lit(ENCODED).alias("kind"), F.lit(0).alias("bucket"), F.col("words").alias("a"), F.col("taught").alias("b"))
+    streams = encoded.select("chunk", F.lit(STREAM).alias("kind"), F.lit(0).alias("bucket"), F.col("stream").alias("a"), F.col("texts").alias("b"))
+    seen = encoded.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0)), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(1))).first()
     chunks, words = seen[0], seen[1] // 8
     tasks = max(1, min(chunks, 100_000))
     # Chunks are numbered by rounds over the tasks that made them, and dealt out by number: the same count to each task.
@@ -374,9 +381,9 @@ def score_texts(documents: DataFrame, *, divisor: int = 5, held: int = 1) -> Dat
 
     few = max(8, int(words / BUCKET_KEYS) + 1)
     many = max(8, int(chunks * CHUNK_TOKENS * 0.6 / BUCKET_KEYS) + 1)
-    word = answered(WORD, encoded.filter(F.col("kind") == ENCODED).mapInArrow(_ask_words(few), MESSAGE), few)
-    pair = answered(PAIR, encoded.repartitionById(tasks, turn).sortWithinPartitions("chunk", "kind").mapInArrow(_ask_pairs(many), MESSAGE), many)
+    word = answered(WORD, heads.mapInArrow(_ask_words(few), MESSAGE), few)
+    pair = answered(PAIR, encoded.mapInArrow(_ask_pairs(many), MESSAGE), many)
     of_words, of_pairs = _stats(word), _stats(pair)
     model = Model(int(of_words[0]), int(of_words[1]), np.append(0, of_words[2:]), np.append(0, of_pairs[2:]))
-    history = answered(HISTORY, gathered(encoded, word, pair).mapInArrow(_ask_histories(few, model), MESSAGE), few)
-    return gathered(encoded, word, pair, history).mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    history = answered(HISTORY, gathered(heads, streams, word, pair).mapInArrow(_ask_histories(few, model), MESSAGE), few)
+    return gathered(heads, streams, word, pair, history).mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
