@@ -6,13 +6,18 @@ group's count per shard.  In each round, a document moves to the shard where
 most of its group is, if that shard has room; when more want to enter a shard
 than fit, each enters with the probability that fills it (a quota).  Shards
 that are full stay closed, so a group too large for one shard fills several.
+Rounds go on until no document wishes to move.  That ends: whoever moves joins
+at least as many of its group as it leaves, so the sum of squares of the groups'
+counts per shard grows with every move, and an open shard always lets some in.
 
 At the end the row counts are made exact: documents beyond a shard's quota,
-and all documents without a link, fill what is left in ranked order.
+group by group, and then all documents without a link fill what is left.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +39,7 @@ def uniform(*columns: Column | str) -> Column:
     return (F.xxhash64(*columns) % (1 << 30) + (1 << 30)) % (1 << 30) / float(1 << 30)
 
 
-def shard_documents(documents: DataFrame, *, shards: int = 40, rounds: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(documents: DataFrame, *, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) of every row; the law is ``rows``.
 
     Shard counts differ by one at most.  ``slot`` numbers a shard's rows from 0
@@ -59,7 +64,7 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, rounds: int = 8,
     total = rows.count()
     floor, more = divmod(total, shards)
     now = save(rows.filter("linked > 1").select("row", "hub", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")))
-    for k in range(rounds):
+    for k in itertools.count():
         seen = save(now.groupBy("hub", "shard").agg(F.count("*").alias("n")))
         sizes = np.zeros(shards)
         for s, n in seen.groupBy("shard").agg(F.sum("n")).collect():  # one row per shard
@@ -88,7 +93,7 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, rounds: int = 8,
     joined = rows.join(placed, "row", "left")
     fixed = joined.filter("stays").drop("stays")
     pool = joined.filter("stays is null or not stays").drop("stays", "shard").withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
-    pool = running_total(pool, "all", "row", "one", "rank")
+    pool = running_total(pool.withColumn("group", F.when(F.col("linked") > 1, F.col("hub"))), "all", "group", "one", "rank")
     shard = F.size(F.filter(F.array(*(F.lit(int(x)) for x in free)), lambda x: x <= F.col("rank")))
     columns = ["row", "doc_id", "size", "text_crc32", "linked", "shard"]
     every = fixed.select(*columns).union(pool.withColumn("shard", shard.cast("int")).select(*columns)).withColumn("one", F.lit(1))

@@ -311,6 +311,15 @@ def test_shards(docs, rows):
     assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
 
 
+def test_group_larger_than_a_shard(spark):
+    """A third of all rows is one group: it fills shards up, and does not stay where the random start put it."""
+    texts = [(k, "one text" if k % 3 == 0 else f"text {k}") for k in range(6000)]
+    got = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), shards=20).collect()
+    held = collections.Counter(r.shard for r in got if r.linked > 1)
+    assert sum(held.values()) == 2000 and set(collections.Counter(r.shard for r in got).values()) == {300}
+    assert sorted(held.values())[-6:] == [300] * 6 and len(held) <= 7 + 1
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
