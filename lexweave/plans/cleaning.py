@@ -105,6 +105,12 @@ def clean_phones(spark, sf_dir):
     return rows(spark, sf_dir).filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", X.without_phones(F.col("text")).alias("out"))
 
 
+@query("clean_text_full")
+def clean_text_full(spark, sf_dir):
+    """The whole chain, phone rule included."""
+    return rows(spark, sf_dir).select("doc_id", X.clean(F.col("text")).alias("out"))
+
+
 @query("clean_phones_all")
 def clean_phones_all(spark, sf_dir):
     """Every text.  No SQL: the tests compare with Python, whose word boundary is the reference's."""
