@@ -52,6 +52,19 @@ def fingerprints(w: ta.Words, window: int, stem: int) -> tuple[np.ndarray, np.nd
     return starts, ta.mix(least[starts])  # a minimum is small; mixed, it falls into all buckets alike
 
 
+def sequence_hashes(w: ta.Words, docs: int) -> np.ndarray:
+    """128-bit hash of the word sequence of each document; zero without words."""
+    b = w.bounds
+    seq = np.zeros((docs, 2), U64)
+    place = np.arange(len(w.hash)) - np.repeat(b[:-1], w.counts)
+    full = w.counts > 0
+    if full.any():
+        with np.errstate(over="ignore"):
+            for k, salt in enumerate((0x9E3779B9, 0x85EBCA6B)):
+                seq[full, k] = np.add.reduceat(ta.mix(w.hash + ta.mix(place.astype(U64) * U64(salt) + U64(k))), b[:-1][full])
+    return seq
+
+
 def _postings(window: int, stem: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,14 +77,7 @@ def _postings(window: int, stem: int):
                 new = np.ones(len(doc), bool)
                 new[1:] = (prints[1:] != prints[:-1]) | (doc[1:] != doc[:-1])
                 doc, prints = doc[new], prints[new]
-                b = w.bounds
-                seq = np.zeros((len(t), 2), U64)
-                place = np.arange(len(w.hash)) - np.repeat(b[:-1], w.counts)
-                full = w.counts > 0
-                if full.any():
-                    with np.errstate(over="ignore"):
-                        for k, salt in enumerate((0x9E3779B9, 0x85EBCA6B)):
-                            seq[full, k] = np.add.reduceat(ta.mix(w.hash + ta.mix(place.astype(U64) * U64(salt) + U64(k))), b[:-1][full])
+                seq = sequence_hashes(w, len(t))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(t.first, len(t)),
@@ -263,7 +269,7 @@ def _strip(window: int, texts: bool):
                 depth = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(depth, begin, 1)
                 np.add.at(depth, begin + window, -1)
-                copy = np.array([bool(x) for x in whole[t.first : t.first + len(t)]], bool)
+                copy = np.array([x is not None and own.tobytes() in x for x, own in zip(whole[t.first : t.first + len(t)], sequence_hashes(w, len(t)))], bool)
                 gone = (np.cumsum(depth)[:-1] > 0) | (copy & (w.counts >= window))[w.doc]
                 kept = np.flatnonzero(~gone)
                 data = t.data.copy()
@@ -305,7 +311,7 @@ def remove_repeats(documents: DataFrame, *, window: int = 13, stem: int = 6, bat
     firsts = posted.filter(F.col("n_words") >= window).groupBy("seq").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     firsts = save(firsts)
     sources = firsts.select(F.col("first").alias("doc_id")).distinct()
-    copies = posted.join(firsts.filter("copies > 1"), "seq").filter("doc_id > first").select("doc_id", F.lit(True).alias("copy"), "seq")
+    copies = posted.join(firsts.filter("copies > 1"), "seq").filter("doc_id > first").select("doc_id", "seq")
     row = posted.agg(F.coalesce(F.sum(F.length("prints")), F.lit(0)) / 8, F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()
     buckets = max(8, int(row[0] / BUCKET_KEYS) + 1)
     cuts = sorted(set(row[1] or []))
@@ -325,6 +331,6 @@ def remove_repeats(documents: DataFrame, *, window: int = 13, stem: int = 6, bat
     blocks = with_text.mapInArrow(_windows(window, stem, buckets), BLOCK)
     found = save(blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, hit long"))
     found = found.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    whole = copies.select("doc_id", "copy").distinct()
+    whole = copies.groupBy("doc_id").agg(F.collect_set("seq").alias("copy"))
     marked = docs.join(found, "doc_id", "left").join(whole, "doc_id", "left").select("doc_id", "text", "hits", "copy")
     return marked.mapInArrow(_strip(window, texts), f"doc_id long, n_words long, n_removed long, {'kept_text' if texts else 'kept_sha256'} string")

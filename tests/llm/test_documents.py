@@ -320,6 +320,12 @@ def test_group_larger_than_a_shard(spark):
     assert sorted(held.values())[-6:] == [300] * 6 and len(held) <= 7 + 1
 
 
+def test_copy_and_unique_text_of_one_id(spark):
+    copy, own = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    got = remove_repeats(spark.createDataFrame([(1, copy), (2, copy), (2, own)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == [(1, 0, copy), (2, 0, own), (2, 20, "")]
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
