@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..storage import fresh_path
 
 # Elements that are never text of their page.
 BOILERPLATE_TAGS = ("nav", "header", "footer", "script", "style", "noscript", "aside", "form")
@@ -100,8 +98,7 @@ def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int
     not grow and lost executors cost nothing.  ``most`` stops after the level
     that reaches so many nodes.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexweave-")
-    folder = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = fresh_path(spark)
     level = seeds.select("node", F.lit(0).alias("depth")).distinct()
     level.write.parquet(f"{folder}/level=0")
     depth, total = 0, 0
