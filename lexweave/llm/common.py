@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..storage import forget, fresh_path, remove, save, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def tuned(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes from now on, whatever the length of the texts in them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches of bounded bytes in this session from now on, whatever the length of the texts; a bound that the user has set stays."""
+    for key, value in _BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,38 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not (spark.sparkContext.getConf().get("spark.master") or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lexweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, and lets later joins see sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    spark.conf.set(_CLEAN, "true")  # the shuffle files of this write go when it ends
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEAN)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lexweave_path = path
-    return out
-
-
-def forget(*frames: DataFrame) -> None:
-    """Delete tables made by ``save`` that nothing reads any more."""
-    for df in frames:
-        spark, path = df.sparkSession, getattr(df, "_lexweave_path", None)
-        if path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """Each row of ``df`` as one struct ``d``, beside ``more``: no name of the user's can clash with one of ours.  ``select("d.*")`` unpacks."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("d"), *more)
+
+
+def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is not in the only column of ``gone``; a null key stays."""
+    return only_ids(packed(df, key.alias("key")), gone.toDF("key"), "key", how="left_anti").select("d.*")
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 4_000_000, how: str = "left_semi") -> DataFrame:
@@ -89,21 +65,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         forget(before, moved)
 
 
-def running_total(df: DataFrame, group: str, order: str, amount: str, out: str, per_block: int = 2000) -> DataFrame:
+def running_total(df: DataFrame, group: str, order: list[str], amount: str, out: str) -> DataFrame:
     """``out`` = sum of ``amount`` over earlier rows of the same ``group`` in the order of ``order``, without one task per group.
 
     Rows are range-partitioned by (group, order), so that a large group spans
     many tasks.  Each task sums its own rows; the totals of (partition, group),
     of which there are at most partitions + groups, are summed up to offsets.
     """
-    parts = save(
-        df.repartitionByRange(F.col(group).asc_nulls_last(), F.col(order).asc_nulls_last(), F.xxhash64(*df.columns)).withColumn("_part", F.spark_partition_id())
-    )
-    from pyspark.sql import Window
-
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    parts = save(df.repartitionByRange(F.col(group).asc_nulls_last(), *keys).withColumn("_part", F.spark_partition_id()))
     each = parts.groupBy("_part", group).agg(F.sum(amount).alias("_sum"))
     before = each.select("_part", F.col(group).alias("_group"), F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_part", group).orderBy(F.col(order).asc_nulls_last(), F.xxhash64(*df.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_part", group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     part, own = F.col("p._part"), F.col(f"p.{group}")
     parts = parts.withColumn("_within", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
     return (

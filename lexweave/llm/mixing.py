@@ -4,8 +4,10 @@ The words of a source, in the order of doc_id, are one stream that is packed
 into blocks of ``block`` words.  The mix has as many slots of each source as
 its target needs.  Output shards of fixed size draw their source counts from
 the multinomial law, conditioned on those totals (drawing without replacement),
-so every shard is a random mix and the totals still meet the targets.  Slot k of
-a source takes block ``permute(k mod n)`` of pass ``k div n``, where ``permute``
+so every shard is a random mix and the totals still meet the targets.  The draws
+are made where the slots are made: shards are the leaves of binary trees whose
+nodes split their counts in two, and a task draws the path to its own leaves.
+Slot k of a source takes block ``permute(k mod n)`` of pass ``k div n``, where ``permute``
 is a keyed pseudorandom permutation of the n block numbers: no block comes
 again before all others of its source came, and nothing is sorted or stored.
 Documents meet their slots by joining on (source, block).
@@ -17,21 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textarrays as ta
-from .common import running_total, save, tuned
+from .common import forget, packed, running_total, save, tuned
 
 U64 = np.uint64
 #: Weights of the sources in their order, repeating (fixed values).
 WEIGHTS = (3, 1, 2)
+#: Shards under one tree; trees share the totals in proportion, so the draws stay far below numpy's limit of 1e9.
+TREE = 1024
+#: Sources up to which their table (about 100 bytes each) is broadcast to the documents; beyond, it is joined by a shuffle.
+FEW_SOURCES = 100_000
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [ta.words_of(t).counts for t in ta.slices(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64)), batch.column(3)], ["doc_id", "source", "size", "tie"])
+        size = pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, batch.column(3), batch.column(4)], ["row", "source", "size", "doc_id", "tie"])
 
 
 def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -67,103 +76,148 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for shard, source, first, count, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            for lo in range(first, first + count, 1 << 16):
-                k = np.arange(lo, min(lo + (1 << 16), first + count))
-                key = ta.combine(np.full(len(k), source, U64), (k // n).astype(U64))
-                block = permute(k % n, np.full(len(k), n), key)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int32)), pa.array(k - lo), pa.array(np.full(len(k), source, np.int32)), pa.array(k // n), pa.array(block)], ["mix_shard", "slot", "source_no", "pass", "block"])
+def halves(counts: np.ndarray, left: int, seed: list[int]) -> np.ndarray:
+    """Of ``counts`` things of each kind, how many of each are among ``left`` drawn without replacement."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return rng.multivariate_hypergeometric(counts, left, method="marginals")
+
 
+def shard_counts(quotas: np.ndarray, shard: int, per_shard: int, seed: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot of each source, slots of each source) of ``most`` shards from ``shard`` on.
 
-def key_of():
-    """Rows with the same key are the same document, repeated."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+    Every shard's counts depend on the seed alone, whoever draws them.
+    """
+    total = int(quotas.sum())
+    shards = -(-total // per_shard)
+    trees = -(-shards // TREE)
+
+    def leaves(tree: int, lo: int, hi: int, first: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= shard or lo >= shard + most:
+            return
+        if hi - lo == 1:
+            yield lo, first, counts
+            return
+        mid = (lo + hi) // 2
+        in_left = halves(counts, int(counts.sum()) * (mid - lo) // (hi - lo), [seed, tree, lo, hi])
+        yield from leaves(tree, lo, mid, first, in_left)
+        yield from leaves(tree, mid, hi, first + in_left, counts - in_left)
+
+    for tree in range(shard // TREE, min(trees, (shard + most - 1) // TREE + 1)):
+        lo, hi = tree * TREE, min(shards, (tree + 1) * TREE)
+        begin, end = (np.array([int(q) * x // shards for q in quotas], np.int64) for x in (lo, hi))
+        yield from leaves(tree, lo, hi, begin, end - begin)
+
+
+def _slots(model, per_shard: int, per_task: int, seed: int):
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quotas, blocks = model.value
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                for shard, first, counts in shard_counts(quotas, task * per_task, per_shard, seed, per_task):
+                    some = np.flatnonzero(counts)
+                    source = np.repeat(some, counts[some])
+                    place = np.arange(len(source))
+                    k = place - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some]) + first[source]
+                    n = blocks[source]
+                    block = permute(k % n, n, ta.combine(source.astype(U64), (k // n).astype(U64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int64)), pa.array(place), pa.array(source.astype(np.int32)), pa.array(k // n), pa.array(block)], ["mix_shard", "slot", "source_no", "pass", "block"])
+
+    return slots
 
 
 class Mix:
-    """``documents`` with their place in the source's stream, and the slots that take blocks of it.
+    """Rows (row, doc_id, source, text) with their place in the source's stream, and the slots that take blocks of it.
 
-    ``placed``: doc_id, source_no, size, source_size, target, start; one row per
-    input row.  ``slots``: mix_shard, slot, source_no, pass, block.  What is
-    held by the driver is one row per source and per (mix shard, source).
+    ``placed``: row, doc_id, source_no, size, source_size, target, start; one per
+    input row.  ``slots``: mix_shard, slot, source_no, pass, block.  The driver
+    holds a name and three numbers for each source, and raises an error beyond
+    ``most_sources`` of them.
     """
 
-    def __init__(self, documents: DataFrame, *, share: float = 1.5, most: float = 2.0, block: int = 256, slots_per_shard: int = 16384, seed: int = 11):
-        tuned(documents.sparkSession)
-        spark = documents.sparkSession
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", key_of().alias("tie"))
-        sized = save(docs.mapInArrow(_sizes, "doc_id long, source string, size long, tie long"))
-        found = {r[0]: r[1] for r in sized.groupBy("source").agg(F.sum("size")).toLocalIterator()}
-        names = sorted((x for x in found if x is not None)) + [None] * (None in found)
+    def __init__(self, rows: DataFrame, *, share: float = 1.5, most: float = 2.0, block: int = 256, slots_per_shard: int = 16384, shards_per_task: int = 4, seed: int = 11, most_sources: int = 1_000_000):
+        spark = rows.sparkSession
+        tuned(spark)
+        self.block, self.saved = block, []
+        named = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+        named = named.select("row", "source", "text", "doc_id", F.xxhash64("doc_id", "source", "text").alias("tie"))
+        sized = self._save(named.mapInArrow(_sizes, "row long, source string, size long, doc_id long, tie long"))
+        each = self._save(sized.groupBy("source").agg(F.sum("size").alias("size")))
+        if (n := each.count()) > most_sources:
+            raise ValueError(f"{n} sources; the plan is made for {most_sources} at most")
+        found = {r[0]: r[1] for r in each.toLocalIterator()}
+        names = sorted(x for x in found if x is not None) + [None] * (None in found)
         sizes = [found[x] for x in names]
         goals = targets(sizes, [WEIGHTS[k % len(WEIGHTS)] for k in range(len(names))], share, most)
-        blocks = [-(-n // block) for n in sizes]
-        quotas = np.array([min(int(most * b), round(t * b / n)) if n else 0 for n, t, b in zip(sizes, goals, blocks)], np.int64)
-        rng = np.random.Generator(np.random.PCG64(seed))
-        rows, taken, left = [], np.zeros(len(names), np.int64), quotas.copy()
-        shard = 0
-        while left.sum():
-            counts = rng.multivariate_hypergeometric(left, min(slots_per_shard, int(left.sum())), method="marginals")
-            rows += [(shard, k, int(taken[k]), int(c), blocks[k]) for k, c in enumerate(counts) if c]
-            taken, left, shard = taken + counts, left - counts, shard + 1
-        plan = spark.createDataFrame(rows, "mix_shard int, source_no int, first long, n long, blocks long")
-        self.block = block
-        slots = plan.repartition(max(1, min(len(rows), 200))).mapInArrow(_slots, "mix_shard int, slot long, source_no int, pass long, block long")
-        self.slots = save(slots)  # joins then see its size and do not broadcast it as if it were the plan
+        blocks = np.array([-(-n // block) for n in sizes], np.int64)
+        quotas = np.array([min(int(most * b), round(t * int(b) / n)) if n else 0 for n, t, b in zip(sizes, goals, blocks)], np.int64)
+        shards = -(-int(quotas.sum()) // slots_per_shard)
+        tasks = -(-shards // shards_per_task)
+        model = spark.sparkContext.broadcast((quotas, blocks))
+        plan = spark.range(0, tasks, 1, max(1, min(tasks, 100_000)))
+        self.slots = self._save(plan.mapInArrow(_slots(model, slots_per_shard, shards_per_task, seed), "mix_shard long, slot long, source_no int, pass long, block long"))
+        model.destroy()
         about = spark.createDataFrame([(x, k, sizes[k], float(goals[k])) for k, x in enumerate(names)], "name string, source_no int, source_size long, target double")
-        known = sized.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-        self.placed = running_total(known, "source_no", "doc_id", "size", "start")
+        known = sized.join(F.broadcast(about) if len(names) <= FEW_SOURCES else about, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+        self.placed = self._save(running_total(known, "source_no", ["doc_id", "tie", "row"], "size", "start"))
+
+    def _save(self, df: DataFrame) -> DataFrame:
+        self.saved.append(save(df))
+        return self.saved[-1]
 
     def pieces(self) -> DataFrame:
-        """Each document cut at block borders: doc_id, source_no, start, size, block, first and last word (exclusive) inside the document."""
+        """Each row cut at block borders: also block, and the first and last word (exclusive) inside the row."""
         n, start, end = F.lit(self.block), F.col("start"), F.col("start") + F.col("size")
-        cut = self.placed.filter("size > 0").select("*", F.explode(F.sequence(F.floor(start / n), F.floor((end - 1) / n))).alias("block"))
+        cut = self.placed.filter("size > 0").select("row", "source_no", "start", "size", F.explode(F.sequence(F.floor(start / n), F.floor((end - 1) / n))).alias("block"))
         return cut.withColumn("lo", F.greatest(start, F.col("block") * n) - start).withColumn("hi", F.least(end, (F.col("block") + 1) * n) - start)
 
 
 def mix_report(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``documents``.
 
-    ``size`` counts words (null text: 0).  Sources are ordered by code point,
-    null last, and weigh 3, 1, 2, repeating; a source without words has target 0.
-    A word is taken once per pass of its block; a block is in two passes at most,
-    so ``taken`` is at most twice ``size``.  Rows that repeat a doc_id are rows of
-    their own.  Reruns agree.  Other columns are ignored.
+    ``size`` counts the words of the whole text, however long (null or empty
+    text: 0).  Sources are ordered by code point, null last, and weigh 3, 1, 2,
+    repeating; a source without words has target 0.  A word is taken once per
+    pass of its block; a block is in two passes at most, so ``taken`` is at most
+    twice ``size``.  Rows that repeat a doc_id, or whole rows that repeat, are
+    rows of their own; among equal doc_ids the order is that of a hash of the
+    row, and equal rows share out their places.  A null doc_id comes first in its
+    source.  Reruns agree, however the table is partitioned.  An empty table
+    gives an empty result.  Other columns are ignored.
     """
-    mix = Mix(documents, **options)
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text")
+    mix = Mix(rows, **options)
     times = mix.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    took = mix.pieces().join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    mine = took.select("source_no", "start", "taken")  # a place in the stream belongs to one row that has words
-    every = mix.placed.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(mine.withColumnRenamed("start", "at"), ["source_no", "at"], "left")
-    return every.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    took = mix.pieces().join(times, ["source_no", "block"]).groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    return mix.placed.join(took, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _cut(columns: list[str]):
+    """Rows (d: the document's columns, los, his: spans of words in order) to documents whose text is those words."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.schema.get_field_index("text")
-            spans, out = batch.column(batch.schema.get_field_index("spans")).to_pylist(), []
-            for t in ta.slices(batch.column(text)):
-                w = ta.words_of(t)
-                bounds = w.bounds
-                for k in range(len(t)):
-                    b, parts, last = bounds[k], [], None
-                    for s in sorted(spans[t.first + k], key=lambda s: s["lo"]):
-                        if last == s["lo"]:
-                            parts[-1][1] = s["hi"]
-                        else:
-                            parts.append([s["lo"], s["hi"]])
-                        last = s["hi"]
-                    if parts == [[0, int(w.counts[k])]]:
-                        out.append(t.data[t.offsets[k] : t.offsets[k + 1]].tobytes().decode("utf-8", "replace"))
-                    else:
-                        out.append("\n".join(t.data[w.start[b + lo] : w.end[b + hi - 1]].tobytes().decode("utf-8", "replace") for lo, hi in parts))
-            made = batch.set_column(text, "text", pa.array(out, pa.string()))
-            if "n_chars" in columns:
-                made = made.set_column(made.schema.get_field_index("n_chars"), "n_chars", pa.array([len(x) for x in out], pa.int64()))
-            yield made.select(columns)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                fields = dict(zip(columns, part.column(0).flatten()))
+                los, his = (part.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+                ends = np.cumsum(part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                out = []
+                for t in ta.slices(fields["text"]):
+                    w = ta.words_of(t)
+                    bounds = w.bounds
+                    for k in range(len(t)):
+                        to = ends[t.first + k]
+                        lo, hi = (x[ends[t.first + k - 1] if t.first + k else 0 : to] for x in (los, his))
+                        if hi[-1] - lo[0] == w.counts[k] and (lo[1:] == hi[:-1]).all():
+                            out.append(t.data[t.offsets[k] : t.offsets[k + 1]].tobytes())
+                            continue
+                        first = np.concatenate(([True], lo[1:] != hi[:-1]))  # spans that touch are one
+                        runs = zip(w.start[bounds[k] + lo[first]], w.end[bounds[k] + hi[np.append(first[1:], True)] - 1])
+                        out.append(b"\n".join(t.data[a:b].tobytes() for a, b in runs))
+                fields["text"] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
+                if "n_chars" in fields:
+                    fields["n_chars"] = pc.utf8_length(fields["text"]).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(list(fields.values()), columns)
 
     return cut
 
@@ -171,13 +225,19 @@ def _cut(columns: list[str]):
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The mix as documents with the input's columns: one row per document and pass that takes words of it, its text cut to those words.
 
-    A document whose words are taken twice comes twice; one that no slot takes
-    is left out.  ``n_chars``, where present, is that of the cut text.
+    A document whose words are taken twice comes twice; one that no slot takes,
+    and so one without words, is left out.  ``n_chars``, where present, is that
+    of the cut text, a long; other columns, whatever their names, are passed on.
+    Words cut out of the middle leave a line break.  Nulls, repeats, ties, very long texts
+    and empty tables are as in ``mix_report``.  Texts are written once with a
+    row number and shuffled once, to meet their spans.
     """
-    mix = Mix(documents, **options)
-    slots = mix.slots.select("source_no", "block", "pass")
-    spans = mix.pieces().join(slots, ["source_no", "block"]).groupBy(F.col("tie").alias("_key"), "start", "pass").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    columns = documents.columns
-    once = documents.withColumn("_key", key_of()).dropDuplicates(["_key"])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "n_chars" else "n_chars long" for f in documents.schema.fields)
-    return once.join(spans, "_key").select(*columns, "spans").mapInArrow(_cut(columns), kinds)
+    tuned(documents.sparkSession)
+    kinds = StructType([StructField("n_chars", LongType()) if f.name == "n_chars" else StructField(f.name, f.dataType) for f in documents.schema.fields])
+    rows = save(packed(documents, F.monotonically_increasing_id().alias("row")))
+    mix = Mix(rows.select("row", *(F.col("d")[c].alias(c) for c in ("doc_id", "source", "text"))), **options)
+    met = mix.pieces().join(mix.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+    spans = met.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = save(spans.select("row", F.col("spans.lo").alias("los"), F.col("spans.hi").alias("his")))
+    forget(*mix.saved)
+    return rows.join(spans, "row").select("d", "los", "his").mapInArrow(_cut(documents.columns), kinds)

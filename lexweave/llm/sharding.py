@@ -43,10 +43,14 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, doc_id: str = "do
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) of every row; the law is ``rows``.
 
     Shard counts differ by one at most.  ``slot`` numbers a shard's rows from 0
-    by doc_id.  A null text has size 16, no crc32 and no link; equal empty texts
-    are linked.  ``linked`` is the size of the row's group.  Rows that repeat a
-    doc_id are rows of their own.  Other columns are ignored; an empty table
-    gives an empty result.
+    by doc_id, a null one first.  A null text has size 16, no crc32 and no link;
+    equal empty texts are linked.  ``linked`` is the size of the row's group.
+    Rows that repeat a doc_id are rows of their own.  Only a text's length and
+    hashes are kept, so its length does not matter.  Ties between shards go by a
+    hash of group and shard, ties between rows by their rank in the order of
+    (doc_id, text hash), so the result depends on the rows alone, however they
+    are partitioned.  Other columns, whatever their names, are ignored; an empty
+    table gives an empty result.
     """
     tuned(documents.sparkSession)
     t = F.col(text)
@@ -56,11 +60,16 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, doc_id: str = "do
             (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size"),
             F.crc32(t).alias("text_crc32"),
             F.md5(t).alias("hub"),
+            F.lit(1).alias("one"),
+            F.lit(0).alias("all"),
+            F.monotonically_increasing_id().alias("seq"),  # tells apart rows that are equal in all that counts
         )
     )
     hubs = save(base.filter("hub is not null").groupBy("hub").agg(F.count("*").alias("linked")).filter("linked > 1"))
-    rows = save(base.join(hubs, "hub", "left").withColumn("linked", F.coalesce("linked", F.lit(1))).withColumn("row", F.monotonically_increasing_id()))
-    forget(base)
+    ranked = running_total(base, "all", ["doc_id", "hub", "seq"], "one", "row").drop("seq")
+    linked = ranked.filter("hub is not null").join(hubs, "hub", "left").select(*ranked.columns, F.coalesce("linked", F.lit(1)).alias("linked"))
+    rows = save(linked.union(ranked.filter("hub is null").withColumn("linked", F.lit(1).cast("long"))))
+    forget(base, hubs)
     total = rows.count()
     floor, more = divmod(total, shards)
     now = save(rows.filter("linked > 1").select("row", "hub", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")))
@@ -78,6 +87,7 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, doc_id: str = "do
         for a, b, n in wish.groupBy("shard", "goal").agg(F.sum("n")).collect():  # shards x shards at most
             wanted[a, b] = n
         if not wanted.sum():
+            forget(seen, wish)
             break
         enter = F.element_at(F.array(*(F.lit(float(x)) for x in quotas(sizes, wanted, floor))), F.coalesce("goal", F.lit(0)) + 1)
         moved = now.join(wish.select("hub", "shard", "goal"), ["hub", "shard"], "left")
@@ -85,17 +95,17 @@ def shard_documents(documents: DataFrame, *, shards: int = 40, doc_id: str = "do
         before, now = now, save(moved)
         forget(before, seen, wish)
 
-    placed = running_total(now.withColumn("one", F.lit(1)), "shard", "hub", "one", "rank")
+    placed = running_total(now.withColumn("one", F.lit(1)), "shard", ["hub", "row"], "one", "rank")
     wanted_rows = F.lit(floor) + (F.col("shard") < more).cast("int")
     placed = save(placed.select("row", "shard", (F.col("rank") < wanted_rows).alias("stays")))
     held = {r["shard"]: r["n"] for r in placed.filter("stays").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = np.cumsum([floor + (s < more) - held.get(s, 0) for s in range(shards)])
     joined = rows.join(placed, "row", "left")
     fixed = joined.filter("stays").drop("stays")
-    pool = joined.filter("stays is null or not stays").drop("stays", "shard").withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
-    pool = running_total(pool.withColumn("group", F.when(F.col("linked") > 1, F.col("hub"))), "all", "group", "one", "rank")
+    pool = joined.filter("stays is null or not stays").drop("stays", "shard")
+    pool = running_total(pool.withColumn("group", F.when(F.col("linked") > 1, F.col("hub")).otherwise("~")), "all", ["group", "row"], "one", "rank")
     shard = F.size(F.filter(F.array(*(F.lit(int(x)) for x in free)), lambda x: x <= F.col("rank")))
     columns = ["row", "doc_id", "size", "text_crc32", "linked", "shard"]
     every = fixed.select(*columns).union(pool.withColumn("shard", shard.cast("int")).select(*columns)).withColumn("one", F.lit(1))
-    out = running_total(every, "shard", "doc_id", "one", "slot")
+    out = running_total(every, "shard", ["doc_id", "row"], "one", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("linked").cast("long").alias("linked"))
