@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import remainder, tuned
+from .common import packed, remainder, tuned
 
 U64 = np.uint64
 
@@ -164,51 +164,81 @@ def predict(trees: Trees, t: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
     return names[best], score
 
 
-def _tag(model, least: float, names: tuple[str, str] = ("lang_pred", "score")):
-    """All columns but the last, the text, and the prediction; rows that score less than ``least`` are left out."""
+def _tag(model):
+    """doc_id, held_out and text to the prediction."""
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in ta.slices(batch.column(batch.num_columns - 1)):
+            for t in ta.slices(batch.column(2)):
                 lang, score = predict(model.value, t)
                 part = batch.slice(t.first, len(t))
-                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*part.schema.names[:-1], *names])
-                yield out.filter(pa.array(score >= least)) if least else out
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return tag
 
 
-def identify_language(documents: DataFrame, *, order: int = 4, sample_rows: int = 300, max_langs: int = 200, divisor: int = 3, held: int = 1) -> DataFrame:
+def _sure(model, least: float, text: int, names: list[str]):
+    """Whole rows, packed, to those whose language is sure; the text is field ``text``."""
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = batch.column(0).flatten()
+            for t in ta.slices(fields[text]):
+                lang, score = predict(model.value, t)
+                keep = pa.array((score >= least) & (lang != "und"))
+                yield pa.RecordBatch.from_arrays([f.slice(t.first, len(t)).filter(keep) for f in fields], names)
+
+    return sure
+
+
+def identify_language(documents: DataFrame, *, order: int = 4, sample_rows: int = 300, sample_bytes: int = 2 << 20, max_langs: int = 200, divisor: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``documents``.
 
-    Learns from the whole texts of at most ``sample_rows`` documents for each
-    of the ``max_langs`` most frequent languages, outside the held-out part and
-    with non-null lang.  The score is the posterior of the language at equal priors;
-    ties go to the first name.  A null text, or one without a letter, is
-    ``und`` with score 0, and so is every text when nothing could be learned.  A null doc_id is not held
-    out.  Other columns are ignored.
+    Learns, outside the held-out part, from rows with text, doc_id and lang: of
+    each of the ``max_langs`` most frequent languages (ties: by name), about
+    ``sample_rows`` whole texts, ``sample_bytes`` at most, chosen by a hash of the doc_id; texts
+    longer than an eighth of ``sample_bytes`` are not learnt from.  Every text is
+    scored whole, in one pass over its bytes, however long.  The score is the
+    posterior of the language at equal priors; ties go to the first name.  A null
+    text, or one without a letter, is ``und`` with score 0, and so is every text
+    when nothing could be learned.  A null doc_id is not held out.  Repeated rows
+    are rows of their own; an empty table gives an empty result.  Other columns,
+    whatever their names, are ignored.
     """
-    model = _learn(documents, order, sample_rows, max_langs, divisor, held)
+    model = _learn(documents, order, sample_rows, sample_bytes, max_langs, divisor, held)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", divisor) == held).alias("held_out"), "text")
-    return docs.mapInArrow(_tag(model, 0), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.mapInArrow(_tag(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def recognised(documents: DataFrame, *, least: float = 0.5, order: int = 4, sample_rows: int = 300, max_langs: int = 200, divisor: int = 3, held: int = 1) -> DataFrame:
-    """The rows of ``documents`` whose language is recognised: not ``und``, and scored ``least`` or more.  Rows and columns are otherwise untouched."""
-    model = _learn(documents, order, sample_rows, max_langs, divisor, held)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    tagged = documents.withColumn("_text", F.col("text")).mapInArrow(_tag(model, least, ("_lang", "_sure")), f"{kinds}, _lang string, _sure double")
-    return tagged.drop("_lang", "_sure")
+def recognised(documents: DataFrame, *, least: float = 0.5, order: int = 4, sample_rows: int = 300, sample_bytes: int = 2 << 20, max_langs: int = 200, divisor: int = 3, held: int = 1) -> DataFrame:
+    """The rows of ``documents`` whose language is recognised: not ``und``, and scored ``least`` or more.
+
+    Rows are otherwise untouched, repeats included, and so are columns, whatever
+    their names.  What is learnt, and nulls, ties, very long texts and empty tables, are as in
+    ``identify_language``: null and letterless texts go, null doc_ids stay.
+    """
+    model = _learn(documents, order, sample_rows, sample_bytes, max_langs, divisor, held)
+    names = documents.columns
+    return packed(documents).mapInArrow(_sure(model, least, names.index("text"), names), documents.schema)
 
 
-def _learn(documents: DataFrame, order: int, sample_rows: int, max_langs: int, divisor: int, held: int):
+def _learn(documents: DataFrame, order: int, sample_rows: int, sample_bytes: int, max_langs: int, divisor: int, held: int):
+    """Broadcast trees.  The driver holds a count for each language and then the sample: languages x ``sample_bytes`` at most."""
     tuned(documents.sparkSession)
-    teaching = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = teaching.select("lang", F.col("doc_id").cast("long").alias("doc_id")).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= sample_rows)
-    chosen = ids.orderBy("place", "lang").limit(sample_rows * max_langs).select(F.col("doc_id").alias("id")).distinct()
-    rows = teaching.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("lang", "text", "doc_id").toArrow()
+    size = F.octet_length("text")
+    teaching = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", divisor) != held) & (size <= sample_bytes // 8))
+    teaching = teaching.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    langs = teaching.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     texts: dict[str, list[str]] = {}
-    for lang, text, _ in sorted(zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), rows["doc_id"].to_pylist()), key=lambda x: (x[0], x[2], x[1])):
-        texts.setdefault(lang, []).append(text)
+    share = {r["lang"]: min(1.0, sample_rows / r["n"], 0.75 * sample_bytes / max(1, r["bytes"])) for r in langs}
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    while share:  # an unlucky draw that is too large is made again at half the share
+        wanted = F.create_map(*(F.lit(x) for item in share.items() for x in item))
+        drawn = teaching.filter(draw < F.coalesce(wanted[F.col("lang")], F.lit(0.0)))
+        found = {r["lang"]: r["bytes"] for r in drawn.groupBy("lang").agg(F.sum(size).alias("bytes")).collect()}
+        large = {lang for lang, n in found.items() if n > sample_bytes}
+        fits = drawn.filter(~F.col("lang").isin(*large)) if large else drawn
+        for lang, text, _ in sorted(fits.select("lang", "text", "doc_id").collect(), key=lambda x: (x[0], x[2], x[1])):
+            texts.setdefault(lang, []).append(text)
+        share = {lang: share[lang] / 2 for lang in large}
     return documents.sparkSession.sparkContext.broadcast(Trees(texts, order))
