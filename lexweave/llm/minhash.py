@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import components, forget, only_ids, save, tuned
+from . import common as storage
+from .common import components, forget, only_ids, packed, tuned, without_keys
 
 U64 = np.uint64
 #: Bits of an odd sketch.
@@ -158,10 +159,19 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     fewer words is one shingle; null or blank texts are linked with nothing and
     are their own component.  Equal sets are one class and never make pairs.  A
     row without doc_id is linked with nothing: component_id null, kept false.
-    A repeated doc_id with other text has the links of any of its texts.
-    Other columns are ignored; an empty table gives an empty result.
+    A repeated doc_id is one document with the links of any of its texts; each of
+    its rows is returned with its own n_shingles.  Similarities at the threshold
+    are links.  A long text is one set of 8-byte hashes, in one task at a time.
+    Other columns, whatever their names, are ignored; an empty table gives an
+    empty result.
     """
     tuned(documents.sparkSession)
+    made: list[DataFrame] = []
+
+    def save(df: DataFrame) -> DataFrame:
+        made.append(storage.save(df))
+        return made[-1]
+
     bands, rows = plan(percent / 100, bands)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = save(docs.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, cls binary, bands array<long>, sketch array<long>"))
@@ -186,7 +196,12 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
         fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
         return with_a.filter(fits).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
-    links = save(confirmed(edges))
+    # A doc_id with several texts is in several classes: their representatives are linked through it.
+    several = save(some.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("doc_id"))
+    through = some.select("doc_id", "cls").join(several, "doc_id", "left_semi").distinct().join(reps.select("cls", "rep"), "cls").select("doc_id", "rep")
+    least = through.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    through = through.join(least, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
+    links = save(confirmed(edges).union(through))
     linked = save(components(links))
     forget(members, heads)
     done, common, tested = 1, None, edges
@@ -227,11 +242,31 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
         done, centres = done + centres, centres * 4
         if not ranked.filter(F.col("place") > done).head(1):
             break
-    of = some.select("cls", "doc_id").join(reps.select("cls", "rep"), "cls").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    classes = save(of.groupBy("cls").agg(F.min(F.coalesce("component", "rep")).alias("component")))
-    out = signed.join(classes, "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    classes = reps.select("cls", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
+    classes = save(classes)
+    forget(*(df for df in made if df is not signed and df is not classes))
+    out = some.join(classes, "cls").select("doc_id", "n_shingles", "component")
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component"))
+    return out.union(alone).select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one document of each group of near copies: the smallest doc_id, in the first of its rows by a hash of the whole row.
+
+    Rows without doc_id stay, and so do blank texts, one row for each doc_id.
+    Columns are untouched, whatever their names; links, ties, very long texts and
+    empty tables are as in ``near_duplicates``.
+    """
+    key = F.col("doc_id").cast("long")
+    found = near_duplicates(documents, size=size, percent=percent).filter("doc_id is not null")
+    marks = storage.save(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")))
+    stay = without_keys(documents, key, storage.save(marks.filter("not kept").select("doc_id")))
+    again = storage.save(marks.filter("kept and n > 1").select("doc_id"))
+    if not again.head(1):
+        return stay
+    rows = only_ids(packed(stay, key.alias("key")), again.toDF("key"), "key")
+    first = rows.groupBy("key").agg(F.min_by("d", F.xxhash64(F.to_json("d"))).alias("d"))
+    return without_keys(stay, key, again).union(first.select("d.*"))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
