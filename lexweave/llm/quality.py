@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .features import bytes_of, collect_rows, distinct_rows, labelled, pairs_of
+from .common import tuned
+from .features import characters, characters_of, collect_rows, distinct_rows, labelled, pairs_of
 
 BITS = 20
 #: Characters that count as symbols (fixed values).
@@ -26,7 +27,8 @@ _SYMBOL[list(SYMBOLS.encode())] = True
 
 def features_of(t: ta.Texts) -> tuple[np.ndarray, np.ndarray]:
     w = ta.words_of(t)
-    each = [pairs_of(w, 0, 11, BITS), pairs_of(w, 1, 12, BITS), bytes_of(t, 3, 13, BITS), bytes_of(t, 5, 14, BITS)]
+    chars = characters(t)
+    each = [pairs_of(w, 0, 11, BITS), pairs_of(w, 1, 12, BITS), characters_of(*chars, 3, 13, BITS), characters_of(*chars, 5, 14, BITS)]
     return np.concatenate([d for d, _ in each]), np.concatenate([f for _, f in each])
 
 
@@ -129,17 +131,22 @@ def _judge(model, threshold: float):
     return judge
 
 
-def judge_quality(documents: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, threshold: float = 0.4) -> DataFrame:
+def judge_quality(documents: DataFrame, labels: DataFrame, *, sample_rows: int = 4000, most_bytes: int = 1 << 17, threshold: float = 0.4) -> DataFrame:
     """Counts, base rules, calibrated probability and verdict of every row of ``documents``.
 
     Learns ``labels.quality`` from the whole texts of at most ``sample_rows``
-    labelled documents.  A null text counts as empty and fails the base rules.
-    With no labelled row the probability is 0.5.  A doc_id labelled twice counts
-    as good if either label says so.  Other columns are ignored.
+    labelled documents of ``most_bytes`` at most; all texts are scored whole,
+    however long.  A null text counts as empty and fails the base rules.  With no
+    labelled row the probability is 0.5.  A doc_id labelled twice counts as good
+    if either label says so; one with several texts teaches one of them; a null
+    one teaches nothing and is judged like all others.  A probability at the
+    threshold is kept.  Repeated rows are judged each; an empty table gives an
+    empty result.  Other columns, whatever their names, are ignored.
     """
+    tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = labelled(docs, labels, "quality", sample_rows, F.lit(True))
-    w, *rest = train(*collect_rows(sample, features_of, BITS, 2 * sample_rows))
+    sample = labelled(docs, labels, "quality", sample_rows, most_bytes, F.lit(True))
+    w, *rest = train(*collect_rows(sample, features_of, BITS))
     some = np.flatnonzero(w)
     model = documents.sparkSession.sparkContext.broadcast((some, w[some], *rest))
     return docs.mapInArrow(_judge(model, threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double")

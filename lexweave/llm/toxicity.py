@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import remainder
+from .common import remainder, tuned
 from .features import collect_rows, distinct_rows, labelled, pairs_of
 
 BITS = 20
@@ -76,18 +76,21 @@ def _scorer(model, threshold: float):
     return score
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, threshold: float = 0.3, divisor: int = 4, held: int = 2) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, *, sample_rows: int = 8000, most_bytes: int = 1 << 17, threshold: float = 0.3, divisor: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``documents``.
 
-    Learns ``labels.toxic`` from at most ``sample_rows`` labelled documents
-    outside the held-out part, their whole texts.  A null or empty text has the
-    score of the bias alone.  With no labelled row the score is 0.5.  A doc_id
-    labelled twice counts as toxic if either label says so.  A null doc_id is
-    not held out and teaches nothing.  Other columns are ignored.
+    Learns ``labels.toxic`` from at most ``sample_rows`` labelled documents of
+    ``most_bytes`` at most outside the held-out part, their whole texts; all texts
+    are scored whole, however long.  A null or empty text has the score of the
+    bias alone.  With no labelled row the score is 0.5.  A doc_id labelled twice
+    counts as toxic if either label says so; one with several texts teaches one of
+    them; a null one is not held out and teaches nothing.  A score at the
+    threshold is predicted 1.  Repeated rows are scored each; an empty table gives
+    an empty result.  Other columns, whatever their names, are ignored.
     """
+    tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = labelled(docs, labels, "toxic", sample_rows, remainder("doc_id", divisor) != held)
-    rows, y = collect_rows(sample, features_of, BITS, 2 * sample_rows)
-    model = documents.sparkSession.sparkContext.broadcast(ftrl(rows, y))
+    sample = labelled(docs, labels, "toxic", sample_rows, most_bytes, remainder("doc_id", divisor) != held)
+    model = documents.sparkSession.sparkContext.broadcast(ftrl(*collect_rows(sample, features_of, BITS)))
     out = docs.withColumn("held_out", remainder("doc_id", divisor) == held)
     return out.mapInArrow(_scorer(model, threshold), "doc_id long, held_out boolean, score double, predicted int")
