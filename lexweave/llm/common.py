@@ -9,7 +9,7 @@ from ..storage import forget, fresh_path, remove, save, shared_dir  # noqa: F401
 
 #: Words are maximal runs of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 
 
 def tuned(spark: SparkSession) -> None:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -204,7 +204,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
     links = save(confirmed(edges).union(through))
     linked = save(components(links))
     forget(members, heads)
-    done, common, tested = 1, None, edges
+    done, common, tested = 0, None, edges
     sketches = reps.select(F.col("rep").alias("doc_id"), "sketch")
     words = SKETCH // 64
     differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("ka", F.lit(k)))) for k in range(words)), F.lit(0))
@@ -224,15 +224,16 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
                     sets.select("doc_id", "size").join(unsure, "doc_id", "left_semi").join(alone, "doc_id", "left").join(sketches, "doc_id")
                     .select("sketch", F.col("doc_id").alias("rep"), "size", ((F.col("size") - F.coalesce("alone", F.lit(0))) * (1 + 100 / percent) - F.col("size") + 1e-6).alias("cap"))
                 )
-                full = save(full.select("bucket", "rep", "rank", "component").join(common, "rep"))
-                frame = full.groupBy("bucket").agg(F.min("size").alias("least"), F.max("cap").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-                full = save(full.join(save(frame), "bucket").filter("least <= cap and most >= size").select("bucket", "rep", "rank", "component", "size", "cap", "sketch"))
-            full = full.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("rank")))
+                full = save(full.select("bucket", "rep", "component").join(common, "rep"))
+                frame = full.groupBy("bucket").agg(F.min("size").alias("least"), F.max("cap").alias("most"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+                full = save(full.join(save(frame), "bucket").filter("least <= cap and most >= size").select("bucket", "rep", "component", "size", "cap", "sketch", "members"))
+            # Places are dealt out by a hash, without a sort per bucket; a few members may share one.
+            full = full.withColumn("place", F.floor(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")))
             ranked = save(full.select("bucket", "rep", "size", "cap", "place", "sketch"))
             sets = save(sets.join(common.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
             continue
         heads = now.filter(F.col("place").between(done, done + centres - 1)).select("bucket", F.col("rep").alias("a"), F.col("place").alias("at"), F.col("component").alias("ca"), F.col("size").alias("sa"), F.col("cap").alias("pa"), F.col("sketch").alias("ka"))
-        pairs = now.join(save(heads), "bucket").filter("place > at and component <> ca and size <= pa and sa <= cap").filter(differ <= most)
+        pairs = now.join(save(heads), "bucket").filter("(place > at or place = at and rep > a) and component <> ca and size <= pa and sa <= cap").filter(differ <= most)
         pairs = save(pairs.select("a", F.col("rep").alias("b")).filter("a <> b").distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
         new = save(confirmed(pairs))
@@ -240,7 +241,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80, b
             links = save(links.union(new))
             linked = save(components(links))
         done, centres = done + centres, centres * 4
-        if not ranked.filter(F.col("place") > done).head(1):
+        if not ranked.filter(F.col("place") >= done).head(1):
             break
     classes = reps.select("cls", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     classes = save(classes)
