@@ -1,24 +1,29 @@
-"""Katz backoff language model, order two, scored over whole texts.
+"""Katz backoff language model of any order, scored over whole texts.
 
-The corpus is cut into chunks of about ``CHUNK_TOKENS`` tokens where it is
+The corpus is cut into chunks of about ``chunk_tokens`` tokens where it is
 read.  A chunk is stored once as its distinct words and a stream of word
 numbers.  Everything global is asked for: a chunk sends each distinct key once
 with what it knows (a count, a partial sum) to the key's bucket, and the bucket
-answers each chunk in the order of its keys.  Three such rounds make the model:
-
-1. words  -> count of each word in the training texts;
-2. pairs  -> count of each pair of neighbours, and which chunk owns it;
-3. words as histories -> discounted mass and lower-order mass of all their
-   successors, summed over the owners, which give the backoff weights.
-
-A key occurs once per chunk, however frequent it is, so there are no hot keys,
-and the number of buckets follows the number of keys.  The tables are written
-to shared storage by kind and bucket; no table is broadcast or collected.  The
-driver holds counts of counts (a dozen numbers).
-
-P(b | a) = d(c(a,b)) c(a,b) / c(a) if the pair was seen, else
-alpha(a) P(b); P(b) = d(c(b)) c(b) / N, and unknown words share what is left.
-Discounts are Good-Turing with Katz's limit; alpha makes P(. | a) sum to one.
+answers each chunk in the order of its keys.  The rounds are:
+
+1. words and pairs -> their counts in the training texts;
+2. for each order k from two up: (k-1)-grams as histories -> the discounted mass
+   and the lower-order mass of all their successors, which give the backoff
+   weights; and, below the model's order, (k+1)-grams -> their counts.
+
+A gram is asked for only if its history was seen in training.  A history that
+occurs once in the whole corpus has one successor, whose count is one: that is
+known where it stands, and asked for no further.  A key occurs once per chunk,
+however frequent it is, so there are no hot keys, and the number of buckets
+follows the number of keys.  The tables are written to shared storage by kind
+and bucket and read back by chunk; no table is broadcast or collected.  The driver holds
+counts of counts, a dozen numbers for each order.
+
+P(w | h) = d(c(hw)) c(hw) / c(h) if the gram was seen, else alpha(h) P(w | h')
+with h' the history without its first word, evaluated from the lowest order up;
+P(w) = d(c(w)) c(w) / N, and unknown words share what is left.  Histories do not
+reach beyond the end mark that stands before each text.  Discounts are
+Good-Turing with Katz's limit; alpha makes P(. | h) sum to one.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import forget, remainder, save
+from .common import forget, remainder, save, tuned
 
 U64 = np.uint64
 CHUNK_TOKENS = 1 << 20
@@ -44,7 +49,8 @@ KATZ_LIMIT = 5
 END = U64(0xE17A1465B1D8F3C7)
 MESSAGE = "chunk long, kind int, bucket int, a binary, b binary"
 CHUNK = "chunk long, words binary, taught binary, stream binary, texts binary"
-ENCODED, STREAM, WORD, PAIR, HISTORY, STATS = range(6)
+#: Kinds of messages; GRAM + k are counts of k-grams, HISTORY + k weights of histories of k-grams, STATS + k counts of counts.
+ENCODED, STREAM, GRAM, HISTORY, STATS = 0, 1, 100, 200, 300
 
 
 def discounts(n: np.ndarray, limit: int = KATZ_LIMIT) -> np.ndarray:
@@ -79,12 +85,21 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
+def _pack_keys(x: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return _pack(np.diff(x, prepend=U64(0)))
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, U64), dtype=U64)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     chunk, kind, bucket, a, b = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["chunk", "kind", "bucket", "a", "b"])
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text, held to one row for each chunk."""
     part, made = TaskContext.get().partitionId(), 0
     hashes, lengths, ids, flags, held = [], [], [], [], 0
@@ -123,53 +138,92 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(key.fill_null(0).to_numpy(zero_copy_only=False))
             flags.append(out.to_numpy(zero_copy_only=False).astype(np.uint8) | (key.is_null().to_numpy(zero_copy_only=False).astype(np.uint8) << 1))
             held += len(h)
-            if held >= CHUNK_TOKENS:
+            if held >= chunk_tokens:
                 yield flush()
     if held:
         yield flush()
 
 
 class Chunk:
-    """One chunk's rows, by kind."""
+    """One chunk's rows, by kind, and what they say about its tokens."""
 
     def __init__(self, rows: dict[int, list[tuple[int, bytes, bytes]]]):
         self.rows = rows
         self.words = np.frombuffer(rows[ENCODED][0][1], U64)
-        if STREAM in rows:
-            self.stream = _unpack(rows[STREAM][0][1], np.uint32)
-            raw = zstandard.ZstdDecompressor().decompress(rows[STREAM][0][2])
-            docs = len(raw) // 17
-            self.ids = np.frombuffer(raw, np.int64, docs)
-            self.lengths = np.frombuffer(raw, np.int64, docs, 8 * docs)
-            self.flags = np.frombuffer(raw, np.uint8, docs, 16 * docs)
-
-    def pairs(self) -> None:
-        """Distinct pairs (first, second: word numbers), their hashes, and the pair of each token."""
-        end = np.flatnonzero(self.words == END)[0]
-        before = np.empty(len(self.stream), U64)
-        before[1:] = self.stream[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = end
-        key = (before << U64(32)) | self.stream
-        del before
+        self.stream = _unpack(rows[STREAM][0][1], np.uint32)
+        raw = zstandard.ZstdDecompressor().decompress(rows[STREAM][0][2])
+        docs = len(raw) // 17
+        self.ids = np.frombuffer(raw, np.int64, docs)
+        self.lengths = np.frombuffer(raw, np.int64, docs, 8 * docs)
+        self.flags = np.frombuffer(raw, np.uint8, docs, 16 * docs)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def taught(self) -> np.ndarray:
+        return np.repeat((self.flags & 1) == 0, self.lengths)
+
+    def level(self, k: int, before: Level) -> Level:
+        """The k-grams whose history is among ``before``'s grams that were asked for."""
+        history = np.empty(len(self.stream), np.int64)
+        history[1:] = before.at[:-1]
+        history[self.starts] = np.flatnonzero(self.words == END)[0] if k == 2 else -1
+        if before.count is not None:
+            lone = history >= 0
+            lone[lone] = before.lone[history[lone]] & (before.count[history[lone]] > 0)
+            lone[1:] |= before.single[:-1]
+            lone[self.starts] = False
+            known = history >= 0
+            known[known] = (before.count[history[known]] > 0) & ~before.lone[history[known]]
+        else:
+            lone, known = np.zeros(len(history), bool), history >= 0
+        asked = np.flatnonzero(known)
+        key = (history[asked].astype(U64) << U64(32)) | self.stream[asked]
         order = np.argsort(key)
         begins = ta.runs(key[order])
-        self.of_token = np.empty(len(key), np.int64)
-        self.of_token[order] = np.repeat(np.arange(len(begins)), ta.run_lengths(begins, len(key)))
-        key = key[order[begins]]
-        del order
-        self.first, self.second = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
-        self.pair = ta.combine(self.words[self.first], self.words[self.second])
+        at = np.full(len(history), -1, np.int64)
+        at[asked[order]] = np.repeat(np.arange(len(begins)), ta.run_lengths(begins, len(key)))
+        one = asked[order[begins]]  # a place of each gram
+        return Level(at, lone, history[one], one, ta.combine(before.keys[history[one]], self.words[self.stream[one]]))
 
     def answer(self, kind: int, keys: np.ndarray, *types) -> list[np.ndarray]:
         """Answers of the buckets, in the order of ``keys``."""
         order = np.argsort(keys)
         out = []
+        rows = sorted(self.rows.get(kind, ()), key=lambda r: r[0])
         for k, of in enumerate(types):
             x = np.empty(len(keys), of)
-            x[order] = np.concatenate([_unpack(r[1 + k], of) for r in sorted(self.rows[kind], key=lambda r: r[0])])
+            if len(keys):
+                x[order] = np.concatenate([_unpack(r[1 + k], of) for r in rows])
             out.append(x)
         return out
 
+    def levels(self, order: int) -> list[Level]:
+        """Levels 1 to ``order``, those that have been answered with counts."""
+        first = Level(self.stream.astype(np.int64), np.zeros(len(self.stream), bool), None, None, self.words)
+        out = [first]
+        for k in range(1, order + 1):
+            if k > 1:
+                # Every pair is asked for, whatever its history's count.
+                out.append(self.level(k, out[-1] if k > 2 else Level(first.at, first.single, None, None, first.keys)))
+            if GRAM + k in self.rows:
+                count, flags = self.answer(GRAM + k, out[-1].keys, np.int64, np.uint8)
+                out[-1].count, out[-1].own, out[-1].lone = count, (flags & 1) > 0, (flags & 2) > 0
+        return out
+
+
+class Level:
+    """The k-grams of a chunk: which one ends at each token (-1: not asked for), whether it is its history's only successor anywhere, and of each distinct one its history, a place, and its key."""
+
+    def __init__(self, at: np.ndarray, single: np.ndarray, history: np.ndarray | None, place: np.ndarray | None, keys: np.ndarray):
+        self.at, self.single, self.history, self.place, self.keys = at, single, history, place, keys
+        self.count = self.own = self.lone = None
+
+    def counts(self) -> np.ndarray:
+        """The training count of the gram that ends at each token."""
+        out = self.single.astype(np.int64)
+        some = self.at >= 0
+        out[some] = self.count[self.at[some]]
+        return out
+
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
     now, rows = None, {}
@@ -185,138 +239,180 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
         yield now, Chunk(rows)
 
 
-def _asked(chunk: int, kind: int, keys: np.ndarray, buckets: int, a: np.ndarray, b: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Keys in order, cut by bucket: (chunk, kind, bucket, keys, packed values)."""
+def _asked(chunk: int, kind: int, keys: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys in order, cut by bucket: (chunk, kind, bucket, packed keys, packed values)."""
+    if not len(keys):
+        return
     order = np.argsort(keys)
-    keys, a = keys[order], a[order]
+    keys, values = keys[order], [v[order] for v in values]
     bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
     begins = ta.runs(bucket)
     rows = []
     for lo, hi in zip(begins, np.append(begins[1:], len(keys))):
-        value = _pack(a[lo:hi]) if b is None else _pack(np.concatenate((a[lo:hi], b[order][lo:hi])))
-        rows.append((chunk, kind, int(bucket[lo]), keys[lo:hi].tobytes(), value))
+        rows.append((chunk, kind, int(bucket[lo]), _pack_keys(keys[lo:hi]), _pack(np.concatenate([v[lo:hi] for v in values]))))
     yield _rows(rows)
 
 
-def _ask_words(buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _chunks(batches):
-            yield from _asked(chunk, WORD, c.words, buckets, _unpack(c.rows[ENCODED][0][2], np.int64))
-
-    return ask
-
+def _ask_first(buckets: int):
+    """Words and pairs of each stored chunk."""
 
-def _ask_pairs(buckets: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 chunk, words, taught, stream, texts = (batch.column(k)[row].as_py() for k in range(5))
                 c = Chunk({ENCODED: [(0, words, taught)], STREAM: [(0, stream, texts)]})
-                c.pairs()
-                known = np.bincount(c.of_token[np.repeat((c.flags & 1) == 0, c.lengths)], minlength=len(c.pair))
-                yield from _asked(chunk, PAIR, c.pair, buckets, known.astype(np.int64))
+                every = np.bincount(c.stream, minlength=len(c.words))
+                yield from _asked(chunk, GRAM + 1, c.words, buckets, _unpack(taught, np.int64), every)
+                yield from _ask_counts(chunk, c, 2, c.levels(2)[1], buckets)
 
     return ask
 
 
-def _ask_histories(buckets: int, model: Model):
+def _ask_counts(chunk: int, c: Chunk, k: int, level: Level, buckets: int) -> Iterator[pa.RecordBatch]:
+    taught = c.taught()
+    known = level.at >= 0
+    every = np.bincount(level.at[known], minlength=len(level.keys))
+    yield from _asked(chunk, GRAM + k, level.keys, buckets, np.bincount(level.at[known & taught], minlength=len(level.keys)), every)
+    if k > 2:  # grams that are not asked for and have count one
+        n = int(level.single.sum())
+        yield _rows([(-1, STATS + k, 0, np.array([n, n, n, *[0] * KATZ_LIMIT], np.int64).tobytes(), b"")])
+
+
+def _ask_next(k: int, order: int, buckets: int, model: Model):
+    """Weights of the histories of k-grams and, below the order, counts of (k + 1)-grams."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, c in _chunks(batches):
-            c.pairs()
-            (count,) = c.answer(WORD, c.words, np.int64)
-            pair, own = c.answer(PAIR, c.pair, np.int64, np.uint8)
-            own = own > 0
-            mass = np.bincount(c.first[own], discounted(pair[own], model.pair), len(c.words))
-            lower = np.bincount(c.first[own], model.word_probability(count[c.second[own]]), len(c.words))
-            yield from _asked(chunk, HISTORY, c.words, buckets, mass, lower)
+            levels = c.levels(k)
+            below, here = levels[k - 2], levels[k - 1]
+            own = here.own
+            of, place = here.history[own], here.place[own]
+            if k == 2:
+                lower = model.word_probability(below.count[c.stream[place]])
+            else:  # a seen gram's shorter form was seen too
+                history = levels[k - 3].at[place - 1]
+                total = _weights(c, levels, k - 1)[1]
+                lower = discounted(below.counts()[place], model.grams[k - 1]) / np.where(below.single[place], model.single(k - 1), total[np.maximum(history, 0)])
+            n = len(below.keys)
+            mass = np.bincount(of, discounted(here.count[own], model.grams[k]), n)
+            lower = np.bincount(of, lower, n)
+            some = (below.count > 0) & ~below.lone if k > 2 else np.ones(n, bool)
+            yield from _asked(chunk, HISTORY + k, below.keys[some], buckets, below.count[some].astype(np.float64), mass[some], lower[some])
+            if k < order:
+                yield from _ask_counts(chunk, c, k + 1, c.level(k + 1, here), buckets)
 
     return ask
 
 
-def _answer(kind: int):
+def _weights(c: Chunk, levels: list[Level], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weight and total of each (k - 1)-gram as a history; one and zero where it was not seen."""
+    of = levels[k - 2]
+    some = (of.count > 0) & ~of.lone if k > 2 else np.ones(len(of.keys), bool)
+    alpha, total = np.ones(len(of.keys)), np.zeros(len(of.keys))
+    alpha[some], total[some] = c.answer(HISTORY + k, of.keys[some], np.float64, np.float64)
+    return alpha, total
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's totals, told to each chunk in the order of its keys; and counts of counts."""
+    for kind, bucket, rows in _buckets(batches):
+        if kind >= STATS:
+            yield _rows([(-1, kind, bucket, a, b) for _, a, b in rows])
+            continue
+        keys = [_unpack_keys(a) for _, a, _ in rows]
+        number = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        begins = ta.runs(every[order])
+        size = ta.run_lengths(begins, len(every))
+        bounds = np.searchsorted(number, np.arange(len(rows) + 1))
+        parts = 2 if kind < HISTORY else 3
+        split = [np.split(_unpack(b, np.int64 if kind < HISTORY else np.float64), parts) for _, _, b in rows]
+        values = [np.concatenate([x[k] for x in split])[order] for k in range(parts)]
+
+        def told(x: np.ndarray) -> np.ndarray:
+            out = np.empty(len(every), x.dtype)
+            out[order] = np.repeat(x, size)
+            return out
+
+        if kind < HISTORY:
+            total, seen = (np.add.reduceat(v, begins) for v in values)
+            count = total[total > 0]
+            stats = np.concatenate(([count.sum(), len(count)], np.bincount(np.minimum(count, KATZ_LIMIT + 2), minlength=KATZ_LIMIT + 3)[1 : KATZ_LIMIT + 2])).astype(np.int64)
+            yield _rows([(-1, STATS + kind - GRAM, bucket, stats.tobytes(), b"")])
+            flags = told((seen == 1).astype(np.uint8) << 1)
+            flags[order[begins]] |= total > 0  # the first chunk with the key owns it, if it was seen in training
+            answers = told(total), flags
+        else:
+            count, mass, lower = values[0][begins], np.add.reduceat(values[1], begins), np.add.reduceat(values[2], begins)
+            known = np.maximum(1, count)
+            # A history whose successors are all frequent has no mass to give: it counts one occurrence more.
+            total = np.where(known - mass < 1e-6, mass + 1, known)
+            answers = told(np.where(count > 0, (total - mass) / total / np.maximum(1 - lower, 1e-15), 1.0)), told(total)
+        for k, (chunk, _, _) in enumerate(rows):
+            at = slice(bounds[k], bounds[k + 1])
+            yield _rows([(chunk, kind, bucket, _pack(answers[0][at]), _pack(answers[1][at]))])
+
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _buckets(batches):
-            keys = [np.frombuffer(a, U64) for _, a, _ in rows]
-            number = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
-            every = np.concatenate(keys)
-            order = np.argsort(every, kind="stable")
-            begins = ta.runs(every[order])
-            size = ta.run_lengths(begins, len(every))
-            bounds = np.searchsorted(number, np.arange(len(rows) + 1))
-            if kind == HISTORY:
-                halves = [np.split(_unpack(b, np.float64), 2) for _, _, b in rows]
-                values = [np.concatenate([h[k] for h in halves]) for k in range(2)]
-            else:
-                values = [np.concatenate([_unpack(b, np.int64) for _, _, b in rows])]
-            told = []
-            for v in values:
-                total = np.add.reduceat(v[order], begins)
-                x = np.empty(len(every), v.dtype)
-                x[order] = np.repeat(total, size)
-                told.append(x)
-            if kind != HISTORY:
-                count = total[total > 0]
-                stats = np.concatenate(([count.sum(), len(count)], np.bincount(np.minimum(count, KATZ_LIMIT + 2), minlength=KATZ_LIMIT + 3)[1 : KATZ_LIMIT + 2])).astype(np.int64)
-                yield _rows([(-1, STATS, bucket, stats.tobytes(), b"")])
-                owner = np.zeros(len(every), np.uint8)  # the first chunk with the key owns it, if it was seen in training
-                owner[order[begins]] = total > 0
-                told.append(owner)
-            for k, (chunk, _, _) in enumerate(rows):
-                at = slice(bounds[k], bounds[k + 1])
-                yield _rows([(chunk, kind, bucket, _pack(told[0][at]), _pack(told[1][at]))])
-
-    return answer
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes, bytes]]]]:
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, bytes, bytes]]]]:
+    """(kind, bucket, its rows) in turn; the input is sorted by bucket and kind."""
     now, rows = None, []
     for batch in batches:
         for k in range(len(batch)):
-            bucket = batch.column(2)[k].as_py()
-            if bucket != now and rows:
-                yield now, rows
+            at = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+            if at != now and rows:
+                yield *now, rows
                 rows = []
-            now = bucket
+            now = at
             rows.append((batch.column(0)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()))
     if rows:
-        yield now, rows
+        yield *now, rows
 
 
 class Model:
-    """What every task knows: totals and discounts."""
-
-    def __init__(self, tokens: int, distinct: int, words_of_count: np.ndarray, pairs_of_count: np.ndarray):
-        self.tokens, self.distinct = tokens, distinct
-        self.word, self.pair = discounts(words_of_count), discounts(pairs_of_count)
-        r = np.arange(1, KATZ_LIMIT + 1)
-        lost = float(((1 - self.word) * r * words_of_count[r]).sum())
-        if tokens and not 0 < lost < tokens:  # nothing rare: keep half a token for the unknown
-            self.word, lost = np.ones(KATZ_LIMIT), 0.5
-            self.scale = (tokens - lost) / tokens
-        else:
+    """What every task knows: totals, and discounts by order."""
+
+    def __init__(self):
+        self.grams: dict[int, np.ndarray] = {}
+
+    def learn(self, k: int, stats: np.ndarray) -> None:
+        n = np.append(0, stats[2:])
+        self.grams[k] = discounts(n)
+        if k == 1:
+            self.tokens, self.distinct = int(stats[0]), int(stats[1])
+            r = np.arange(1, KATZ_LIMIT + 1)
+            lost = float(((1 - self.grams[1]) * r * n[r]).sum())
             self.scale = 1.0
-        self.unknown = lost / tokens if tokens else 1.0
+            if self.tokens and not 0 < lost < self.tokens:  # nothing rare: keep half a token for the unknown
+                self.grams[1], lost = np.ones(KATZ_LIMIT), 0.5
+                self.scale = (self.tokens - lost) / self.tokens
+            self.unknown = lost / self.tokens if self.tokens else 1.0
 
     def word_probability(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.scale * discounted(c, self.word) / max(1, self.tokens), self.unknown)
+        return np.where(c > 0, self.scale * discounted(c, self.grams[1]) / max(1, self.tokens), self.unknown)
+
+    def single(self, k: int) -> float:
+        """The total of a history that occurs once."""
+        mass = float(self.grams[k][0])
+        return 1.0 if 1 - mass >= 1e-6 else mass + 1
 
 
-def _score(model: Model):
+def _score(order: int, model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c in _chunks(batches):
-            c.pairs()
-            (count,) = c.answer(WORD, c.words, np.int64)
-            pair, _ = c.answer(PAIR, c.pair, np.int64, np.uint8)
-            mass, lower = c.answer(HISTORY, c.words, np.float64, np.float64)
-            below = model.word_probability(count)
-            known = np.maximum(1, count)
-            left = known - mass  # a history whose successors are all frequent has no mass to give: it counts one occurrence more
-            total = np.where(left < 1e-6, mass + 1, known)
-            alpha = np.where(count > 0, (total - mass) / total / np.maximum(1 - lower, 1e-15), 1.0)
-            p = np.where(pair > 0, discounted(pair, model.pair) / total[c.first], alpha[c.first] * below[c.second])
-            bounds = np.cumsum(c.lengths) - c.lengths
+            levels = c.levels(order)
+            count = levels[0].count
+            p = model.word_probability(count)[c.stream]
+            for k in range(2, order + 1):
+                alpha, total = _weights(c, levels, k)
+                here, of = levels[k - 1], levels[k - 2]
+                history = np.empty(len(p), np.int64)
+                history[1:] = of.at[:-1]
+                history[c.starts] = np.flatnonzero(c.words == END)[0] if k == 2 else -1
+                seen = here.counts()
+                near = np.maximum(history, 0)
+                total = np.where(here.single, model.single(k), total[near])
+                p = np.where(seen > 0, discounted(seen, model.grams[k]) / np.where(seen > 0, total, 1), np.where(history >= 0, alpha[near], 1.0) * p)
             base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
             n = len(c.ids)
             yield pa.RecordBatch.from_arrays(
@@ -324,10 +420,10 @@ def _score(model: Model):
                     pa.array(c.ids, mask=(c.flags & 2) > 0),
                     pa.array((c.flags & 1) > 0),
                     pa.array(c.lengths),
-                    pa.array(np.add.reduceat((count[c.stream] > 0).astype(np.int64), bounds)),
+                    pa.array(np.add.reduceat((count[c.stream] > 0).astype(np.int64), c.starts)),
                     pa.array(np.full(n, model.tokens, np.int64)),
-                    pa.array(np.add.reduceat(base[c.stream], bounds)),
-                    pa.array(np.add.reduceat(np.log10(p)[c.of_token], bounds)),
+                    pa.array(np.add.reduceat(base[c.stream], c.starts)),
+                    pa.array(np.add.reduceat(np.log10(p), c.starts)),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
@@ -335,55 +431,71 @@ def _score(model: Model):
     return score
 
 
-def _stats(answers: DataFrame) -> np.ndarray:
-    """Sum of the buckets' counts of counts: (sum, distinct, counts 1.. limit + 1); folded in Spark, a dozen numbers arrive."""
-    rows = answers.filter(F.col("kind") == STATS).select("a").mapInArrow(_fold, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(KATZ_LIMIT + 3, np.int64)
-    for k, n in rows:
-        out[k] = n
+def _stats(answers: DataFrame) -> dict[int, np.ndarray]:
+    """By order: sum of the buckets' counts of counts (sum, distinct, counts 1.. limit + 1); folded in Spark, a dozen numbers arrive for each."""
+    rows = answers.filter(F.col("kind") >= STATS).select("kind", "a").mapInArrow(_fold, "kind int, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).collect()
+    out: dict[int, np.ndarray] = {}
+    for kind, k, n in rows:
+        out.setdefault(kind - STATS, np.zeros(KATZ_LIMIT + 3, np.int64))[k] = n
     return out
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = sum((np.frombuffer(b.as_buffer(), np.int64) for b in batch.column(0)), np.zeros(KATZ_LIMIT + 3, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], ["k", "n"])
+        x = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in batch.column(1)])
+        width = KATZ_LIMIT + 3
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), width)), pa.array(np.tile(np.arange(width, dtype=np.int32), len(batch))), pa.array(x)], ["kind", "k", "n"])
 
 
-def score_texts(documents: DataFrame, *, divisor: int = 5, held: int = 1) -> DataFrame:
+def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held: int = 1, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``documents``.
 
     Words are lower-cased A-Z; every text ends with one end token, so a null or
     empty text has one token.  Learns from all whole texts outside the held-out
     part; rows without doc_id teach and are not held out.  ``base_score`` is the
-    add-half unigram, ``score`` the Katz model, both log10.  Repeated rows are
-    rows of their own.  With nothing to learn from, every token is unknown and has
-    probability one.  Other columns are ignored.
+    add-half unigram, ``score`` the Katz model of ``order`` (two or more), both
+    log10.  Repeated rows are rows of their own, and each teaches.  With nothing
+    to learn from, every token is unknown and has probability one.  There are no
+    ties to break: equal texts have equal scores.  A long text is one chunk, in memory
+    at once.  An empty table gives an empty result.  Other columns, whatever their
+    names, are ignored.
+
+    Chunks and buckets both follow the input, so messages between them grow with
+    its square: beyond some 10**10 tokens choose larger chunks (about 200 bytes
+    of memory for a token).
     """
+    if order < 2:
+        raise ValueError("the order is two or more")
+    tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", divisor) == held).alias("held"))
-    encoded = save(docs.mapInArrow(_encode, CHUNK))
+    encoded = save(docs.mapInArrow(lambda batches: _encode(batches, chunk_tokens), CHUNK))
     heads = encoded.select("chunk", F.lit(ENCODED).alias("kind"), F.lit(0).alias("bucket"), F.col("words").alias("a"), F.col("taught").alias("b"))
     streams = encoded.select("chunk", F.lit(STREAM).alias("kind"), F.lit(0).alias("bucket"), F.col("stream").alias("a"), F.col("texts").alias("b"))
-    seen = encoded.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0)), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(1))).first()
-    chunks, words = seen[0], seen[1] // 8
+    seen = encoded.agg(F.count("*"), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(1))).first()
+    chunks = seen[0]
     tasks = max(1, min(chunks, 100_000))
     # Chunks are numbered by rounds over the tasks that made them, and dealt out by number: the same count to each task.
-    turn = ((F.col("chunk").bitwiseAND(0xFFFFFFFF) * seen[2] + F.shiftright("chunk", 32)) % tasks).cast("int")
+    turn = ((F.col("chunk").bitwiseAND(0xFFFFFFFF) * seen[1] + F.shiftright("chunk", 32)) % tasks).cast("int")
+    buckets = max(8, int(chunks * chunk_tokens * 0.6 / BUCKET_KEYS) + 1)
+    told: list[DataFrame] = []
 
-    def answered(kind: int, asked: DataFrame, buckets: int) -> DataFrame:
-        return save(asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer(kind), MESSAGE))
+    def answered(asked: DataFrame) -> dict[int, np.ndarray]:
+        told.append(save(asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(_answer, MESSAGE)))
+        return _stats(told[-1])
 
-    def gathered(*tables: DataFrame) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
+    def gathered() -> DataFrame:
+        out = heads.union(streams)
+        for t in told:
             out = out.union(t.filter("chunk >= 0"))
         return out.repartitionById(tasks, turn).sortWithinPartitions("chunk", "kind")
 
-    few = max(8, int(words / BUCKET_KEYS) + 1)
-    many = max(8, int(chunks * CHUNK_TOKENS * 0.6 / BUCKET_KEYS) + 1)
-    word = answered(WORD, heads.mapInArrow(_ask_words(few), MESSAGE), few)
-    pair = answered(PAIR, encoded.mapInArrow(_ask_pairs(many), MESSAGE), many)
-    of_words, of_pairs = _stats(word), _stats(pair)
-    model = Model(int(of_words[0]), int(of_words[1]), np.append(0, of_words[2:]), np.append(0, of_pairs[2:]))
-    history = answered(HISTORY, gathered(heads, streams, word, pair).mapInArrow(_ask_histories(few, model), MESSAGE), few)
-    return gathered(heads, streams, word, pair, history).mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = Model()
+    none = np.zeros(KATZ_LIMIT + 3, np.int64)
+    stats = answered(encoded.mapInArrow(_ask_first(buckets), MESSAGE))
+    for k in (1, 2):
+        model.learn(k, stats.get(k, none))
+    for k in range(2, order + 1):
+        stats = answered(gathered().mapInArrow(_ask_next(k, order, buckets, model), MESSAGE))
+        if k < order:
+            model.learn(k + 1, stats.get(k + 1, none))
+    return gathered().mapInArrow(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

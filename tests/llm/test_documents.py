@@ -113,14 +113,17 @@ def held(i, divisor, rest):
     return i is not None and zlib.crc32(str(i).encode()) % divisor == rest
 
 
-def test_katz(docs, rows):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, rows, order):
     end = "\0"
     texts = [(r[0], [*words((r[1] or "").translate(LOWER)), end]) for r in rows]
-    one, two = collections.Counter(), collections.Counter()
-    for i, t in texts:
-        if not held(i, 5, 1):
-            one.update(t)
-            two.update(zip([end, *t[:-1]], t))
+
+    def grams(t, k):
+        padded = [end, *t]
+        return [(tuple(padded[j + 2 - k : j + 1]), w) for j, w in enumerate(t) if j >= k - 2]
+
+    one = collections.Counter(w for i, t in texts if not held(i, 5, 1) for w in t)
+    many = {k: collections.Counter(g for i, t in texts if not held(i, 5, 1) for g in grams(t, k)) for k in range(2, order + 1)}
     total = sum(one.values())
 
     def law(c, limit=5):
@@ -133,27 +136,47 @@ def test_katz(docs, rows):
             d[r] = good if 0 < good <= 1 else (r - off) / r
         return lambda c: d.get(c, 1) * c
 
-    d1, d2 = law(one), law(two)
+    d1 = law(one)
     lost = 1 - sum(map(d1, one.values())) / total
     low = {w: d1(c) / total for w, c in one.items()}
-    mass, below = collections.Counter(), collections.Counter()
-    for (a, b), c in two.items():
-        mass[a] += d2(c)
-        below[a] += low[b]
-
-    def p(a, b):
-        if not one[a]:
-            return low.get(b, lost)
-        n = one[a] if one[a] - mass[a] > 1e-6 else mass[a] + 1
-        return d2(two[a, b]) / n if two[a, b] else (n - mass[a]) / n / (1 - below[a]) * low.get(b, lost)
-
-    for a in [end, "dika", *list(one)[:5]]:
-        assert sum(p(a, b) for b in one) + p(a, "unknown") == pytest.approx(1)
+    cut = {k: law(many[k]) for k in many}
+    after = {k: collections.defaultdict(list) for k in many}
+    for k, c in many.items():
+        for (h, w), n in c.items():
+            after[k][h].append((w, n))
+    known = {}
+
+    def history(h):
+        """(total, alpha) of a history, by the definition."""
+        if h not in known:
+            k = len(h) + 1
+            n, mass = sum(n for _, n in after[k][h]), sum(cut[k](n) for _, n in after[k][h])
+            n = n if n - mass > 1e-6 else mass + 1
+            known[h] = n, (n - mass) / n / (1 - sum(p(h[1:], w) for w, _ in after[k][h]))
+        return known[h]
+
+    def p(h, w):
+        if not h:
+            return low.get(w, lost)
+        k = len(h) + 1
+        if h not in after[k]:
+            return p(h[1:], w)
+        n, alpha = history(h)
+        c = many[k][h, w]
+        return cut[k](c) / n if c else alpha * p(h[1:], w)
+
+    for h in [(end,), ("dika",), *list(after[order])[:8]]:
+        assert sum(p(h, w) for w in one) + p(h, "unknown") == pytest.approx(1)
+
+    def score(t):
+        padded = [end, *t]
+        return sum(math.log10(p(tuple(padded[max(0, j + 2 - order) : j + 1]), w)) for j, w in enumerate(t))
+
     want = sorted(
-        (-1 if i is None else i, held(i, 5, 1), len(t), sum(one[w] > 0 for w in t), round(sum(math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1))) for w in t), 6), round(sum(math.log10(p(a, b)) for a, b in zip([end, *t[:-1]], t)), 6))
+        (-1 if i is None else i, held(i, 5, 1), len(t), sum(one[w] > 0 for w in t), round(sum(math.log10((one[w] + 0.5) / (total + 0.5 * (len(one) + 1))) for w in t), 6), round(score(t), 6))
         for i, t in texts
     )
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, order=order, chunk_tokens=2000).collect())
     assert [x[:4] for x in got] == [x[:4] for x in want]
     assert [x[4:] for x in got] == [pytest.approx(x[4:], abs=1e-5) for x in want]
 
