@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def without_keys(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return only_ids(packed(df, key.alias("key")), gone.toDF("key"), "key", how="left_anti").select("d.*")
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Like ``save``, as an external table bucketed by ``key``: joins and cogroups on ``key`` read it without a shuffle."""
+    spark, path = df.sparkSession, path or fresh_path(df.sparkSession)
+    name = f"lexweave_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._saved_at, out._table = path, name
+    return out
+
+
 def only_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 4_000_000, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (``left_anti``: is not).  The ids are counted first: up to ``most`` (8 bytes each) are broadcast, so that wide rows stay where they are; more are joined by a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)

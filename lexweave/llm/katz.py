@@ -13,11 +13,14 @@ answers each chunk in the order of its keys.  The rounds are:
 
 A gram is asked for only if its history was seen in training.  A history that
 occurs once in the whole corpus has one successor, whose count is one: that is
-known where it stands, and asked for no further.  A key occurs once per chunk,
+known where it stands, and asked for no further.  Backoff weights are summed up
+only for histories that held-out texts have too, as every gram of a training text
+was seen, and told to the chunks that need them.  A key occurs once per chunk,
 however frequent it is, so there are no hot keys, and the number of buckets
 follows the number of keys.  The tables are written to shared storage by kind
-and bucket and read back by chunk; no table is broadcast or collected.  The driver holds
-counts of counts, a dozen numbers for each order.
+and bucket; chunks are stored in a bucketed table, so only answers are shuffled to
+them.  No table is broadcast or collected.  The driver holds counts of counts, a
+dozen numbers for each order.
 
 P(w | h) = d(c(hw)) c(hw) / c(h) if the gram was seen, else alpha(h) P(w | h')
 with h' the history without its first word, evaluated from the lowest order up;
@@ -28,6 +31,7 @@ Good-Turing with Katz's limit; alpha makes P(. | h) sum to one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import forget, remainder, save, tuned
+from .common import bucketed, forget, remainder, save, tuned
 
 U64 = np.uint64
 CHUNK_TOKENS = 1 << 20
@@ -49,6 +53,7 @@ KATZ_LIMIT = 5
 END = U64(0xE17A1465B1D8F3C7)
 MESSAGE = "chunk long, kind int, bucket int, a binary, b binary"
 CHUNK = "chunk long, words binary, taught binary, stream binary, texts binary"
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 #: Kinds of messages; GRAM + k are counts of k-grams, HISTORY + k weights of histories of k-grams, STATS + k counts of counts.
 ENCODED, STREAM, GRAM, HISTORY, STATS = 0, 1, 100, 200, 300
 
@@ -206,7 +211,7 @@ class Chunk:
                 out.append(self.level(k, out[-1] if k > 2 else Level(first.at, first.single, None, None, first.keys)))
             if GRAM + k in self.rows:
                 count, flags = self.answer(GRAM + k, out[-1].keys, np.int64, np.uint8)
-                out[-1].count, out[-1].own, out[-1].lone = count, (flags & 1) > 0, (flags & 2) > 0
+                out[-1].count, out[-1].own, out[-1].lone, out[-1].tested = count, (flags & 1) > 0, (flags & 2) > 0, (flags & 4) > 0
         return out
 
 
@@ -215,7 +220,7 @@ class Level:
 
     def __init__(self, at: np.ndarray, single: np.ndarray, history: np.ndarray | None, place: np.ndarray | None, keys: np.ndarray):
         self.at, self.single, self.history, self.place, self.keys = at, single, history, place, keys
-        self.count = self.own = self.lone = None
+        self.count = self.own = self.lone = self.tested = None
 
     def counts(self) -> np.ndarray:
         """The training count of the gram that ends at each token."""
@@ -225,18 +230,17 @@ class Level:
         return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
-    now, rows = None, {}
-    for batch in batches:
-        for k in range(len(batch)):
-            chunk, kind, bucket = (batch.column(c)[k].as_py() for c in range(3))
-            if chunk != now and rows:
-                yield now, Chunk(rows)
-                rows = {}
-            now = chunk
-            rows.setdefault(kind, []).append((bucket, batch.column(3)[k].as_py(), batch.column(4)[k].as_py()))
-    if rows:
-        yield now, Chunk(rows)
+def _on_chunks(f, schema: pa.Schema):
+    """``f(chunk number, Chunk)`` over cogroups of a stored chunk and its answers."""
+
+    def on(stored: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk, words, taught, stream, texts = (stored.column(k)[0].as_py() for k in range(5))
+        rows = {ENCODED: [(0, words, taught)], STREAM: [(0, stream, texts)]}
+        for kind, bucket, x, y in zip(*(answers.column(k).to_pylist() for k in range(1, 5))):
+            rows.setdefault(kind, []).append((bucket, x, y))
+        return pa.Table.from_batches(list(f(chunk, Chunk(rows))), schema)
+
+    return on
 
 
 def _asked(chunk: int, kind: int, keys: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -281,34 +285,51 @@ def _ask_counts(chunk: int, c: Chunk, k: int, level: Level, buckets: int) -> Ite
 def _ask_next(k: int, order: int, buckets: int, model: Model):
     """Weights of the histories of k-grams and, below the order, counts of (k + 1)-grams."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _chunks(batches):
-            levels = c.levels(k)
-            below, here = levels[k - 2], levels[k - 1]
-            own = here.own
-            of, place = here.history[own], here.place[own]
-            if k == 2:
-                lower = model.word_probability(below.count[c.stream[place]])
-            else:  # a seen gram's shorter form was seen too
-                history = levels[k - 3].at[place - 1]
-                total = _weights(c, levels, k - 1)[1]
-                lower = discounted(below.counts()[place], model.grams[k - 1]) / np.where(below.single[place], model.single(k - 1), total[np.maximum(history, 0)])
-            n = len(below.keys)
-            mass = np.bincount(of, discounted(here.count[own], model.grams[k]), n)
-            lower = np.bincount(of, lower, n)
-            some = (below.count > 0) & ~below.lone if k > 2 else np.ones(n, bool)
-            yield from _asked(chunk, HISTORY + k, below.keys[some], buckets, below.count[some].astype(np.float64), mass[some], lower[some])
-            if k < order:
-                yield from _ask_counts(chunk, c, k + 1, c.level(k + 1, here), buckets)
+    def ask(chunk: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+        levels = c.levels(k)
+        below, here = levels[k - 2], levels[k - 1]
+        own = here.own
+        of, place = here.history[own], here.place[own]
+        if k == 2:
+            lower = model.word_probability(below.count[c.stream[place]])
+        else:  # a seen gram's shorter form was seen too
+            history = levels[k - 3].at[place - 1]
+            total = _weights(c, levels, k - 1, model)[1]
+            lower = discounted(below.counts()[place], model.grams[k - 1]) / np.where(below.single[place], model.single(k - 1), total[np.maximum(history, 0)])
+        n = len(below.keys)
+        mass = np.bincount(of, discounted(here.count[own], model.grams[k]), n)
+        lower = np.bincount(of, lower, n)
+        want = _wanted(c, levels, k, model)
+        some = want | (mass > 0) & ~below.lone & (below.tested | _inexact(below.count, k, model))
+        yield from _asked(chunk, HISTORY + k, below.keys[some], buckets, below.count[some].astype(np.float64), mass[some], lower[some], want[some].astype(np.float64))
+        if k < order:
+            yield from _ask_counts(chunk, c, k + 1, c.level(k + 1, here), buckets)
 
     return ask
 
 
-def _weights(c: Chunk, levels: list[Level], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Backoff weight and total of each (k - 1)-gram as a history; one and zero where it was not seen."""
+def _inexact(count: np.ndarray, k: int, model: Model) -> np.ndarray:
+    """Histories of k-grams that may have nothing to leave, so that their total is not sure to be their count."""
+    return count > (KATZ_LIMIT if (model.grams[k] < 1 - 1e-6).all() else 0)
+
+
+def _wanted(c: Chunk, levels: list[Level], k: int, model: Model) -> np.ndarray:
+    """The (k - 1)-grams whose weights this chunk cannot do without: those that are left for an unseen k-gram, which occurs in texts held out alone, and those whose total is not sure."""
+    of, here = levels[k - 2], levels[k - 1]
+    want = (of.count > 0) & ~of.lone & _inexact(of.count, k, model)
+    at = np.flatnonzero(~c.taught() & (here.counts() == 0))
+    left = of.at[at - 1]
+    left[np.isin(at, c.starts)] = np.flatnonzero(c.words == END)[0] if k == 2 else -1
+    left = left[left >= 0]
+    want[left[of.count[left] > 0]] = True
+    return want
+
+
+def _weights(c: Chunk, levels: list[Level], k: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weight and total of each (k - 1)-gram as a history; a weight of one where it was not seen or is not left."""
     of = levels[k - 2]
-    some = (of.count > 0) & ~of.lone if k > 2 else np.ones(len(of.keys), bool)
-    alpha, total = np.ones(len(of.keys)), np.zeros(len(of.keys))
+    alpha, total = np.ones(len(of.keys)), np.where(of.lone, model.single(k), of.count)
+    some = _wanted(c, levels, k, model)
     alpha[some], total[some] = c.answer(HISTORY + k, of.keys[some], np.float64, np.float64)
     return alpha, total
 
@@ -326,9 +347,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = ta.runs(every[order])
         size = ta.run_lengths(begins, len(every))
         bounds = np.searchsorted(number, np.arange(len(rows) + 1))
-        parts = 2 if kind < HISTORY else 3
+        parts = 2 if kind < HISTORY else 4
         split = [np.split(_unpack(b, np.int64 if kind < HISTORY else np.float64), parts) for _, _, b in rows]
         values = [np.concatenate([x[k] for x in split])[order] for k in range(parts)]
+        want = np.ones(len(every), bool)
 
         def told(x: np.ndarray) -> np.ndarray:
             out = np.empty(len(every), x.dtype)
@@ -340,18 +362,20 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = total[total > 0]
             stats = np.concatenate(([count.sum(), len(count)], np.bincount(np.minimum(count, KATZ_LIMIT + 2), minlength=KATZ_LIMIT + 3)[1 : KATZ_LIMIT + 2])).astype(np.int64)
             yield _rows([(-1, STATS + kind - GRAM, bucket, stats.tobytes(), b"")])
-            flags = told((seen == 1).astype(np.uint8) << 1)
+            flags = told((seen == 1).astype(np.uint8) << 1 | (seen > total).astype(np.uint8) << 2)
             flags[order[begins]] |= total > 0  # the first chunk with the key owns it, if it was seen in training
             answers = told(total), flags
         else:
             count, mass, lower = values[0][begins], np.add.reduceat(values[1], begins), np.add.reduceat(values[2], begins)
             known = np.maximum(1, count)
+            want[order] = values[3] > 0
             # A history whose successors are all frequent has no mass to give: it counts one occurrence more.
             total = np.where(known - mass < 1e-6, mass + 1, known)
             answers = told(np.where(count > 0, (total - mass) / total / np.maximum(1 - lower, 1e-15), 1.0)), told(total)
         for k, (chunk, _, _) in enumerate(rows):
-            at = slice(bounds[k], bounds[k + 1])
-            yield _rows([(chunk, kind, bucket, _pack(answers[0][at]), _pack(answers[1][at]))])
+            at = bounds[k] + np.flatnonzero(want[bounds[k] : bounds[k + 1]])
+            if len(at):
+                yield _rows([(chunk, kind, bucket, _pack(answers[0][at]), _pack(answers[1][at]))])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, bytes, bytes]]]]:
@@ -398,35 +422,34 @@ class Model:
 
 
 def _score(order: int, model: Model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c in _chunks(batches):
-            levels = c.levels(order)
-            count = levels[0].count
-            p = model.word_probability(count)[c.stream]
-            for k in range(2, order + 1):
-                alpha, total = _weights(c, levels, k)
-                here, of = levels[k - 1], levels[k - 2]
-                history = np.empty(len(p), np.int64)
-                history[1:] = of.at[:-1]
-                history[c.starts] = np.flatnonzero(c.words == END)[0] if k == 2 else -1
-                seen = here.counts()
-                near = np.maximum(history, 0)
-                total = np.where(here.single, model.single(k), total[near])
-                p = np.where(seen > 0, discounted(seen, model.grams[k]) / np.where(seen > 0, total, 1), np.where(history >= 0, alpha[near], 1.0) * p)
-            base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
-            n = len(c.ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c.ids, mask=(c.flags & 2) > 0),
-                    pa.array((c.flags & 1) > 0),
-                    pa.array(c.lengths),
-                    pa.array(np.add.reduceat((count[c.stream] > 0).astype(np.int64), c.starts)),
-                    pa.array(np.full(n, model.tokens, np.int64)),
-                    pa.array(np.add.reduceat(base[c.stream], c.starts)),
-                    pa.array(np.add.reduceat(np.log10(p), c.starts)),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+    def score(_: int, c: Chunk) -> Iterator[pa.RecordBatch]:
+        levels = c.levels(order)
+        count = levels[0].count
+        p = model.word_probability(count)[c.stream]
+        for k in range(2, order + 1):
+            alpha, total = _weights(c, levels, k, model)
+            here, of = levels[k - 1], levels[k - 2]
+            history = np.empty(len(p), np.int64)
+            history[1:] = of.at[:-1]
+            history[c.starts] = np.flatnonzero(c.words == END)[0] if k == 2 else -1
+            seen = here.counts()
+            near = np.maximum(history, 0)
+            total = np.where(here.single, model.single(k), total[near])
+            p = np.where(seen > 0, discounted(seen, model.grams[k]) / np.where(seen > 0, total, 1), np.where(history >= 0, alpha[near], 1.0) * p)
+        base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
+        n = len(c.ids)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(c.ids, mask=(c.flags & 2) > 0),
+                pa.array((c.flags & 1) > 0),
+                pa.array(c.lengths),
+                pa.array(np.add.reduceat((count[c.stream] > 0).astype(np.int64), c.starts)),
+                pa.array(np.full(n, model.tokens, np.int64)),
+                pa.array(np.add.reduceat(base[c.stream], c.starts)),
+                pa.array(np.add.reduceat(np.log10(p), c.starts)),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
     return score
 
@@ -468,14 +491,10 @@ def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held:
         raise ValueError("the order is two or more")
     tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", divisor) == held).alias("held"))
-    encoded = save(docs.mapInArrow(lambda batches: _encode(batches, chunk_tokens), CHUNK))
-    heads = encoded.select("chunk", F.lit(ENCODED).alias("kind"), F.lit(0).alias("bucket"), F.col("words").alias("a"), F.col("taught").alias("b"))
-    streams = encoded.select("chunk", F.lit(STREAM).alias("kind"), F.lit(0).alias("bucket"), F.col("stream").alias("a"), F.col("texts").alias("b"))
-    seen = encoded.agg(F.count("*"), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(1))).first()
-    chunks = seen[0]
-    tasks = max(1, min(chunks, 100_000))
-    # Chunks are numbered by rounds over the tasks that made them, and dealt out by number: the same count to each task.
-    turn = ((F.col("chunk").bitwiseAND(0xFFFFFFFF) * seen[1] + F.shiftright("chunk", 32)) % tasks).cast("int")
+    made = save(docs.mapInArrow(lambda batches: _encode(batches, chunk_tokens), CHUNK))
+    chunks = made.count()
+    encoded = bucketed(made, "chunk", max(1, min(chunks, 10_000)))  # chunks stay where they are; answers come to them
+    forget(made)
     buckets = max(8, int(chunks * chunk_tokens * 0.6 / BUCKET_KEYS) + 1)
     told: list[DataFrame] = []
 
@@ -483,11 +502,10 @@ def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held:
         told.append(save(asked.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(_answer, MESSAGE)))
         return _stats(told[-1])
 
-    def gathered() -> DataFrame:
-        out = heads.union(streams)
-        for t in told:
-            out = out.union(t.filter("chunk >= 0"))
-        return out.repartitionById(tasks, turn).sortWithinPartitions("chunk", "kind")
+    def on_chunks(f, kind: str) -> DataFrame:
+        answers = functools.reduce(DataFrame.union, told).filter("chunk >= 0")
+        schema = pa.schema([(x.split()[0], ARROW[x.split()[1]]) for x in kind.split(", ")])
+        return encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_on_chunks(f, schema), kind)
 
     model = Model()
     none = np.zeros(KATZ_LIMIT + 3, np.int64)
@@ -495,7 +513,7 @@ def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held:
     for k in (1, 2):
         model.learn(k, stats.get(k, none))
     for k in range(2, order + 1):
-        stats = answered(gathered().mapInArrow(_ask_next(k, order, buckets, model), MESSAGE))
+        stats = answered(on_chunks(_ask_next(k, order, buckets, model), MESSAGE))
         if k < order:
             model.learn(k + 1, stats.get(k + 1, none))
-    return gathered().mapInArrow(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return on_chunks(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
