@@ -78,6 +78,13 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c <= len(d), np.append(0.0, d)[np.minimum(c, len(d))], 1.0) * c
 
 
+def rounded(x: np.ndarray, bits: int = 34) -> np.ndarray:
+    """To ``bits`` binary digits, so to 1e-10 of itself: the other bytes are zero and cost nothing in a message."""
+    cut = U64(52 - bits)
+    with np.errstate(over="ignore"):
+        return ((x.view(U64) + (U64(1) << (cut - U64(1)))) >> cut << cut).view(np.float64)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
     x = np.ascontiguousarray(x)
@@ -162,36 +169,44 @@ class Chunk:
         self.lengths = np.frombuffer(raw, np.int64, docs, 8 * docs)
         self.flags = np.frombuffer(raw, np.uint8, docs, 16 * docs)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.end = np.flatnonzero(self.words == END)[0]
 
     def taught(self) -> np.ndarray:
         return np.repeat((self.flags & 1) == 0, self.lengths)
 
+    def histories(self, k: int, before: np.ndarray) -> np.ndarray:
+        """What ``before`` has at the token before each; at a text's start the end mark for pairs, else -1."""
+        out = np.empty(len(before), np.int32)
+        out[1:] = before[:-1]
+        out[self.starts] = self.end if k == 2 else -1
+        return out
+
     def level(self, k: int, before: Level) -> Level:
         """The k-grams whose history is among ``before``'s grams that were asked for."""
-        history = np.empty(len(self.stream), np.int64)
-        history[1:] = before.at[:-1]
-        history[self.starts] = np.flatnonzero(self.words == END)[0] if k == 2 else -1
-        if before.count is not None:
-            lone = history >= 0
-            lone[lone] = before.lone[history[lone]] & (before.count[history[lone]] > 0)
-            lone[1:] |= before.single[:-1]
-            lone[self.starts] = False
-            known = history >= 0
-            known[known] = (before.count[history[known]] > 0) & ~before.lone[history[known]]
+        history = self.histories(k, before.at)
+        if before.count is None:
+            single, asked = np.zeros(len(history), bool), np.flatnonzero(history >= 0)
         else:
-            lone, known = np.zeros(len(history), bool), history >= 0
-        asked = np.flatnonzero(known)
-        key = (history[asked].astype(U64) << U64(32)) | self.stream[asked]
+            state = np.append(np.where(before.count > 0, np.where(before.lone, 1, 2), 0), 0).astype(np.uint8)[history]
+            single = state == 1
+            after = before.single[:-1].copy()
+            after[self.starts[1:] - 1] = False
+            single[1:] |= after
+            asked = np.flatnonzero(state == 2)
+        of = history[asked]
+        key = ta.combine(before.keys, np.zeros(len(before.keys), U64))[of]
+        with np.errstate(over="ignore"):
+            key = ta.mix(key + self.words[self.stream[asked]])
         order = np.argsort(key)
         begins = ta.runs(key[order])
-        at = np.full(len(history), -1, np.int64)
-        at[asked[order]] = np.repeat(np.arange(len(begins)), ta.run_lengths(begins, len(key)))
-        one = asked[order[begins]]  # a place of each gram
-        return Level(at, lone, history[one], one, ta.combine(before.keys[history[one]], self.words[self.stream[one]]))
+        at = np.full(len(history), -1, np.int32)
+        at[asked[order]] = np.repeat(np.arange(len(begins), dtype=np.int32), ta.run_lengths(begins, len(key)))
+        one = order[begins]  # a place of each gram; grams are in the order of their keys
+        return Level(at, single, of[one], asked[one], key[one])
 
     def answer(self, kind: int, keys: np.ndarray, *types) -> list[np.ndarray]:
         """Answers of the buckets, in the order of ``keys``."""
-        order = np.argsort(keys)
+        order = slice(None) if len(keys) < 2 or (keys[1:] >= keys[:-1]).all() else np.argsort(keys)
         out = []
         rows = sorted(self.rows.get(kind, ()), key=lambda r: r[0])
         for k, of in enumerate(types):
@@ -203,7 +218,7 @@ class Chunk:
 
     def levels(self, order: int) -> list[Level]:
         """Levels 1 to ``order``, those that have been answered with counts."""
-        first = Level(self.stream.astype(np.int64), np.zeros(len(self.stream), bool), None, None, self.words)
+        first = Level(self.stream.astype(np.int32), np.zeros(len(self.stream), bool), None, None, self.words)
         out = [first]
         for k in range(1, order + 1):
             if k > 1:
@@ -224,9 +239,8 @@ class Level:
 
     def counts(self) -> np.ndarray:
         """The training count of the gram that ends at each token."""
-        out = self.single.astype(np.int64)
-        some = self.at >= 0
-        out[some] = self.count[self.at[some]]
+        out = np.append(self.count, 0)[self.at]
+        out[self.single] = 1
         return out
 
 
@@ -247,8 +261,9 @@ def _asked(chunk: int, kind: int, keys: np.ndarray, buckets: int, *values: np.nd
     """Keys in order, cut by bucket: (chunk, kind, bucket, packed keys, packed values)."""
     if not len(keys):
         return
-    order = np.argsort(keys)
-    keys, values = keys[order], [v[order] for v in values]
+    if not (keys[1:] >= keys[:-1]).all():
+        order = np.argsort(keys)
+        keys, values = keys[order], [v[order] for v in values]
     bucket = ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
     begins = ta.runs(bucket)
     rows = []
@@ -257,7 +272,7 @@ def _asked(chunk: int, kind: int, keys: np.ndarray, buckets: int, *values: np.nd
     yield _rows(rows)
 
 
-def _ask_first(buckets: int):
+def _ask_first(buckets: int, order: int):
     """Words and pairs of each stored chunk."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,16 +282,18 @@ def _ask_first(buckets: int):
                 c = Chunk({ENCODED: [(0, words, taught)], STREAM: [(0, stream, texts)]})
                 every = np.bincount(c.stream, minlength=len(c.words))
                 yield from _asked(chunk, GRAM + 1, c.words, buckets, _unpack(taught, np.int64), every)
-                yield from _ask_counts(chunk, c, 2, c.levels(2)[1], buckets)
+                yield from _ask_counts(chunk, c, 2, c.levels(2)[1], buckets, order == 2)
 
     return ask
 
 
-def _ask_counts(chunk: int, c: Chunk, k: int, level: Level, buckets: int) -> Iterator[pa.RecordBatch]:
-    taught = c.taught()
-    known = level.at >= 0
-    every = np.bincount(level.at[known], minlength=len(level.keys))
-    yield from _asked(chunk, GRAM + k, level.keys, buckets, np.bincount(level.at[known & taught], minlength=len(level.keys)), every)
+def _ask_counts(chunk: int, c: Chunk, k: int, level: Level, buckets: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """How often each gram was seen in training, and, where longer ones follow, in all texts."""
+    n = len(level.keys)
+    values = [np.bincount(level.at[c.taught()] + 1, minlength=n + 1)[1:]]
+    if not last:
+        values.append(np.bincount(level.at + 1, minlength=n + 1)[1:])
+    yield from _asked(chunk, GRAM + k, level.keys, buckets, *values)
     if k > 2:  # grams that are not asked for and have count one
         n = int(level.single.sum())
         yield _rows([(-1, STATS + k, 0, np.array([n, n, n, *[0] * KATZ_LIMIT], np.int64).tobytes(), b"")])
@@ -301,9 +318,9 @@ def _ask_next(k: int, order: int, buckets: int, model: Model):
         lower = np.bincount(of, lower, n)
         want = _wanted(c, levels, k, model)
         some = want | (mass > 0) & ~below.lone & (below.tested | _inexact(below.count, k, model))
-        yield from _asked(chunk, HISTORY + k, below.keys[some], buckets, below.count[some].astype(np.float64), mass[some], lower[some], want[some].astype(np.float64))
+        yield from _asked(chunk, HISTORY + k, below.keys[some], buckets, below.count[some].astype(np.float64), rounded(mass[some]), rounded(lower[some]), want[some].astype(np.float64))
         if k < order:
-            yield from _ask_counts(chunk, c, k + 1, c.level(k + 1, here), buckets)
+            yield from _ask_counts(chunk, c, k + 1, c.level(k + 1, here), buckets, k + 1 == order)
 
     return ask
 
@@ -318,8 +335,7 @@ def _wanted(c: Chunk, levels: list[Level], k: int, model: Model) -> np.ndarray:
     of, here = levels[k - 2], levels[k - 1]
     want = (of.count > 0) & ~of.lone & _inexact(of.count, k, model)
     at = np.flatnonzero(~c.taught() & (here.counts() == 0))
-    left = of.at[at - 1]
-    left[np.isin(at, c.starts)] = np.flatnonzero(c.words == END)[0] if k == 2 else -1
+    left = c.histories(k, of.at)[at]
     left = left[left >= 0]
     want[left[of.count[left] > 0]] = True
     return want
@@ -347,8 +363,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = ta.runs(every[order])
         size = ta.run_lengths(begins, len(every))
         bounds = np.searchsorted(number, np.arange(len(rows) + 1))
-        parts = 2 if kind < HISTORY else 4
-        split = [np.split(_unpack(b, np.int64 if kind < HISTORY else np.float64), parts) for _, _, b in rows]
+        split = [_unpack(b, np.int64 if kind < HISTORY else np.float64).reshape(-1, len(k)) for (_, _, b), k in zip(rows, keys)]
+        parts = len(split[0])
         values = [np.concatenate([x[k] for x in split])[order] for k in range(parts)]
         want = np.ones(len(every), bool)
 
@@ -358,7 +374,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return out
 
         if kind < HISTORY:
-            total, seen = (np.add.reduceat(v, begins) for v in values)
+            total = np.add.reduceat(values[0], begins)
+            seen = np.add.reduceat(values[-1], begins)
             count = total[total > 0]
             stats = np.concatenate(([count.sum(), len(count)], np.bincount(np.minimum(count, KATZ_LIMIT + 2), minlength=KATZ_LIMIT + 3)[1 : KATZ_LIMIT + 2])).astype(np.int64)
             yield _rows([(-1, STATS + kind - GRAM, bucket, stats.tobytes(), b"")])
@@ -371,7 +388,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             want[order] = values[3] > 0
             # A history whose successors are all frequent has no mass to give: it counts one occurrence more.
             total = np.where(known - mass < 1e-6, mass + 1, known)
-            answers = told(np.where(count > 0, (total - mass) / total / np.maximum(1 - lower, 1e-15), 1.0)), told(total)
+            answers = told(rounded(np.where(count > 0, (total - mass) / total / np.maximum(1 - lower, 1e-15), 1.0))), told(total)
         for k, (chunk, _, _) in enumerate(rows):
             at = bounds[k] + np.flatnonzero(want[bounds[k] : bounds[k + 1]])
             if len(at):
@@ -429,9 +446,7 @@ def _score(order: int, model: Model):
         for k in range(2, order + 1):
             alpha, total = _weights(c, levels, k, model)
             here, of = levels[k - 1], levels[k - 2]
-            history = np.empty(len(p), np.int64)
-            history[1:] = of.at[:-1]
-            history[c.starts] = np.flatnonzero(c.words == END)[0] if k == 2 else -1
+            history = c.histories(k, of.at)
             seen = here.counts()
             near = np.maximum(history, 0)
             total = np.where(here.single, model.single(k), total[near])
@@ -509,7 +524,7 @@ def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held:
 
     model = Model()
     none = np.zeros(KATZ_LIMIT + 3, np.int64)
-    stats = answered(encoded.mapInArrow(_ask_first(buckets), MESSAGE))
+    stats = answered(encoded.mapInArrow(_ask_first(buckets, order), MESSAGE))
     for k in (1, 2):
         model.learn(k, stats.get(k, none))
     for k in range(2, order + 1):
