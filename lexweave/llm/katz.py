@@ -87,8 +87,11 @@ def rounded(x: np.ndarray, bits: int = 34) -> np.ndarray:
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    whole = np.ascontiguousarray(x).view(f"u{x.itemsize}")
+    planes = np.empty((x.itemsize, len(whole)), np.uint8)
+    for k in range(x.itemsize):
+        planes[k] = (whole >> whole.dtype.type(8 * k)).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
@@ -237,10 +240,10 @@ class Level:
         self.at, self.single, self.history, self.place, self.keys = at, single, history, place, keys
         self.count = self.own = self.lone = self.tested = None
 
-    def counts(self) -> np.ndarray:
-        """The training count of the gram that ends at each token."""
-        out = np.append(self.count, 0)[self.at]
-        out[self.single] = 1
+    def spread(self, of_gram: np.ndarray, of_single: float, place: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A value of each gram, or of a single successor, or zero, at each token or at some."""
+        out = np.append(of_gram, of_gram.dtype.type(0))[self.at[place]]
+        out[self.single[place]] = of_single
         return out
 
 
@@ -312,7 +315,7 @@ def _ask_next(k: int, order: int, buckets: int, model: Model):
         else:  # a seen gram's shorter form was seen too
             history = levels[k - 3].at[place - 1]
             total = _weights(c, levels, k - 1, model)[1]
-            lower = discounted(below.counts()[place], model.grams[k - 1]) / np.where(below.single[place], model.single(k - 1), total[np.maximum(history, 0)])
+            lower = discounted(below.spread(below.count, 1, place), model.grams[k - 1]) / np.where(below.single[place], model.single(k - 1), total[np.maximum(history, 0)])
         n = len(below.keys)
         mass = np.bincount(of, discounted(here.count[own], model.grams[k]), n)
         lower = np.bincount(of, lower, n)
@@ -334,8 +337,8 @@ def _wanted(c: Chunk, levels: list[Level], k: int, model: Model) -> np.ndarray:
     """The (k - 1)-grams whose weights this chunk cannot do without: those that are left for an unseen k-gram, which occurs in texts held out alone, and those whose total is not sure."""
     of, here = levels[k - 2], levels[k - 1]
     want = (of.count > 0) & ~of.lone & _inexact(of.count, k, model)
-    at = np.flatnonzero(~c.taught() & (here.counts() == 0))
-    left = c.histories(k, of.at)[at]
+    at = np.flatnonzero(~c.taught())
+    left = c.histories(k, of.at)[at[here.spread(here.count, 1, at) == 0]]
     left = left[left >= 0]
     want[left[of.count[left] > 0]] = True
     return want
@@ -446,11 +449,11 @@ def _score(order: int, model: Model):
         for k in range(2, order + 1):
             alpha, total = _weights(c, levels, k, model)
             here, of = levels[k - 1], levels[k - 2]
-            history = c.histories(k, of.at)
-            seen = here.counts()
-            near = np.maximum(history, 0)
-            total = np.where(here.single, model.single(k), total[near])
-            p = np.where(seen > 0, discounted(seen, model.grams[k]) / np.where(seen > 0, total, 1), np.where(history >= 0, alpha[near], 1.0) * p)
+            cut = model.grams[k]
+            longer = here.spread(discounted(here.count, cut) / np.maximum(1, total[here.history]), float(cut[0]) / model.single(k))
+            unseen = np.flatnonzero(longer == 0)
+            longer[unseen] = np.append(alpha, 1.0)[c.histories(k, of.at)[unseen]] * p[unseen]
+            p = longer
         base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
         n = len(c.ids)
         yield pa.RecordBatch.from_arrays(
