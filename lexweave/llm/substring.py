@@ -6,9 +6,10 @@ neighbouring windows mostly share one, so a text of n words has about
 2n / (window - stem + 2) postings (fingerprint, doc_id).
 
 The index is a list of immutable runs of postings sorted by fingerprint and cut
-into buckets by range.  Documents arrive in batches of rising doc_id.  A batch
-becomes a new run, is merge-joined bucket by bucket with the runs before it,
-and runs of one level are compacted into a run of the next.  A fingerprint in
+into buckets by range, stored so that runs meet without a shuffle.  Documents
+arrive in batches of rising doc_id.  A batch becomes a new run, is merge-joined
+bucket by bucket with the runs before it, and runs of one level are compacted
+into a run of the next.  An index can be kept and opened for later batches.  A fingerprint in
 two texts makes their windows under it candidates; candidates are verified on
 the hash of the whole window, which also finds the smallest doc_id of each.
 
@@ -20,16 +21,20 @@ held more than once per document.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import forget, save
+from .common import bucketed, forget, fresh_path, remove, save, tuned
 
 U64 = np.uint64
 #: Keys that one task merges at once, on average.
@@ -156,53 +161,158 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([_read(x, "keys") for x in b]), np.concatenate([_read(x, "docs", np.int64) for x in b])
 
 
-def _compact(buckets: int):
+def _compact(cells: int):
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            yield _blocks(*_columns(t), buckets)
+            yield _blocks(*_columns(t), cells)
 
     return compact
 
 
-def _merge_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings whose fingerprint is in two documents, one of them new.  Old postings are told only when their fingerprint was alone so far."""
-    for t in _by_bucket(batches):
-        fresh, old = (_columns(t.filter(pa.compute.equal(t["fresh"], x))) if pa.compute.any(pa.compute.equal(t["fresh"], x)).as_py() else (np.zeros(0, U64), np.zeros(0, np.int64)) for x in (True, False))
-        order = np.argsort(old[0], kind="stable")
-        old = old[0][order], old[1][order]
-        lo, hi = np.searchsorted(old[0], fresh[0], "left"), np.searchsorted(old[0], fresh[0], "right")
-        begins = ta.runs(fresh[0])
-        size = ta.run_lengths(begins, len(fresh[0]))
-        told = (hi > lo) | (np.repeat(size, size) > 1)
-        alone = lo[begins][(hi - lo)[begins] == 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((fresh[1][told], old[1][alone]))), pa.array(np.concatenate((fresh[0][told], old[0][alone])).view(np.int64))], ["doc_id", "hit"])
+def _pair(batch: pa.RecordBatch, row: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys and documents in columns ``at`` and ``at + 1`` of one row; empty where null."""
+    keys, docs = batch.column(at)[row], batch.column(at + 1)[row]
+    return (np.frombuffer(keys.as_buffer(), U64), np.frombuffer(docs.as_buffer(), np.int64)) if keys.is_valid else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
-class FingerprintIndex:
-    """A log-structured index of postings; ``add`` takes a batch and returns its hits as (doc_id, hit)."""
+def _merged(cells: int):
+    """Two runs' blocks of each bucket to one."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                a, b = _pair(batch, row, 1), _pair(batch, row, 3)
+                yield _blocks(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])), cells)
+
+    return merged
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.runs: list[tuple[int, DataFrame]] = []
 
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        return df.repartitionById(self.buckets, "bucket").sortWithinPartitions("bucket")
+def _merge_join(own: list[bool]):
+    """A bucket of the new run and of each old one to the postings whose fingerprint is in two documents, one of them new.
+
+    Old postings of this call (``own``) are told only when their fingerprint was
+    alone so far, as they are told already otherwise; those of earlier calls always.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                keys, docs = _pair(batch, row, 1)
+                begins = ta.runs(keys)
+                size = ta.run_lengths(begins, len(keys))
+                told = np.repeat(size, size) > 1
+                alone = np.zeros(len(begins), np.int64)
+                out = []
+                late = []
+                for k, mine in enumerate(own):
+                    old, of = _pair(batch, row, 3 + 2 * k)
+                    lo, hi = np.searchsorted(old, keys[begins], "left"), np.searchsorted(old, keys[begins], "right")
+                    n = hi - lo
+                    told |= np.repeat(n > 0, size)
+                    if mine:
+                        alone += n
+                        late.append((old, of, lo, n))
+                    else:
+                        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        out.append((of[at], old[at]))
+                for old, of, lo, n in late:
+                    at = lo[(n == 1) & (alone == 1)]
+                    out.append((of[at], old[at]))
+                out.append((docs[told], keys[told]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([x for _, x in out]).view(np.int64))], ["doc_id", "hit"])
+
+    return join
+
+
+class FingerprintIndex:
+    """A log-structured index of postings in a shared folder.
+
+    Runs are immutable external tables, bucketed by key range, one sorted block a
+    row; a manifest lists them, and its last whole version is the index.  ``add``
+    makes a run of a batch, merge-joins it in place with the runs before it (none
+    of them is shuffled) and returns the hits as (doc_id, hit); two runs of a level
+    are compacted into one of the next.  ``open`` finds an index that an earlier
+    session has left.  Choose ``buckets`` for the size to come, about a million postings each.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int, runs: list[tuple[int, int, str]] = (), version: int = 0):
+        self.spark, self.path, self.buckets, self.version = spark, path, buckets, version
+        self.cells = 4 * buckets  # hashed to the buckets, so that these are about equal
+        self.runs, self.tables = list(runs), {}
+        self.call = 1 + max((call for _, call, _ in self.runs), default=0)
+
+    @classmethod
+    def create(cls, spark: SparkSession, buckets: int, path: str | None = None) -> FingerprintIndex:
+        out = cls(spark, path or fresh_path(spark), buckets)
+        out._commit()
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*/_SUCCESS")
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+        versions = [int(re.search(r"manifest-([0-9]+)/", str(f.getPath().toString()))[1]) for f in found]
+        if not versions:
+            raise ValueError(f"no index in {path}")
+        rows = spark.read.parquet(f"{path}/manifest-{max(versions)}").orderBy("place").collect()  # a row for each run
+        return cls(spark, path, rows[0]["buckets"], [(r["level"], r["call"], r["run"]) for r in rows if r["run"]], max(versions))
+
+    def _commit(self) -> None:
+        self.version += 1
+        rows = [(k, self.buckets, *run) for k, run in enumerate(self.runs)] or [(0, self.buckets, 0, 0, None)]
+        self.spark.createDataFrame(rows, "place int, buckets int, level int, call int, run string").coalesce(1).write.parquet(f"{self.path}/manifest-{self.version}")
+
+    def _table(self, run: str) -> DataFrame:
+        if run not in self.tables:
+            self.tables[run] = name = f"lexweave_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} (bucket INT, keys BINARY, docs BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(self.tables[run])
+
+    def _write(self, blocks: DataFrame) -> str:
+        run = f"run-{uuid.uuid4().hex}"
+        self.tables[run] = bucketed(blocks, "bucket", self.buckets, f"{self.path}/{run}")._table
+        return run
+
+    def _forget(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}") if run in self.tables else None
+        remove(self.spark, f"{self.path}/{run}")
 
     def add(self, postings: DataFrame) -> DataFrame:
-        """``postings``: doc_id long, prints binary (64-bit values)."""
-        run = save(self._sorted(postings.mapInArrow(_scatter(self.buckets), BLOCK)).mapInArrow(_compact(self.buckets), BLOCK))
-        both = run.withColumn("fresh", F.lit(True))
-        for _, old in self.runs:
-            both = both.union(old.withColumn("fresh", F.lit(False)))
-        hits = save(self._sorted(both).mapInArrow(_merge_join, "doc_id long, hit long"))
-        self.runs.append((0, run))
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            (level, a), (_, b) = self.runs[-2:]
-            merged = save(self._sorted(a.union(b)).mapInArrow(_compact(self.buckets), BLOCK))
-            forget(a, b)
-            self.runs[-2:] = [(level + 1, merged)]
+        """``postings``: doc_id long, prints binary (64-bit values).  Only they are shuffled."""
+        dealt = postings.mapInArrow(_scatter(self.cells), BLOCK).repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
+        run = self._write(dealt.mapInArrow(_compact(self.cells), BLOCK))
+        both = self._table(run)
+        for k, (_, _, old) in enumerate(self.runs):
+            both = both.join(self._table(old).toDF("bucket", f"keys{k}", f"docs{k}").hint("merge"), "bucket", "left")
+        hits = save(both.mapInArrow(_merge_join([call == self.call for _, call, _ in self.runs]), "doc_id long, hit long"))
+        self.runs.append((0, self.call, run))
+        self._commit()
+        while len(self.runs) > 1 and self.runs[-1][:2] == self.runs[-2][:2]:
+            self._merge(len(self.runs) - 2)
         return hits
 
+    def _merge(self, at: int) -> None:
+        (level, _, a), (_, call, b) = self.runs[at : at + 2]
+        both = self._table(a).join(self._table(b).toDF("bucket", "more", "of").hint("merge"), "bucket", "full")
+        self.runs[at : at + 2] = [(level + 1, call, self._write(both.mapInArrow(_merged(self.cells), BLOCK)))]
+        self._commit()
+        self._forget(a)
+        self._forget(b)
+
+    def finish(self) -> None:
+        """End a call: what it added is history for the next one, and runs of one level are compacted across calls."""
+        k = len(self.runs) - 2
+        while k >= 0:
+            if self.runs[k][0] <= self.runs[k + 1][0]:
+                self._merge(k)
+            k -= 1
+        self.call += 1
+
+    def drop(self) -> None:
+        for run in list(self.tables):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}")
+        remove(self.spark, self.path)
+
 
 def _windows(window: int, stem: int, buckets: int):
     """Blocks of whole-window hashes of the windows whose fingerprint is among the document's hits."""
@@ -228,7 +338,7 @@ def candidates(batch: pa.RecordBatch, t: ta.Texts, window: int, stem: int) -> tu
     w = ta.words_of(t)
     starts, prints = fingerprints(w, window, stem)
     lists = batch.column(2).slice(t.first, len(t))
-    n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
     hit = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
     owner = np.repeat(np.arange(len(t)), n)
     keep = _in_pairs(w.doc[starts], prints, owner, hit)
@@ -264,7 +374,7 @@ def _strip(window: int, texts: bool):
                 w = ta.words_of(t)
                 h, at = ta.window_hashes(w, window)
                 lists = batch.column(2).slice(t.first, len(t))
-                n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 begin = at[_in_pairs(w.doc[at], h, np.repeat(np.arange(len(t)), n), lists.flatten().to_numpy(zero_copy_only=False).view(U64))]
                 depth = np.zeros(len(w.hash) + 1, np.int64)
                 np.add.at(depth, begin, 1)
@@ -297,25 +407,40 @@ def _strip(window: int, texts: bool):
     return strip
 
 
-def remove_repeats(documents: DataFrame, *, window: int = 13, stem: int = 6, batches: int = 4, texts: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, *, window: int = 13, stem: int = 6, batches: int = 4, texts: bool = True, doc_id: str = "doc_id", text: str = "text",
+    index: FingerprintIndex | None = None, history: DataFrame | None = None,
+) -> DataFrame:
     """Remove words covered by a window that also starts in a document with a smaller doc_id.
 
     Returns (doc_id, n_words, n_removed, kept_text), or the SHA-256 of the kept
     text instead of it when ``texts`` is false; kept words are joined by one
-    space.  A null text has no words; a row without doc_id loses none and is no
-    source.  Rows that repeat a doc_id are no source for each other.  Windows
-    are judged on the input.  Other columns are ignored.
+    space.  A null or empty text has no words; a row without doc_id loses none and
+    is no source.  Rows that repeat a doc_id are no source for each other, and
+    each is judged by its own words; there are no other ties.  Windows are judged
+    on the input.  A long text is handled whole, in one task at a time.  Other
+    columns, whatever their names, are ignored; an empty table gives an empty result.
+
+    With an ``index``, the documents are added to it, and windows of documents
+    added by earlier calls count too; ``history`` has those documents, of which
+    only the ones with shared fingerprints are read.  The index is left for the
+    next call.  Adding in two calls, the smaller doc_ids first, equals one call.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark = documents.sparkSession
+    tuned(spark)
+    if index is not None and index.runs and history is None:
+        raise ValueError("an index with runs needs the documents that are in it")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    docs = named(documents)
     posted = save(docs.filter("doc_id is not null").mapInArrow(_postings(window, stem), "doc_id long, n_words long, seq binary, prints binary"))
-    firsts = posted.filter(F.col("n_words") >= window).groupBy("seq").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    firsts = save(firsts)
+    firsts = save(posted.filter(F.col("n_words") >= window).groupBy("seq").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     sources = firsts.select(F.col("first").alias("doc_id")).distinct()
-    copies = posted.join(firsts.filter("copies > 1"), "seq").filter("doc_id > first").select("doc_id", "seq")
     row = posted.agg(F.coalesce(F.sum(F.length("prints")), F.lit(0)) / 8, F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()
-    buckets = max(8, int(row[0] / BUCKET_KEYS) + 1)
-    cuts = sorted(set(row[1] or []))
-    index, hits = FingerprintIndex(buckets), None
+    at = index or FingerprintIndex.create(spark, max(8, int(row[0] / BUCKET_KEYS) + 1))
+    cuts, hits = sorted(set(row[1] or [])), []
     unique = posted.join(sources, "doc_id", "left_semi").select("doc_id", "prints")
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = unique
@@ -323,14 +448,16 @@ def remove_repeats(documents: DataFrame, *, window: int = 13, stem: int = 6, bat
             part = part.filter(F.col("doc_id") > lo)
         if hi is not None:
             part = part.filter(F.col("doc_id") <= hi)
-        new = index.add(part)
-        hits = new if hits is None else hits.union(new)
-    forget(*(df for _, df in index.runs))
-    asked = hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    with_text = docs.join(asked, "doc_id").select("doc_id", "text", "hits")
-    blocks = with_text.mapInArrow(_windows(window, stem, buckets), BLOCK)
-    found = save(blocks.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, hit long"))
+        hits.append(at.add(part))
+    at.finish() if index else at.drop()
+    copies = save(posted.join(firsts.filter("copies > 1"), "seq").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("seq").alias("copy")))
+    forget(posted, firsts)
+    asked = functools.reduce(DataFrame.union, hits).groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
+    known = docs if history is None else docs.union(named(history))
+    blocks = known.join(asked, "doc_id").select("doc_id", "text", "hits").mapInArrow(_windows(window, stem, at.buckets), BLOCK)
+    found = save(blocks.repartitionById(at.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, hit long"))
+    forget(*hits)
     found = found.groupBy("doc_id").agg(F.collect_set("hit").alias("hits"))
-    whole = copies.groupBy("doc_id").agg(F.collect_set("seq").alias("copy"))
-    marked = docs.join(found, "doc_id", "left").join(whole, "doc_id", "left").select("doc_id", "text", "hits", "copy")
-    return marked.mapInArrow(_strip(window, texts), f"doc_id long, n_words long, n_removed long, {'kept_text' if texts else 'kept_sha256'} string")
+    marked = docs.filter("doc_id is not null").join(found, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "hits", "copy")
+    free = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("hits"), F.lit(None).cast("array<binary>").alias("copy"))
+    return marked.union(free).mapInArrow(_strip(window, texts), f"doc_id long, n_words long, n_removed long, {'kept_text' if texts else 'kept_sha256'} string")

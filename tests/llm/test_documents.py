@@ -349,6 +349,24 @@ def test_copy_and_unique_text_of_one_id(spark):
     assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == [(1, 0, copy), (2, 0, own), (2, 20, "")]
 
 
+def test_index_is_kept(spark, docs):
+    """Two calls, the second with the index opened anew, equal one."""
+    from lexweave.llm.common import fresh_path
+    from lexweave.llm.substring import FingerprintIndex
+
+    whole = sorted(map(tuple, remove_repeats(docs.filter("doc_id is not null"), texts=False).collect()))
+    path = fresh_path(spark)
+    early, late = docs.filter("doc_id <= 70"), docs.filter("doc_id > 70")
+    first = remove_repeats(early, texts=False, batches=2, index=FingerprintIndex.create(spark, 8, path)).collect()
+    index = FingerprintIndex.open(spark, path)
+    with pytest.raises(ValueError, match="needs the documents"):
+        remove_repeats(late, index=index)
+    again = remove_repeats(late, texts=False, batches=3, index=index, history=early).collect()
+    assert sorted(map(tuple, first + again)) == whole
+    assert 1 <= len(FingerprintIndex.open(spark, path).runs) <= 2
+    index.drop()
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
