@@ -21,6 +21,7 @@ held more than once per document.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import re
@@ -161,10 +162,28 @@ def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([_read(x, "keys") for x in b]), np.concatenate([_read(x, "docs", np.int64) for x in b])
 
 
-def _compact(cells: int):
+#: Rows that a bucket's part of a run is cut into, so that no row is large.
+CELLS = 8
+RUN = "bucket int, cell int, keys binary, docs binary"
+
+
+def _cells(bucket: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A bucket's pairs, sorted and distinct, cut by key range."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
+    keys, docs = keys[new], docs[new]
+    cell = ((keys >> U64(32)) * U64(buckets * CELLS) >> U64(32)).astype(np.int64) - bucket * CELLS
+    begins = ta.runs(cell)
+    bounds = np.append(begins, len(keys))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), bucket, np.int32)), pa.array(cell[begins].astype(np.int32)), ta.binaries(keys, bounds), ta.binaries(docs, bounds)], ["bucket", "cell", "keys", "docs"])
+
+
+def _compact(buckets: int):
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_bucket(batches):
-            yield _blocks(*_columns(t), cells)
+            yield _cells(t.column(0)[0].as_py(), *_columns(t), buckets)
 
     return compact
 
@@ -175,20 +194,20 @@ def _pair(batch: pa.RecordBatch, row: int, at: int) -> tuple[np.ndarray, np.ndar
     return (np.frombuffer(keys.as_buffer(), U64), np.frombuffer(docs.as_buffer(), np.int64)) if keys.is_valid else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
-def _merged(cells: int):
-    """Two runs' blocks of each bucket to one."""
+def _merged(buckets: int):
+    """Two runs' blocks of each cell to one."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                a, b = _pair(batch, row, 1), _pair(batch, row, 3)
-                yield _blocks(np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])), cells)
+                a, b = _pair(batch, row, 2), _pair(batch, row, 4)
+                yield _cells(batch.column(0)[row].as_py(), np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])), buckets)
 
     return merged
 
 
 def _merge_join(own: list[bool]):
-    """A bucket of the new run and of each old one to the postings whose fingerprint is in two documents, one of them new.
+    """A cell of the new run and of each old one to the postings whose fingerprint is in two documents, one of them new.
 
     Old postings of this call (``own``) are told only when their fingerprint was
     alone so far, as they are told already otherwise; those of earlier calls always.
@@ -197,7 +216,7 @@ def _merge_join(own: list[bool]):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                keys, docs = _pair(batch, row, 1)
+                keys, docs = _pair(batch, row, 2)
                 begins = ta.runs(keys)
                 size = ta.run_lengths(begins, len(keys))
                 told = np.repeat(size, size) > 1
@@ -205,7 +224,7 @@ def _merge_join(own: list[bool]):
                 out = []
                 late = []
                 for k, mine in enumerate(own):
-                    old, of = _pair(batch, row, 3 + 2 * k)
+                    old, of = _pair(batch, row, 4 + 2 * k)
                     lo, hi = np.searchsorted(old, keys[begins], "left"), np.searchsorted(old, keys[begins], "right")
                     n = hi - lo
                     told |= np.repeat(n > 0, size)
@@ -237,7 +256,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, runs: list[tuple[int, int, str]] = (), version: int = 0):
         self.spark, self.path, self.buckets, self.version = spark, path, buckets, version
-        self.cells = 4 * buckets  # hashed to the buckets, so that these are about equal
+        self.parts = 4 * buckets  # key ranges, hashed to the buckets, so that these are about equal
         self.runs, self.tables = list(runs), {}
         self.call = 1 + max((call for _, call, _ in self.runs), default=0)
 
@@ -262,10 +281,21 @@ class FingerprintIndex:
         rows = [(k, self.buckets, *run) for k, run in enumerate(self.runs)] or [(0, self.buckets, 0, 0, None)]
         self.spark.createDataFrame(rows, "place int, buckets int, level int, call int, run string").coalesce(1).write.parquet(f"{self.path}/manifest-{self.version}")
 
+    @contextlib.contextmanager
+    def _in_place(self) -> Iterator[None]:
+        """Joins on (bucket, cell) take the layout by bucket as it is."""
+        key = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
+
     def _table(self, run: str) -> DataFrame:
         if run not in self.tables:
             self.tables[run] = name = f"lexweave_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} (bucket INT, keys BINARY, docs BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+            self.spark.sql(f"CREATE TABLE {name} (bucket INT, cell INT, keys BINARY, docs BINARY) USING parquet CLUSTERED BY (bucket) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
         return self.spark.table(self.tables[run])
 
     def _write(self, blocks: DataFrame) -> str:
@@ -279,12 +309,13 @@ class FingerprintIndex:
 
     def add(self, postings: DataFrame) -> DataFrame:
         """``postings``: doc_id long, prints binary (64-bit values).  Only they are shuffled."""
-        dealt = postings.mapInArrow(_scatter(self.cells), BLOCK).repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
-        run = self._write(dealt.mapInArrow(_compact(self.cells), BLOCK))
+        dealt = postings.mapInArrow(_scatter(self.parts), BLOCK).repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
+        run = self._write(dealt.mapInArrow(_compact(self.parts), RUN))
         both = self._table(run)
         for k, (_, _, old) in enumerate(self.runs):
-            both = both.join(self._table(old).toDF("bucket", f"keys{k}", f"docs{k}").hint("merge"), "bucket", "left")
-        hits = save(both.mapInArrow(_merge_join([call == self.call for _, call, _ in self.runs]), "doc_id long, hit long"))
+            both = both.join(self._table(old).toDF("bucket", "cell", f"keys{k}", f"docs{k}").hint("merge"), ["bucket", "cell"], "left")
+        with self._in_place():
+            hits = save(both.mapInArrow(_merge_join([call == self.call for _, call, _ in self.runs]), "doc_id long, hit long"))
         self.runs.append((0, self.call, run))
         self._commit()
         while len(self.runs) > 1 and self.runs[-1][:2] == self.runs[-2][:2]:
@@ -293,8 +324,9 @@ class FingerprintIndex:
 
     def _merge(self, at: int) -> None:
         (level, _, a), (_, call, b) = self.runs[at : at + 2]
-        both = self._table(a).join(self._table(b).toDF("bucket", "more", "of").hint("merge"), "bucket", "full")
-        self.runs[at : at + 2] = [(level + 1, call, self._write(both.mapInArrow(_merged(self.cells), BLOCK)))]
+        both = self._table(a).join(self._table(b).toDF("bucket", "cell", "more", "of").hint("merge"), ["bucket", "cell"], "full")
+        with self._in_place():
+            self.runs[at : at + 2] = [(level + 1, call, self._write(both.mapInArrow(_merged(self.parts), RUN)))]
         self._commit()
         self._forget(a)
         self._forget(b)
