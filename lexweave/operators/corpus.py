@@ -68,11 +68,17 @@ def word_counts(sents: DataFrame) -> DataFrame:
     return sents.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def first_seen(sents: DataFrame) -> DataFrame:
+    """(word, n, first): counts with the first place of each word in the corpus."""
+    return tokens(sents).groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sent_idx", "pos")).alias("first"))
+
+
 def top_words(counts: DataFrame, k: int = 200, stop_words=STOP_WORDS, shortest: int = 3) -> DataFrame:
+    """The most frequent words that are no stop words; ties by first place."""
     kept = counts.filter((F.length("word") >= shortest) & ~F.col("word").isin(*stop_words))
-    return kept.orderBy(F.desc("n"), "word").limit(k)
+    return kept.orderBy(F.desc("n"), "first").limit(k)
 
 
 def ranked(top: DataFrame) -> DataFrame:
     """Rank and weight of a top list, which is as small as its k."""
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word"))).withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy()))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy()))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import vocabulary as V
 from ..registry import query, spread, table
+from ..storage import save
 from .cleaning import MEAN, S, _quoted, clean_sql, strip_sql
 
 TOK = "list_filter(list_transform(string_split_regex(sentence, '" + r"""[ \t\n\r\f\x0B\x{00A0}\[\](){}<>,;:"?!&@#$%]+""" + "'), lambda w: lower(trim(w, '.''`'))), lambda w: regexp_matches(w, '^[a-z][a-z0-9]+$'))"
@@ -34,27 +33,16 @@ w AS (SELECT word, count(*) AS n FROM t GROUP BY word), v AS (SELECT * FROM w WH
 STOP = ", ".join(_quoted(x) for x in C.STOP_WORDS)
 
 
-def sents(spark, sf_dir, phones):
-    return C.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), phones=phones)
-
-
-def corpus(spark, sf_dir, phones):
-    return C.unique_sentences(sents(spark, sf_dir, phones))
-
+def sents(spark, sf_dir):
+    return C.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
-def vocab(spark, sf_dir, phones):
-    return C.word_counts(corpus(spark, sf_dir, phones)).filter("n >= 5")
 
+def corpus(spark, sf_dir):
+    return C.unique_sentences(sents(spark, sf_dir))
 
-def corpus_query(name: str, oracle: str):
-    """Two queries: ``name`` leaves out the phone rule, as its oracle does (see ``clean_phones``); ``name_full`` has the whole chain and no oracle."""
 
-    def keep(f):
-        query(name, oracle)(functools.wraps(f)(lambda spark, sf_dir: f(spark, sf_dir, False)))
-        query(f"{name}_full")(functools.wraps(f)(lambda spark, sf_dir: f(spark, sf_dir, True)))
-        return f
-
-    return keep
+def vocab(spark, sf_dir):
+    return C.word_counts(corpus(spark, sf_dir)).filter("n >= 5")
 
 
 @query("sentence_split", rf"WITH q AS (SELECT doc_id, {SPLIT_SQL.replace('(x,', '(text,')} AS ss FROM documents) SELECT doc_id, generate_subscripts(ss, 1)::INT - 1 AS sent_idx, replace(unnest(ss), '{X.DOT}', '.') AS sentence FROM q")
@@ -67,114 +55,121 @@ def tokenize(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
-@corpus_query("doc_sentences", f"WITH {SENTS} SELECT doc_id, sent_idx, key FROM g")
-def doc_sentences(spark, sf_dir, phones):
-    return sents(spark, sf_dir, phones).select("doc_id", "sent_idx", "key")
+@query("doc_sentences", f"WITH {SENTS} SELECT doc_id, sent_idx, key FROM g")
+def doc_sentences(spark, sf_dir):
+    return sents(spark, sf_dir).select("doc_id", "sent_idx", "key")
 
 
-@corpus_query("global_dedup", f"WITH {CORPUS} SELECT doc_id, sent_idx, key FROM s")
-def global_dedup(spark, sf_dir, phones):
-    return corpus(spark, sf_dir, phones).select("doc_id", "sent_idx", "key")
+@query("global_dedup", f"WITH {CORPUS} SELECT doc_id, sent_idx, key FROM s")
+def global_dedup(spark, sf_dir):
+    return corpus(spark, sf_dir).select("doc_id", "sent_idx", "key")
 
 
-@corpus_query("benchmark_sentence_overlap", f"WITH {CORPUS} SELECT doc_id, sent_idx FROM s WHERE key NOT IN (SELECT array_to_string({TOK.replace('sentence', 'text')}, ' ') FROM benchmark)")
-def benchmark_sentence_overlap(spark, sf_dir, phones):
+@query("benchmark_sentence_overlap", f"WITH {CORPUS} SELECT doc_id, sent_idx FROM s WHERE key NOT IN (SELECT array_to_string({TOK.replace('sentence', 'text')}, ' ') FROM benchmark)")
+def benchmark_sentence_overlap(spark, sf_dir):
     held = table(spark, sf_dir, "benchmark").select(F.array_join(X.tokens(F.col("text")), " ").alias("key"))
-    return corpus(spark, sf_dir, phones).join(held, "key", "left_anti").select("doc_id", "sent_idx")
+    return corpus(spark, sf_dir).join(held, "key", "left_anti").select("doc_id", "sent_idx")
 
 
-@corpus_query("doc_metadata", f"WITH {CORPUS} SELECT doc_id, count(DISTINCT sent_idx) AS sentences, count(*) AS tokens, count(DISTINCT word) AS vocab_size FROM t GROUP BY doc_id")
-def doc_metadata(spark, sf_dir, phones):
-    return C.metadata(corpus(spark, sf_dir, phones)).select("doc_id", "sentences", "tokens", "vocab_size")
+@query("doc_metadata", f"WITH {CORPUS} SELECT doc_id, count(DISTINCT sent_idx) AS sentences, count(*) AS tokens, count(DISTINCT word) AS vocab_size FROM t GROUP BY doc_id")
+def doc_metadata(spark, sf_dir):
+    return C.metadata(corpus(spark, sf_dir)).select("doc_id", "sentences", "tokens", "vocab_size")
 
 
 TOTALS = "SELECT (SELECT count(DISTINCT doc_id) FROM s) AS total_documents, (SELECT count(*) FROM s) AS total_sentences, (SELECT count(*) FROM t) AS total_tokens, (SELECT count(*) FROM w) AS vocabulary_size"
 
 
-@corpus_query("corpus_summary", f"WITH {CORPUS} {TOTALS}")
-def corpus_summary(spark, sf_dir, phones):
-    return C.summary(corpus(spark, sf_dir, phones))
+@query("corpus_summary", f"WITH {CORPUS} {TOTALS}")
+def corpus_summary(spark, sf_dir):
+    return C.summary(corpus(spark, sf_dir))
 
 
-@corpus_query("corpus_stats", f"WITH {CORPUS} SELECT *, total_tokens / total_documents::DOUBLE AS tokens_per_document, total_tokens / total_sentences::DOUBLE AS tokens_per_sentence FROM ({TOTALS})")
-def corpus_stats(spark, sf_dir, phones):
-    return C.averages(C.summary(corpus(spark, sf_dir, phones)))
+@query("corpus_stats", f"WITH {CORPUS} SELECT *, total_tokens / total_documents::DOUBLE AS tokens_per_document, total_tokens / total_sentences::DOUBLE AS tokens_per_sentence FROM ({TOTALS})")
+def corpus_stats(spark, sf_dir):
+    return C.averages(C.summary(corpus(spark, sf_dir)))
 
 
-@corpus_query("corpus_tokens", f"WITH {CORPUS} SELECT doc_id, sent_idx, pos, word FROM t")
-def corpus_tokens(spark, sf_dir, phones):
-    return C.tokens(corpus(spark, sf_dir, phones))
+@query("corpus_tokens", f"WITH {CORPUS} SELECT doc_id, sent_idx, pos, word FROM t")
+def corpus_tokens(spark, sf_dir):
+    return C.tokens(corpus(spark, sf_dir))
 
 
-@corpus_query("word_count", f"WITH {CORPUS} SELECT word, n FROM w")
-def word_count(spark, sf_dir, phones):
-    return C.word_counts(corpus(spark, sf_dir, phones))
+@query("word_count", f"WITH {CORPUS} SELECT word, n FROM w")
+def word_count(spark, sf_dir):
+    return C.word_counts(corpus(spark, sf_dir))
 
 
-@corpus_query("vocab_size", f"WITH {CORPUS} SELECT count(*) AS vocabulary_size FROM w")
-def vocab_size(spark, sf_dir, phones):
-    return C.word_counts(corpus(spark, sf_dir, phones)).agg(F.count("*").alias("vocabulary_size"))
+@query("vocab_size", f"WITH {CORPUS} SELECT count(*) AS vocabulary_size FROM w")
+def vocab_size(spark, sf_dir):
+    return C.word_counts(corpus(spark, sf_dir)).agg(F.count("*").alias("vocabulary_size"))
 
 
-@corpus_query("vocab_min_count", f"WITH {CORPUS} SELECT word, n FROM v")
-def vocab_min_count(spark, sf_dir, phones):
-    return vocab(spark, sf_dir, phones)
+@query("vocab_min_count", f"WITH {CORPUS} SELECT word, n FROM v")
+def vocab_min_count(spark, sf_dir):
+    return vocab(spark, sf_dir)
 
 
-TOP = f"SELECT word, n FROM w WHERE length(word) > 2 AND word NOT IN ({STOP}) ORDER BY n DESC, word LIMIT 200"
+#: Ties by first occurrence.
+TOP = f"SELECT word, count(*) AS n, min({{'d': doc_id, 's': sent_idx, 'p': pos}}) AS first FROM t WHERE length(word) > 2 AND word NOT IN ({STOP}) GROUP BY word ORDER BY n DESC, first LIMIT 200"
 
 
-@corpus_query("top_words", f"WITH {CORPUS} {TOP}")
-def top_words(spark, sf_dir, phones):
-    return C.top_words(C.word_counts(corpus(spark, sf_dir, phones)))
+@query("top_words", f"WITH {CORPUS}, z AS ({TOP}) SELECT word, n FROM z")
+def top_words(spark, sf_dir):
+    return C.top_words(C.first_seen(corpus(spark, sf_dir))).select("word", "n")
 
 
-@corpus_query("top_words_ranked", f"WITH {CORPUS}, z AS ({TOP}) SELECT (row_number() OVER (ORDER BY n DESC, word))::INT AS rank, word, n FROM z")
-def top_words_ranked(spark, sf_dir, phones):
-    return C.ranked(C.top_words(C.word_counts(corpus(spark, sf_dir, phones)))).select("rank", "word", "n")
+@query("top_words_ranked", f"WITH {CORPUS}, z AS ({TOP}) SELECT (row_number() OVER (ORDER BY n DESC, first))::INT AS rank, word, n FROM z")
+def top_words_ranked(spark, sf_dir):
+    return C.ranked(C.top_words(C.first_seen(corpus(spark, sf_dir)))).select("rank", "word", "n")
 
 
-@corpus_query("wordcloud_weights", f"WITH {CORPUS}, z AS ({TOP}) SELECT word, n / max(n) OVER ()::DOUBLE AS weight FROM z")
-def wordcloud_weights(spark, sf_dir, phones):
-    return C.ranked(C.top_words(C.word_counts(corpus(spark, sf_dir, phones)))).select("word", "weight")
+@query("wordcloud_weights", f"WITH {CORPUS}, z AS ({TOP}) SELECT word, n / max(n) OVER ()::DOUBLE AS weight FROM z")
+def wordcloud_weights(spark, sf_dir):
+    return C.ranked(C.top_words(C.first_seen(corpus(spark, sf_dir)))).select("word", "weight")
 
 
-@corpus_query("vocab_index", f"WITH {CORPUS} SELECT word, n, row_number() OVER (ORDER BY word) - 1 AS idx FROM v")
-def vocab_index(spark, sf_dir, phones):
-    return V.vocabulary(C.word_counts(corpus(spark, sf_dir, phones)))
+@query("vocab_index", f"WITH {CORPUS} SELECT word, n, row_number() OVER (ORDER BY word) - 1 AS idx FROM v")
+def vocab_index(spark, sf_dir):
+    return V.vocabulary(C.word_counts(corpus(spark, sf_dir)))
 
 
 KEEP = "SELECT word, n, least(1.0, sqrt(1e-4 / (n / total::DOUBLE)) + 1e-4 / (n / total::DOUBLE)) AS keep FROM v, (SELECT sum(n) AS total FROM v)"
 
 
-@corpus_query("keep_prob", f"WITH {CORPUS} SELECT word, n, round(keep, 9) AS keep FROM ({KEEP})")
-def keep_prob(spark, sf_dir, phones):
-    return V.keep_probability(vocab(spark, sf_dir, phones)).withColumn("keep", F.round("keep", 9))
+@query("keep_prob", f"WITH {CORPUS} SELECT word, n, round(keep, 9) AS keep FROM ({KEEP})")
+def keep_prob(spark, sf_dir):
+    return V.keep_probability(vocab(spark, sf_dir)).withColumn("keep", F.round("keep", 9))
 
 
-@corpus_query("neg_dist", f"WITH {CORPUS} SELECT word, n, round(n ** 0.75 / sum(n ** 0.75) OVER (), 9) AS p FROM v")
-def neg_dist(spark, sf_dir, phones):
-    return V.noise(vocab(spark, sf_dir, phones)).withColumn("p", F.round("p", 9))
+@query("neg_dist", f"WITH {CORPUS} SELECT word, n, round(n ** 0.75 / sum(n ** 0.75) OVER (), 9) AS p FROM v")
+def neg_dist(spark, sf_dir):
+    return V.noise(vocab(spark, sf_dir)).withColumn("p", F.round("p", 9))
 
 
 UNIFORM = "(('0x' || substr(md5(concat_ws('|', {})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@corpus_query("subsample", f"WITH {CORPUS}, q AS ({KEEP}), r AS (SELECT t.* FROM t JOIN q USING (word) WHERE {UNIFORM.format('doc_id, sent_idx, pos')} < keep) SELECT doc_id, sent_idx, pos, word FROM r QUALIFY count(*) OVER (PARTITION BY doc_id, sent_idx) >= 2")
-def subsample(spark, sf_dir, phones):
-    every = corpus(spark, sf_dir, phones)
+@query("subsample", f"WITH {CORPUS}, q AS ({KEEP}), r AS (SELECT t.* FROM t JOIN q USING (word) WHERE {UNIFORM.format('doc_id, sent_idx, pos')} < keep) SELECT doc_id, sent_idx, pos, word FROM r QUALIFY count(*) OVER (PARTITION BY doc_id, sent_idx) >= 2")
+def subsample(spark, sf_dir):
+    every = save(corpus(spark, sf_dir))  # read twice, made once
     return V.subsample(C.tokens(every), V.keep_probability(C.word_counts(every).filter("n >= 5")))
 
 
-@corpus_query("context_pairs", f"WITH {CORPUS} SELECT a.doc_id, a.sent_idx, a.pos, a.word AS centre, b.pos AS at, b.word AS context FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos")
-def context_pairs(spark, sf_dir, phones):
-    return V.context_pairs(corpus(spark, sf_dir, phones), window=2)
+@query("context_pairs", f"WITH {CORPUS} SELECT a.doc_id, a.sent_idx, a.pos, a.word AS centre, b.pos AS at, b.word AS context FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos")
+def context_pairs(spark, sf_dir):
+    return V.context_pairs(corpus(spark, sf_dir), window=2)
+
+
+@query("context_pairs_dynamic", f"""WITH {CORPUS}, a AS (SELECT *, floor({UNIFORM.format('doc_id, sent_idx, pos')} * 5) + 1 AS radius FROM t)
+SELECT a.doc_id, a.sent_idx, a.pos, a.word AS centre, b.pos AS at, b.word AS context FROM a JOIN t b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND b.pos BETWEEN a.pos - a.radius AND a.pos + a.radius AND b.pos <> a.pos""")
+def context_pairs_dynamic(spark, sf_dir):
+    return V.context_pairs(corpus(spark, sf_dir), window=5, dynamic=True)
 
 
-@corpus_query("negative_samples", f"""WITH {CORPUS}, q AS (SELECT word, n ** 0.75 / sum(n ** 0.75) OVER () AS p FROM v),
+@query("negative_samples", f"""WITH {CORPUS}, q AS (SELECT word, n ** 0.75 / sum(n ** 0.75) OVER () AS p FROM v),
 h AS (SELECT word, sum(p) OVER (ORDER BY word) AS hi FROM q), b AS (SELECT word, hi, coalesce(lag(hi) OVER (ORDER BY word), 0) AS lo FROM h),
 x AS (SELECT word AS id, word AS positive, unnest(range(1, 6)) AS draw FROM v), y AS (SELECT *, {UNIFORM.format('id, draw')} AS u FROM x)
 SELECT id, draw::INT AS draw, positive, word AS negative FROM y JOIN b ON u >= lo AND u < hi WHERE word <> positive""")
-def negative_samples(spark, sf_dir, phones):
-    words = vocab(spark, sf_dir, phones)
+def negative_samples(spark, sf_dir):
+    words = vocab(spark, sf_dir)
     return V.negatives(words.select(F.col("word").alias("id"), "word"), V.noise(words))

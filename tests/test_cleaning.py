@@ -1,4 +1,4 @@
-"""The phone rule over whole tables, against Python, where SQL has another word boundary."""
+"""The cleaning chain over whole tables, against Python beside the SQL."""
 
 import re
 
@@ -22,7 +22,7 @@ def texts(spark):
 def test_phones_of_every_text(spark):
     every = texts(spark)
     assert any(not x.isascii() for x in every.values() if x)
-    got = {r.doc_id: r.out for r in entry.queries()["clean_phones_all"](spark, SMALL).collect()}
+    got = {r.doc_id: r.out for r in entry.queries()["clean_phones"](spark, SMALL).collect()}
     assert got == {k: None if x is None else PHONE.sub(" ", x) for k, x in every.items()}
 
 
@@ -49,17 +49,17 @@ def cleaned(t):
 
 
 def test_whole_chain(spark):
-    got = {r.doc_id: r.out for r in entry.queries()["clean_text_full"](spark, SMALL).collect()}
+    got = {r.doc_id: r.out for r in entry.queries()["clean_text"](spark, SMALL).collect()}
     assert got == {k: None if x is None else cleaned(x) for k, x in texts(spark).items()}
 
 
 def test_corpus_queries_have_the_whole_chain(spark):
     documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     want = C.sentences(documents).select("doc_id", "sent_idx", "key").collect()
-    assert sorted(registry.QUERIES["doc_sentences_full"](spark, SMALL).collect()) == sorted(want)
+    assert sorted(registry.QUERIES["doc_sentences"](spark, SMALL).collect()) == sorted(want)
     merged = spark.createDataFrame([(1, "A line of words here" + "\n" * 8 + "Another line of words")], "doc_id long, text string")
     assert [r.key for r in C.sentences(merged).collect()] == ["line of words here another line of words"]
-    assert sorted(r.n for r in registry.QUERIES["word_count_full"](spark, SMALL).collect()) == sorted(r.n for r in C.word_counts(C.unique_sentences(C.sentences(documents))).collect())
+    assert sorted(r.n for r in registry.QUERIES["word_count"](spark, SMALL).collect()) == sorted(r.n for r in C.word_counts(C.unique_sentences(C.sentences(documents))).collect())
 
 
 def test_training_learns_from_the_whole_chain(spark, monkeypatch):
