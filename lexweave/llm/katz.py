@@ -190,22 +190,23 @@ class Chunk:
         if before.count is None:
             single, asked = np.zeros(len(history), bool), np.flatnonzero(history >= 0)
         else:
-            state = np.append(np.where(before.count > 0, np.where(before.lone, 1, 2), 0), 0).astype(np.uint8)[history]
+            state = np.append(np.where(before.count > 0, np.where(before.lone, 1, 2), 0), 0).astype(np.uint8).take(history)
             single = state == 1
             after = before.single[:-1].copy()
             after[self.starts[1:] - 1] = False
             single[1:] |= after
             asked = np.flatnonzero(state == 2)
-        of = history[asked]
-        key = ta.combine(before.keys, np.zeros(len(before.keys), U64))[of]
-        with np.errstate(over="ignore"):
-            key = ta.mix(key + self.words[self.stream[asked]])
+        of = history.take(asked)
+        key = ta.combine(before.keys, np.zeros(len(before.keys), U64)).take(of)
+        key += self.words.take(self.stream.take(asked))
+        key = ta.mix(key)
         order = np.argsort(key)
-        begins = ta.runs(key[order])
+        key = key.take(order)
+        begins = ta.runs(key)
         at = np.full(len(history), -1, np.int32)
-        at[asked[order]] = np.repeat(np.arange(len(begins), dtype=np.int32), ta.run_lengths(begins, len(key)))
-        one = order[begins]  # a place of each gram; grams are in the order of their keys
-        return Level(at, single, of[one], asked[one], key[one])
+        at[asked.take(order)] = np.repeat(np.arange(len(begins), dtype=np.int32), ta.run_lengths(begins, len(key)))
+        one = order.take(begins)  # a place of each gram; grams are in the order of their keys
+        return Level(at, single, of.take(one), asked.take(one), key.take(begins))
 
     def answer(self, kind: int, keys: np.ndarray, *types) -> list[np.ndarray]:
         """Answers of the buckets, in the order of ``keys``."""
@@ -242,11 +243,21 @@ class Level:
 
     def spread(self, of_gram: np.ndarray, of_single: float, place: np.ndarray | slice = slice(None)) -> np.ndarray:
         """A value of each gram, or of a single successor, or zero, at each token or at some."""
-        out = np.append(of_gram, of_gram.dtype.type(0))[self.at[place]]
+        out = np.append(of_gram, of_gram.dtype.type(0)).take(self.at[place])
         out[self.single[place]] = of_single
         return out
 
 
+def _in_room(f):
+    """``f`` over batches, with freed arrays kept for its whole task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ta.roomy():
+            yield from f(batches)
+
+    return run
+
+
 def _on_chunks(f, schema: pa.Schema):
     """``f(chunk number, Chunk)`` over cogroups of a stored chunk and its answers."""
 
@@ -255,7 +266,8 @@ def _on_chunks(f, schema: pa.Schema):
         rows = {ENCODED: [(0, words, taught)], STREAM: [(0, stream, texts)]}
         for kind, bucket, x, y in zip(*(answers.column(k).to_pylist() for k in range(1, 5))):
             rows.setdefault(kind, []).append((bucket, x, y))
-        return pa.Table.from_batches(list(f(chunk, Chunk(rows))), schema)
+        with ta.roomy():
+            return pa.Table.from_batches(list(f(chunk, Chunk(rows))), schema)
 
     return on
 
@@ -362,13 +374,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [_unpack_keys(a) for _, a, _ in rows]
         number = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        begins = ta.runs(every[order])
+        order = np.argsort(every)
+        begins = ta.runs(every.take(order))
         size = ta.run_lengths(begins, len(every))
         bounds = np.searchsorted(number, np.arange(len(rows) + 1))
         split = [_unpack(b, np.int64 if kind < HISTORY else np.float64).reshape(-1, len(k)) for (_, _, b), k in zip(rows, keys)]
         parts = len(split[0])
-        values = [np.concatenate([x[k] for x in split])[order] for k in range(parts)]
+        values = [np.concatenate([x[k] for x in split]).take(order) for k in range(parts)]
         want = np.ones(len(every), bool)
 
         def told(x: np.ndarray) -> np.ndarray:
@@ -383,7 +395,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stats = np.concatenate(([count.sum(), len(count)], np.bincount(np.minimum(count, KATZ_LIMIT + 2), minlength=KATZ_LIMIT + 3)[1 : KATZ_LIMIT + 2])).astype(np.int64)
             yield _rows([(-1, STATS + kind - GRAM, bucket, stats.tobytes(), b"")])
             flags = told((seen == 1).astype(np.uint8) << 1 | (seen > total).astype(np.uint8) << 2)
-            flags[order[begins]] |= total > 0  # the first chunk with the key owns it, if it was seen in training
+            flags[order[begins]] |= total > 0  # one chunk with the key owns it, if it was seen in training
             answers = told(total), flags
         else:
             count, mass, lower = values[0][begins], np.add.reduceat(values[1], begins), np.add.reduceat(values[2], begins)
@@ -445,14 +457,14 @@ def _score(order: int, model: Model):
     def score(_: int, c: Chunk) -> Iterator[pa.RecordBatch]:
         levels = c.levels(order)
         count = levels[0].count
-        p = model.word_probability(count)[c.stream]
+        p = model.word_probability(count).take(c.stream)
         for k in range(2, order + 1):
             alpha, total = _weights(c, levels, k, model)
             here, of = levels[k - 1], levels[k - 2]
             cut = model.grams[k]
             longer = here.spread(discounted(here.count, cut) / np.maximum(1, total[here.history]), float(cut[0]) / model.single(k))
             unseen = np.flatnonzero(longer == 0)
-            longer[unseen] = np.append(alpha, 1.0)[c.histories(k, of.at)[unseen]] * p[unseen]
+            longer[unseen] = np.append(alpha, 1.0).take(c.histories(k, of.at).take(unseen)) * p.take(unseen)
             p = longer
         base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
         n = len(c.ids)
@@ -509,7 +521,7 @@ def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held:
         raise ValueError("the order is two or more")
     tuned(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", divisor) == held).alias("held"))
-    made = save(docs.mapInArrow(lambda batches: _encode(batches, chunk_tokens), CHUNK))
+    made = save(docs.mapInArrow(_in_room(lambda batches: _encode(batches, chunk_tokens)), CHUNK))
     chunks = made.count()
     encoded = bucketed(made, "chunk", max(1, min(chunks, 10_000)))  # chunks stay where they are; answers come to them
     forget(made)
@@ -527,7 +539,7 @@ def score_texts(documents: DataFrame, *, order: int = 3, divisor: int = 5, held:
 
     model = Model()
     none = np.zeros(KATZ_LIMIT + 3, np.int64)
-    stats = answered(encoded.mapInArrow(_ask_first(buckets, order), MESSAGE))
+    stats = answered(encoded.mapInArrow(_in_room(_ask_first(buckets, order)), MESSAGE))
     for k in (1, 2):
         model.learn(k, stats.get(k, none))
     for k in range(2, order + 1):

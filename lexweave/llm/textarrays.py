@@ -13,6 +13,7 @@ They depend on the bytes alone, never on the process or the batch.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +23,30 @@ import pyarrow as pa
 
 U64 = np.uint64
 pa.set_memory_pool(pa.system_memory_pool())  # freed batches go back to the system, not to a pool of each idle worker
+_M_MMAP_THRESHOLD, _M_TRIM_THRESHOLD = -3, -1
 try:
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: so do freed arrays of a MB and more
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)  # so do freed arrays of a MB and more
 except (OSError, AttributeError):  # not glibc
-    pass
+    _libc = None
+
+
+@contextlib.contextmanager
+def roomy(size: int = 16 << 20) -> Iterator[None]:
+    """Freed arrays up to ``size`` stay with the process inside, which spares the faults of fresh pages; all go back at the end."""
+    if _libc is None:
+        yield
+        return
+    for option in (_M_MMAP_THRESHOLD, _M_TRIM_THRESHOLD):
+        _libc.mallopt(option, size)
+    try:
+        yield
+    finally:
+        _libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+        _libc.mallopt(_M_TRIM_THRESHOLD, 1 << 17)
+        _libc.malloc_trim(0)
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SALT = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
