@@ -135,7 +135,15 @@ def cka_matrix(spark, sf_dir):
     return O.cka(vectors(spark, sf_dir), [(f"m{k}", 16 * k, 16 * k + 16) for k in range(4)]).withColumn("cka", F.round("cka", 6))
 
 
-@query("semantic_report")
+UNIT = "u AS (SELECT model, vec_id, list_transform(x, lambda e: e / norm) AS x FROM (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM m) h)"
+ASKED = """q AS (SELECT model, query, list_transform(range(1, 33), lambda i: ps[i] + qs[i] - rs[i]) AS x FROM (SELECT model, vec_id AS query, x AS ps FROM u WHERE vec_id % 100 = 0) p
+JOIN (SELECT model, vec_id - 1 AS query, x AS qs FROM u) USING (model, query) JOIN (SELECT model, vec_id - 2 AS query, x AS rs FROM u) USING (model, query))"""
+ANSWERED = f"z AS (SELECT a.model, a.query, b.vec_id, {COS} AS score, row_number() OVER (PARTITION BY a.model, a.query ORDER BY {COS} DESC, b.vec_id) AS rank FROM q a JOIN m b ON b.model = a.model AND b.vec_id NOT BETWEEN a.query AND a.query + 2 QUALIFY rank <= 5)"
+
+
+@query("semantic_report", f"""WITH {MODELS}, {KNN}, {UNIT}, {ASKED}, {ANSWERED}
+SELECT model, 'neighbours' AS kind, query, rank::INT AS rank, vec_id, round(score, 4) AS score FROM k
+UNION ALL SELECT model, 'analogy', query, rank::INT, vec_id, round(score, 4) FROM z""")
 def semantic_report(spark, sf_dir):
     v = vectors(spark, sf_dir)
     parts = [O.nearest(half(v, m), probes(half(v, m))).select(F.lit(m).alias("model"), F.lit("neighbours").alias("kind"), "query", "rank", "vec_id", F.round("score", 4).alias("score")) for m in "ab"]
