@@ -167,9 +167,11 @@ def context_pairs_dynamic(spark, sf_dir):
 
 
 @query("negative_samples", f"""WITH {CORPUS}, q AS (SELECT word, n ** 0.75 / sum(n ** 0.75) OVER () AS p FROM v),
-h AS (SELECT word, sum(p) OVER (ORDER BY word) AS hi FROM q), b AS (SELECT word, hi, coalesce(lag(hi) OVER (ORDER BY word), 0) AS lo FROM h),
-x AS (SELECT word AS id, word AS positive, unnest(range(1, 6)) AS draw FROM v), y AS (SELECT *, {UNIFORM.format('id, draw')} AS u FROM x)
-SELECT id, draw::INT AS draw, positive, word AS negative FROM y JOIN b ON u >= lo AND u < hi WHERE word <> positive""")
+b AS (SELECT word, p, coalesce(sum(p) OVER (ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM q),
+x AS (SELECT word AS id, word AS positive, unnest(range(1, 6)) AS draw FROM v), y AS (SELECT x.*, {UNIFORM.format('id, draw')} * (1 - b.p) AS u, b.lo, b.p FROM x JOIN b ON b.word = x.positive),
+z AS (SELECT id, draw, positive, CASE WHEN u >= lo THEN u + p ELSE u END AS u FROM y)
+SELECT id, draw::INT AS draw, positive, b.word AS negative FROM z ASOF JOIN b ON z.u >= b.lo""")
 def negative_samples(spark, sf_dir):
-    words = vocab(spark, sf_dir)
+    """Five negatives for every word: drawn as uniform numbers, the positive's own span cut out."""
+    words = save(vocab(spark, sf_dir))
     return V.negatives(words.select(F.col("word").alias("id"), "word"), V.noise(words))
