@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .clusters import cluster_vectors
 from .common import table
 from .decontaminate import contaminated
+from .fragments import jaccard_components
 from .html import extract_text
 from .katz import score_texts
 from .language import identify_language
@@ -41,6 +42,15 @@ r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id,
 c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
+ORACLES["op11_fragments"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
 ORACLES["op9_substring"] = rf"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 v AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, unnest(list_transform(range(1, len(ws) - 11), lambda p: array_to_string(ws[p:p + 12], ' '))) AS g FROM w WHERE len(ws) >= 13),
@@ -177,3 +187,8 @@ def op12_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_op
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(table(spark, sf_dir, "documents"))
+
+
+@_op
+def op11_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
