@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Private-use characters that mark places inside a text while it is worked on.
 BREAK, DOT, OPEN, SHUT = "\uE000", "\uE001", "\uE002", "\uE003"
 SPACE = r"[ \t\n\r\f\x0B\x{00A0}]"
+SPACES = " \t\n\r\f\x0B\u00A0"
 WORDCHAR = r"[\p{L}\p{N}_]"
 #: A word boundary by its neighbours, the same in every engine and version.
 EDGE = rf"(?:(?<={WORDCHAR})(?!{WORDCHAR})|(?<!{WORDCHAR})(?={WORDCHAR}))"
@@ -25,6 +26,8 @@ TAG = r"<[^>]+>"
 _DOT = rf"{SPACE}*(?:\[dot\]|dot){SPACE}*"
 HIDDEN_EMAIL = rf"(?i)({WORDCHAR}+(?:{_DOT}{WORDCHAR}+)*){SPACE}*(?:\[at\]|at){SPACE}*{WORDCHAR}+{_DOT}{WORDCHAR}+(?:{_DOT}{WORDCHAR}+)*"
 DIVIDER = r"^[^\p{L}\p{N}]+$"
+#: One of these is in every text, lower-cased, that a boilerplate pattern finds, but for the last pattern.
+BOILERPLATE_MARKS = ("copyright", "this portal is owned", "last updated", "web information manager", "institute repository")
 BOILERPLATE = (
     r"copyright.*all rights reserved",
     r"this portal is owned.*designed.*developed",
@@ -47,12 +50,24 @@ def let(t: Column, f) -> Column:
     return F.element_at(F.transform(F.array(t), f), 1)
 
 
+def replaced(t: Column, pattern: str, to: str, *marks: str) -> Column:
+    """``regexp_replace`` where one of ``marks`` is in the text, without which the pattern finds nothing; a search for a word is far cheaper."""
+
+    def found(x: Column) -> Column:
+        held = F.contains(x, F.lit(marks[0]))
+        for mark in marks[1:]:
+            held = held | F.contains(x, F.lit(mark))
+        return F.when(held, F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    return let(t, found)
+
+
 def lines(t: Column) -> Column:
     return F.split(t, "\n")
 
 
 def stripped(t: Column) -> Column:
-    return F.regexp_replace(t, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(t, F.lit(SPACES))
 
 
 def letters(t: Column) -> Column:
@@ -92,7 +107,7 @@ def without_provenance(t: Column) -> Column:
 
 
 def without_urls(t: Column) -> Column:
-    return F.regexp_replace(t, URL, " ")
+    return replaced(t, URL, " ", "://", "www.")
 
 
 def join_hidden_emails(t: Column) -> Column:
@@ -106,11 +121,11 @@ def join_hidden_emails(t: Column) -> Column:
 
 
 def without_emails(t: Column) -> Column:
-    return let(t, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, EMAIL, " ")).otherwise(x))
+    return replaced(t, EMAIL, " ", "@")
 
 
 def without_entities(t: Column) -> Column:
-    return F.regexp_replace(t, ENTITY, " ")
+    return replaced(t, ENTITY, " ", "&")
 
 
 def without_phones(t: Column) -> Column:
@@ -119,25 +134,31 @@ def without_phones(t: Column) -> Column:
 
 
 def without_tags(t: Column) -> Column:
-    return F.regexp_replace(t, TAG, " ")
+    return replaced(t, TAG, " ", "<")
+
 
+def is_boilerplate(line: Column) -> Column:
+    """Whether a pattern finds something in the stripped line."""
 
-def is_boilerplate(line: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
-    return stripped(line).rlike("(?i)" + "|".join(patterns))
+    def found(x: Column) -> Column:
+        marked = x.rlike("(?i)" + BOILERPLATE[-1])
+        for mark in BOILERPLATE_MARKS:
+            marked = marked | F.contains(F.lower(x), F.lit(mark))
+        return marked & x.rlike("(?i)" + "|".join(BOILERPLATE))
 
+    return let(stripped(line), found)
 
-def without_dividers(t: Column, patterns: tuple[str, ...] = BOILERPLATE) -> Column:
-    def kept(line: Column) -> Column:
-        return let(stripped(line), lambda x: ~(x.rlike(DIVIDER) | x.rlike("(?i)" + "|".join(patterns))))
 
-    return F.array_join(F.filter(lines(t), kept), "\n")
+def without_dividers(t: Column) -> Column:
+    """Without boilerplate lines and lines that hold neither letter nor number but something else than blanks."""
+    return F.array_join(F.filter(lines(t), lambda line: ~(stripped(line).rlike(DIVIDER) | is_boilerplate(line))), "\n")
 
 
 def collapse_punctuation(t: Column) -> Column:
-    t = F.regexp_replace(t, r"[.]{3,}", ".")
-    t = F.regexp_replace(t, r"-{3,}", " ")
-    t = F.regexp_replace(t, r"_{3,}", " ")
-    return F.regexp_replace(t, r"[*]{2,}", " ")
+    t = replaced(t, r"[.]{3,}", ".", "...")
+    t = replaced(t, r"-{3,}", " ", "---")
+    t = replaced(t, r"_{3,}", " ", "___")
+    return replaced(t, r"[*]{2,}", " ", "**")
 
 
 def plain_spaces(t: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import let
 
 # What is never crawled.
 SKIP_ANYWHERE = (".jpg", ".jpeg", ".png", ".gif", ".svg", ".ico", ".mp4", ".avi", ".mov", ".zip", ".rar", ".gz", ".css", ".js", ".xml", ".rss", ".json", ".php?")
@@ -37,29 +37,36 @@ def is_skipped(url: Column) -> Column:
     return F.lower(url).rlike(anywhere) | path(url).rlike(f"^(?:{paths})")
 
 
+def without_dot_segments(path: Column) -> Column:
+    """``.`` and ``..`` taken out of a path that begins with a slash, from left to right (RFC 3986, 5.2.4); empty segments inside go too."""
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+
+    def folded(parts: Column) -> Column:
+        kept = F.filter(parts, lambda x, k: (k > 0) & ((x != "") | (k == F.size(parts) - 1)))
+        return F.concat(F.aggregate(kept, F.lit(""), step), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+    return let(F.split(path, "/"), folded)
+
+
 def normalised(href: Column, base: Column) -> Column:
-    """Absolute form of ``href`` without fragment and trailing slashes, for absolute, scheme-relative, root-relative, query and fragment references."""
-    bare = F.regexp_replace(base, r"[?#].*$", "")
+    """Absolute form of ``href`` (RFC 3986, 5.2.2) without fragment and trailing slashes."""
+    ref, whole = F.regexp_replace(href, "(?s)#.*$", ""), F.regexp_replace(base, "(?s)#.*$", "")
+    bare = F.regexp_replace(whole, r"(?s)\?.*$", "")
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.when(F.length(bare) > F.length(origin), F.regexp_replace(bare, "[^/]*$", "")).otherwise(F.concat(origin, F.lit("/")))
+    own = F.regexp_extract(ref, r"^([^?]*)", 1)
+    folder = F.regexp_replace(F.concat(F.substr(bare, F.length(origin) + 1)), "[^/]*$", "")
+    path = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
     full = (
-        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(bare, href))
-        .when(href.startswith("#") | (href == ""), base)
-        .otherwise(F.concat(folder, href))
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(ref == "", whole)
+        .when(ref.startswith("?"), F.concat(bare, ref))
+        .otherwise(F.concat(origin, without_dot_segments(path), F.substr(ref, F.length(own) + 1)))
     )
-    return F.regexp_replace(F.regexp_replace(full, "#.*$", ""), "/+$", "")
-
-
-@F.pandas_udf(T.StringType())
-def resolved(href: pd.Series, base: pd.Series) -> pd.Series:
-    """``normalised`` for any reference, dot segments included (RFC 3986)."""
-    from urllib.parse import urljoin
-
-    return pd.Series([None if h is None or b is None else urljoin(b, h).split("#")[0].rstrip("/") for h, b in zip(href, base)])
+    return F.regexp_replace(full, "/+$", "")
 
 
 def pdf_name(url: Column) -> Column:

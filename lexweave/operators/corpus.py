@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -19,20 +19,38 @@ STOP_WORDS = (
 ).split()
 
 
+def _keys(text: Column, least: int, hidden_emails: bool, phones: bool) -> Column:
+    """(key, sent_idx) of the English sentences of ``least`` valid tokens of a document, repeats included; a key is the tokens joined by blanks."""
+
+    def keyed(sentence: Column, k: Column) -> Column:
+        key = X.let(X.tokens(sentence), lambda words: F.when(F.size(words) >= least, F.array_join(words, " ")))
+        return F.struct(F.when(X.is_english_sentence(sentence), key).alias("key"), k.alias("sent_idx"))
+
+    clean = X.distinct_stripped_lines(X.clean(text, hidden_emails=hidden_emails, phones=phones))
+    return F.filter(F.transform(X.sentences(clean), keyed), lambda x: x["key"].isNotNull())
+
+
+def _exploded(documents: DataFrame, keys: Column) -> DataFrame:
+    each = documents.select("doc_id", F.explode(keys).alias("s"))
+    return each.select("doc_id", "s.sent_idx", F.split("s.key", " ").alias("tokens"), "s.key")
+
+
+def all_sentences(documents: DataFrame, *, least: int = 3, phones: bool = True, hidden_emails: bool = True) -> DataFrame:
+    """(doc_id, sent_idx, tokens, key): clean, drop repeated lines, split, keep English sentences of ``least`` valid tokens.  One narrow stage."""
+    return _exploded(documents, _keys(F.col("text"), least, hidden_emails, phones))
+
+
 def sentences(documents: DataFrame, *, least: int = 3, phones: bool = True, hidden_emails: bool = True) -> DataFrame:
-    """(doc_id, sent_idx, tokens, key): clean, drop repeated lines, split, keep English sentences of ``least`` valid tokens, the first of each in its document.
+    """The same with the first of each sentence in its document alone: repeats are neighbours once the document's own array is sorted, so nothing is shuffled."""
 
-    One narrow stage: repeats inside a document are found in its own array.
-    """
-    text = X.distinct_stripped_lines(X.clean(F.col("text"), hidden_emails=hidden_emails, phones=phones))
-    each = documents.select("doc_id", F.posexplode(X.sentences(text)).alias("sent_idx", "sentence")).filter(X.is_english_sentence(F.col("sentence")))
-    cut = each.select("doc_id", "sent_idx", X.tokens(F.col("sentence")).alias("tokens")).filter(F.size("tokens") >= least)
-    keyed = cut.withColumn("key", F.array_join("tokens", " "))
-    return keyed.groupBy("doc_id", "key").agg(F.min("sent_idx").alias("sent_idx")).select("doc_id", "sent_idx", F.split("key", " ").alias("tokens"), "key")
+    def firsts(every: Column) -> Column:
+        return F.filter(every, lambda x, k: (k == 0) | (x["key"] != F.get(every, k - 1)["key"]))
+
+    return _exploded(documents, X.let(F.sort_array(_keys(F.col("text"), least, hidden_emails, phones)), firsts))
 
 
 def unique_sentences(sents: DataFrame) -> DataFrame:
-    """The first of each sentence over all documents, in the order (doc_id, sent_idx).
+    """The first of each sentence over all documents, in the order (doc_id, sent_idx); repeats inside a document go by the same step.
 
     A minimum per key instead of a window: it combines before the shuffle, so a
     sentence that every document repeats is one row per task.

@@ -99,3 +99,35 @@ def plateau(losses: Column, *, rate: float = 0.003, factor: float = 0.3, floor:
         return F.when(s["stopped"], s).otherwise(new)
 
     return F.aggregate(losses, start, step)
+
+
+def loss_table(history: DataFrame, models: list[str], every: int = 3) -> DataFrame:
+    """One row for each ``every``-th epoch from the first on, and the last, up to the end of the shortest run; a column for each model."""
+    shortest = history.groupBy("model").agg(F.max("epoch").alias("n")).agg(F.min("n").alias("n"))
+    kept = history.crossJoin(F.broadcast(shortest)).filter(((F.col("epoch") - 1) % every == 0) & (F.col("epoch") <= F.col("n")) | (F.col("epoch") == F.col("n")))
+    return kept.groupBy("epoch").pivot("model", models).agg(F.max("loss"))
+
+
+def summary(history: DataFrame) -> DataFrame:
+    """Epochs, last and best loss of each model."""
+    return history.groupBy("model").agg(F.max("epoch").alias("epochs"), F.max_by("loss", "epoch").alias("final_loss"), F.min("loss").alias("best_loss"))
+
+
+def sweep_difference(runs: DataFrame, one: str, other: str) -> DataFrame:
+    """(arch, win, one, other, diff): mean similarity of two kinds of runs side by side."""
+    sides = runs.groupBy("arch", "win").pivot("kind", [one, other]).agg(F.round(F.avg("sim"), 4))
+    return sides.withColumn("diff", F.round(F.col(one) - F.col(other), 4))
+
+
+def evaluated(generated: DataFrame, training: DataFrame, column: str, model: str) -> DataFrame:
+    """Novelty, diversity, failures and mean length of the names of each ``model`` in one pass over them, and one over distinct names."""
+    known = training.select(F.lower(column).alias("low")).distinct().withColumn("known", F.lit(1))
+    each = generated.groupBy(model, column).agg(F.count("*").alias("n")).withColumn("low", F.lower(column)).join(known, "low", "left")
+    size = F.length(column)
+    count = lambda of: F.sum(F.when(of, F.col("n")).otherwise(0))
+    total = F.sum("n")
+    return each.groupBy(model).agg(
+        total.alias("generated"), (100.0 * count(F.col("known").isNull()) / total).alias("novelty"), (100.0 * F.count("*") / total).alias("diversity"),
+        count(size < 3).alias("too_short"), count(size > 25).alias("too_long"), count(~F.contains(F.col(column), F.lit(" "))).alias("no_space"),
+        count(F.col(column).rlike(r"(\p{L})\1\1")).alias("repeated"), (F.sum(size * F.col("n")) / total).alias("mean_length"),
+    )

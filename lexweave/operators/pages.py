@@ -1,15 +1,14 @@
-"""Page layout and crawling."""
+"""Page layout, links and crawling."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..storage import fresh_path
-
-# Elements that are never text of their page.
-BOILERPLATE_TAGS = ("nav", "header", "footer", "script", "style", "noscript", "aside", "form")
+from ..storage import save
+from . import markup
+from .numbering import numbered, ordered, part
 
 
 def outside(blocks: DataFrame, tables: DataFrame, page: str = "page") -> DataFrame:
@@ -19,98 +18,83 @@ def outside(blocks: DataFrame, tables: DataFrame, page: str = "page") -> DataFra
     return b.join(t, meet, "left_anti")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """Every non-empty ``a[href]`` of a page, normalised; repeats stay."""
-    hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1)
-    each = pages.select("page_id", "url", F.explode(hrefs).alias("href")).withColumn("href", F.trim("href")).filter("href <> ''")
-    return each.select("page_id", "href", U.normalised(F.col("href"), F.col("url")).alias("link"))
-
-
-def without_boilerplate(html):
-    for tag in BOILERPLATE_TAGS:
-        html = F.regexp_replace(html, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", "")
-    return html
-
-
-def content_area(html):
-    """First of main, article, body, else everything."""
-    found = [F.nullif(F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*)</{tag}\s*>", 1), F.lit("")) for tag in ("main", "article", "body")]
-    return F.coalesce(*found, html)
-
-
-def paragraphs(pages: DataFrame) -> DataFrame:
-    """English paragraphs of 20 characters or more of each page, nested elements repeated at each level."""
-    from html.parser import HTMLParser
-
-    wanted = frozenset("p li h1 h2 h3 h4 h5 td span div".split())
-    void = frozenset("br img hr input meta link wbr source col area base embed track".split())
-
-    class Collector(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.open, self.out = [], []
-
-        def handle_starttag(self, tag, attrs):
-            if tag not in void:
-                self.open.append((tag, len(self.out), []))
-                if tag in wanted:
-                    self.out.append(None)
-
-        def handle_endtag(self, tag):
-            if any(t == tag for t, _, _ in self.open):
-                while self.open:
-                    t, at, parts = self.open.pop()
-                    if t in wanted:
-                        self.out[at] = " ".join(parts)
-                    if t == tag:
-                        break
-
-        def handle_data(self, data):
-            if data.strip():
-                for _, _, parts in self.open:
-                    parts.append(data.strip())
-
-    def collect(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for page, html in zip(pdf["page_id"], pdf["html"]):
-                c = Collector()
-                c.feed(html or "")
-                while c.open:
-                    c.handle_endtag(c.open[-1][0])
-                for k, text in enumerate(x for x in c.out if x):
-                    letters = [ch for ch in text if ch.isalpha()]
-                    if len(text) >= 20 and letters and sum(ch.isascii() for ch in letters) / len(letters) > 0.85:
-                        out.append((page, k, text))
-            yield pd.DataFrame(out, columns=["page_id", "pos", "text"])
-
-    stripped = pages.select("page_id", content_area(without_boilerplate(F.col("html"))).alias("html"))
-    return stripped.mapInPandas(collect, "page_id long, pos int, text string")
-
-
-def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, depth): least number of steps from the seeds, breadth first.
-
-    Each level is one join with the edges and one anti-join with what was
-    visited; levels are written to the shared checkpoint folder, so lineage does
-    not grow and lost executors cost nothing.  ``most`` stops after the level
-    that reaches so many nodes.
+def links(trees: DataFrame, *keys: str) -> DataFrame:
+    """(keys, pos, href, link): every non-empty ``a[href]`` outside boilerplate, normalised against the page's ``url``; repeats stay."""
+    keys = keys or ("page_id",)
+    each = trees.select(*keys, "url", F.posexplode("hrefs").alias("pos", "href"))
+    return each.select(*keys, "pos", "href", U.normalised(F.col("href"), F.col("url")).alias("link"))
+
+
+def is_crawled(link: Column, domain: str) -> Column:
+    return U.is_internal(link, domain) & ~U.is_skipped(link)
+
+
+def is_pdf(href: Column) -> Column:
+    return F.lower(href).endswith(".pdf")
+
+
+def site(pages: DataFrame, least: int = 20) -> DataFrame:
+    """(key, url, n, hrefs): one page for each normalised address, the smallest page_id of it, with the length of its text and its links."""
+    trees = markup.parsed(pages).withColumn("n", markup.text_length(least))
+    found = trees.select(U.normalised(F.lit(""), F.col("url")).alias("key"), "page_id", "url", "n", "hrefs")
+    return found.groupBy("key").agg(F.min_by(F.struct("url", "n", "hrefs"), "page_id").alias("page")).select("key", "page.*")
+
+
+def _in_order(level: DataFrame, saved: int, most: int) -> DataFrame:
+    """The pages of a level that are popped before ``most`` pages are saved; ``saved`` were before it."""
+    parts = ordered(level, "no").withColumn("_part", part())
+    good = F.col("saved").cast("long")
+    sums = parts.groupBy("_part").agg(F.sum(good).alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = F.coalesce(F.sum(good).over(Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = parts.withColumn("_inside", inside).join(F.broadcast(before), "_part")
+    return held.filter(F.col("_before") + F.col("_inside") + saved < most).select(*level.columns)
+
+
+def crawl(web: DataFrame, seeds: DataFrame, domain: str, *, most_pages: int = 8000, most_pdfs: int = 2000, least: int = 100) -> DataFrame:
+    """(no, url, depth, status, text_file, pdfs): the log of a breadth-first crawl of ``web`` (key, url, n, hrefs) from ``seeds`` (no, url).
+
+    Addresses are taken in the order in which a queue would give them: by level,
+    then by the number of the page that names them first, then by the link's place on
+    it.  A page is saved if its text is longer than ``least``; the crawl ends with the
+    page that is the ``most_pages``-th saved one.  What is skipped, or not in
+    ``web``, is in the log too, and links of skipped pages are followed.  A PDF
+    belongs to the first page that names it, up to ``most_pdfs`` of them; pdfs has
+    their addresses and file names in the order of the page.
+
+    A level is one join with the pages, one minimum per address, one anti-join with what
+    is known and one numbering; each is saved, so lost executors cost nothing and lineage does not grow.
     """
-    folder = fresh_path(spark)
-    level = seeds.select("node", F.lit(0).alias("depth")).distinct()
-    level.write.parquet(f"{folder}/level=0")
-    depth, total = 0, 0
+    none = F.lit(None).cast("string")
+    first = seeds.select(F.regexp_replace("url", "/+$", "").alias("address"), F.struct(F.col("no").cast("long").alias("no"), F.lit(0).alias("pos")).alias("rank"))
+    ahead = first.groupBy("address").agg(F.min("rank").alias("rank"))
+    known, done, count, saved, depth = None, None, 0, 0, 0
     while True:
-        seen = spark.read.schema("node long, depth int").parquet(*[f"{folder}/level={k}" for k in range(depth + 1)])
-        now = spark.read.schema("node long, depth int").parquet(f"{folder}/level={depth}")
-        if most is not None:
-            total = seen.count()
-            if total >= most:
-                return seen
-        if not now.head(1):
-            return seen
-        ahead = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        ahead.join(seen, "node", "left_anti").select("node", F.lit(depth + 1).alias("depth")).write.parquet(f"{folder}/level={depth + 1}")
-        depth += 1
+        level = numbered(ahead, "rank", name="at").select("address", (F.col("at") + count).alias("no"))
+        level = level.join(web, F.col("address") == F.col("key"), "left").withColumn("saved", F.coalesce(F.col("n") > least, F.lit(False)))
+        level = save(level.select("no", "address", F.lit(depth).alias("depth"), "saved", "url", "hrefs"))
+        here = level.agg(F.count("*").alias("pages"), F.count_if("saved").alias("saved")).first()
+        if not here["pages"]:
+            break
+        if saved + here["saved"] >= most_pages:
+            level = save(_in_order(level, saved, most_pages))
+        done = level if done is None else done.union(level)
+        count, saved, depth = count + here["pages"], saved + here["saved"], depth + 1
+        if saved >= most_pages:
+            break
+        named = links(level.filter("hrefs is not null"), "no").filter(is_crawled(F.col("link"), domain))
+        named = named.groupBy(F.col("link").alias("address")).agg(F.min(F.struct("no", "pos")).alias("rank"))
+        known = level.select("address") if known is None else known.union(level.select("address"))
+        ahead = save(named.join(known, "address", "left_anti"))
+    if done is None:
+        return level.select("no", F.col("address").alias("url"), "depth", none.alias("status"), none.alias("text_file"), F.array().cast("array<struct<url:string,file:string>>").alias("pdfs"))
+    pdfs = links(done.filter("hrefs is not null"), "no").filter(is_pdf(F.col("href"))).groupBy("link").agg(F.min(F.struct("no", "pos")).alias("rank"))
+    pdfs = numbered(pdfs, "rank", name="pdf").filter(F.col("pdf") < most_pdfs)
+    files = pdfs.groupBy(F.col("rank.no").alias("of")).agg(F.sort_array(F.collect_list(F.struct("rank.pos", F.col("link").alias("url"), U.pdf_name(F.col("link")).alias("file")))).alias("pdfs"))
+    log = done.join(files, F.col("no") == F.col("of"), "left")
+    out = log.select(
+        "no", F.col("address").alias("url"), "depth", F.when(F.col("saved"), "saved").otherwise("skipped").alias("status"),
+        F.when(F.col("saved"), F.concat(U.key(F.col("address")), F.lit(".txt"))).alias("text_file"),
+        F.coalesce(F.transform("pdfs", lambda x: F.struct(x["url"].alias("url"), x["file"].alias("file"))), F.array().cast("array<struct<url:string,file:string>>")).alias("pdfs"),
+    )
+    return out

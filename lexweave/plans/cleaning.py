@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.pages import outside
 from ..registry import query, spread, table
 
 S = r"[ \t\n\r\f\x0B\x{00A0}]"
@@ -126,20 +127,15 @@ def table_rows_to_text(spark, sf_dir):
     return part.select("p_partkey", F.explode(X.table_sentences(F.array(cells))).alias("line"))
 
 
-BLOCKS = [(1, 0, 0.0, 0.0, 10.0, 10.0, "kept one"), (1, 1, 5.0, 20.0, 15.0, 30.0, "in table"), (1, 2, 16.0, 31.0, 20.0, 40.0, "kept two"), (2, 0, 5.0, 20.0, 15.0, 30.0, "other page"), (2, 1, 0.0, 50.0, 9.0, 60.0, "edge only")]
-RECTANGLES = [(1, 4.0, 18.0, 16.0, 31.0), (2, 9.0, 50.0, 12.0, 60.0)]
+#: Parts as blocks of a page: 40 to a page, each fifth of them is a table; the numbers give the rectangles.
+BLOCKS = "b AS (SELECT p_partkey // 40 AS page, p_partkey AS block_no, (p_size * 7 % 60)::DOUBLE AS x0, (p_size * 7 % 60 + 8)::DOUBLE AS x1, (p_partkey % 40 * 5)::DOUBLE AS y0, (p_partkey % 40 * 5 + 12)::DOUBLE AS y1, p_name AS text, p_partkey % 5 = 0 AS is_table FROM part)"
 
 
-def _values(data) -> str:
-    return ", ".join("(" + ", ".join(_quoted(x) if isinstance(x, str) else "NULL" if x is None else f"{x}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in data)
-
-
-@query("block_table_antijoin", f"SELECT page, string_agg(text, chr(10) ORDER BY block_no) AS text FROM (VALUES {_values(BLOCKS)}) b(page, block_no, x0, y0, x1, y1, text) WHERE NOT EXISTS (SELECT 1 FROM (VALUES {_values(RECTANGLES)}) t(page, x0, y0, x1, y1) WHERE t.page = b.page AND b.x0 < t.x1 AND b.x1 > t.x0 AND b.y0 < t.y1 AND b.y1 > t.y0) GROUP BY page")
+@query("block_table_antijoin", f"WITH {BLOCKS} SELECT page, string_agg(text, chr(10) ORDER BY block_no) AS text FROM b WHERE NOT is_table AND NOT EXISTS (SELECT 1 FROM b t WHERE t.is_table AND t.page = b.page AND b.x0 < t.x1 AND b.x1 > t.x0 AND b.y0 < t.y1 AND b.y1 > t.y0) GROUP BY page")
 def block_table_antijoin(spark, sf_dir):
-    blocks = spark.createDataFrame(BLOCKS, "page int, block_no int, x0 double, y0 double, x1 double, y1 double, text string")
-    tables = spark.createDataFrame(RECTANGLES, "page int, x0 double, y0 double, x1 double, y1 double")
-    from ..operators.pages import outside
-
-    kept = outside(blocks, tables)
+    i, x, y = F.col("p_partkey"), F.col("p_size") * 7 % 60, F.col("p_partkey") % 40 * 5
+    blocks = table(spark, sf_dir, "part").select(F.floor(i / 40).alias("page"), i.alias("block_no"), x.cast("double").alias("x0"), (x + 8).cast("double").alias("x1"), y.cast("double").alias("y0"), (y + 12).cast("double").alias("y1"), F.col("p_name").alias("text"))
+    is_table = F.col("block_no") % 5 == 0
+    kept = outside(blocks.filter(~is_table), blocks.filter(is_table))
     ordered = F.sort_array(F.collect_list(F.struct("block_no", "text")))
     return kept.groupBy("page").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))

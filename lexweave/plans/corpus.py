@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import vocabulary as V
+from ..operators.training import sweep
 from ..registry import query, spread, table
 from ..storage import save
 from .cleaning import MEAN, S, _quoted, clean_sql, strip_sql
+from .names import GRID
 
 TOK = "list_filter(list_transform(string_split_regex(sentence, '" + r"""[ \t\n\r\f\x0B\x{00A0}\[\](){}<>,;:"?!&@#$%]+""" + "'), lambda w: lower(trim(w, '.''`'))), lambda w: regexp_matches(w, '^[a-z][a-z0-9]+$'))"
 ALPHA_S = rf"list_filter(string_split_regex(sentence, '{S}+'), lambda w: regexp_matches(w, '^\p{{L}}+$'))"
@@ -38,7 +40,7 @@ def sents(spark, sf_dir):
 
 
 def corpus(spark, sf_dir):
-    return C.unique_sentences(sents(spark, sf_dir))
+    return C.unique_sentences(C.all_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def vocab(spark, sf_dir):
@@ -138,12 +140,12 @@ KEEP = "SELECT word, n, least(1.0, sqrt(1e-4 / (n / total::DOUBLE)) + 1e-4 / (n
 
 @query("keep_prob", f"WITH {CORPUS} SELECT word, n, round(keep, 9) AS keep FROM ({KEEP})")
 def keep_prob(spark, sf_dir):
-    return V.keep_probability(vocab(spark, sf_dir)).withColumn("keep", F.round("keep", 9))
+    return V.keep_probability(save(vocab(spark, sf_dir))).withColumn("keep", F.round("keep", 9))
 
 
 @query("neg_dist", f"WITH {CORPUS} SELECT word, n, round(n ** 0.75 / sum(n ** 0.75) OVER (), 9) AS p FROM v")
 def neg_dist(spark, sf_dir):
-    return V.noise(vocab(spark, sf_dir)).withColumn("p", F.round("p", 9))
+    return V.noise(save(vocab(spark, sf_dir))).withColumn("p", F.round("p", 9))
 
 
 UNIFORM = "(('0x' || substr(md5(concat_ws('|', {})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
@@ -175,3 +177,11 @@ def negative_samples(spark, sf_dir):
     """Five negatives for every word: drawn as uniform numbers, the positive's own span cut out."""
     words = save(vocab(spark, sf_dir))
     return V.negatives(words.select(F.col("word").alias("id"), "word"), V.noise(words))
+
+
+@query("sweep_grid", f"WITH {CORPUS} SELECT arch, dim, win, neg, sweep, (2 * win * (SELECT sum(n) FROM v))::BIGINT AS planned FROM {GRID}, (VALUES ('cbow'), ('skipgram')) a(arch)")
+def sweep_grid(spark, sf_dir):
+    """The runs of the sweep and the pairs that each plans for an epoch: two windows for each token of the vocabulary."""
+    grid = spark.createDataFrame(sweep(), "arch string, dim int, win int, neg int, sweep string")
+    tokens = vocab(spark, sf_dir).agg(F.sum("n").alias("tokens"))
+    return grid.crossJoin(F.broadcast(tokens)).select("arch", "dim", "win", "neg", "sweep", (2 * F.col("win") * F.col("tokens")).alias("planned"))

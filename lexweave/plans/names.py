@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as A
 from ..operators import names as N
 from ..operators import vocabulary as V
 from ..registry import query, table
+from ..storage import save
 
 NAMES = "n AS (SELECT p_partkey AS id, lower(trim(p_name)) AS name FROM part WHERE trim(p_name) <> '')"
 CHARS = NAMES + ", c AS (SELECT DISTINCT unnest(string_split(name, '')) AS ch FROM n), v AS (SELECT ch, (row_number() OVER (ORDER BY ch) + 2)::INT AS idx FROM c)"
@@ -106,143 +109,156 @@ def length_histogram(spark, sf_dir):
     return N.lengths(names(spark, sf_dir), "name")
 
 
-LOGITS = [(1, [1.0, 2.0, 3.0], 2), (2, [-5.0, 0.0, 800.0], 0), (3, [0.0], 0), (4, [0.1, 0.1], 1)]
-LOGITS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {x}::DOUBLE[], {y})" for i, x, y in LOGITS) + ") l(id, x, y))"
-SOFT = "list_transform(x, lambda e: exp(e - list_max(x)) / list_sum(list_transform(x, lambda f: exp(f - list_max(x)))))"
+#: Each vector of ``embeddings`` as the logits, states, weights, gradients or losses of a network.
+EMB = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, abs(coalesce(label, 0)) % 10 AS y FROM embeddings)"
+SOFT = "list_transform(x[1:10], lambda e: exp(e - list_max(x[1:10])) / list_sum(list_transform(x[1:10], lambda f: exp(f - list_max(x[1:10])))))"
+
+
+def numbers(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), (F.abs(F.coalesce("label", F.lit(0))) % 10).alias("y"))
 
 
-def logits(spark):
-    return spark.createDataFrame(LOGITS, "id int, x array<double>, y int")
+def rounded(a, digits=9):
+    return F.transform(a, lambda e: F.round(e, digits))
 
 
-@query("softmax", f"SELECT id, list_transform({SOFT}, lambda e: round(e, 12)) AS p FROM {LOGITS_SQL}")
+@query("softmax", f"WITH {EMB} SELECT id, list_transform({SOFT}, lambda e: round(e, 9)) AS p FROM e")
 def softmax(spark, sf_dir):
-    return logits(spark).select("id", F.transform(A.softmax(F.col("x")), lambda e: F.round(e, 12)).alias("p"))
+    """Ten components of each vector as logits."""
+    return numbers(spark, sf_dir).select("id", rounded(A.softmax(F.slice("x", 1, 10))).alias("p"))
 
 
-@query("cross_entropy", f"SELECT round(avg(-ln(({SOFT})[y + 1] + 1e-12)), 9) AS loss FROM {LOGITS_SQL}")
+@query("cross_entropy", f"WITH {EMB} SELECT y, count(*) AS n, round(avg(-ln(({SOFT})[y + 1] + 1e-12)), 9) AS loss FROM e GROUP BY y")
 def cross_entropy(spark, sf_dir):
-    return logits(spark).agg(F.round(F.avg(-F.log(F.get(A.softmax(F.col("x")), F.col("y")) + 1e-12)), 9).alias("loss"))
+    """Mean loss of each class, the label, under the softmax of ten components."""
+    loss = -F.log(F.get(A.softmax(F.slice("x", 1, 10)), F.col("y")) + 1e-12)
+    return numbers(spark, sf_dir).groupBy("y").agg(F.count("*").alias("n"), F.round(F.avg(loss), 9).alias("loss"))
 
 
-@query("clip_by_norm", f"SELECT id, list_transform(x, lambda e: round(e * least(1.0, 5.0 / (sqrt(list_dot_product(x, x)) + 1e-12)), 9)) AS x FROM {LOGITS_SQL}")
+@query("clip_by_norm", f"WITH {EMB} SELECT id, list_transform(x, lambda g: round(g * least(1.0, 5.0 / (sqrt(list_dot_product(x, x)) + 1e-12)), 9)) AS x FROM (SELECT id, list_transform(x, lambda g: g * 3 * (1 + id % 4)) AS x FROM e)")
 def clip_by_norm(spark, sf_dir):
-    by = F.least(F.lit(1.0), F.lit(5.0) / (A.norm(F.col("x")) + 1e-12))
-    return logits(spark).select("id", F.transform(A.scaled(F.col("x"), by), lambda e: F.round(e, 9)).alias("x"))
+    """Each vector, three to twelve times as long, as a gradient that is clipped at norm five."""
+    return numbers(spark, sf_dir).select("id", rounded(A.clipped(A.scaled(F.col("x"), 3 * (1 + F.col("id") % 4)), 5.0)).alias("x"))
 
 
-@query("sigmoid", f"SELECT id, list_transform(x, lambda e: round(1 / (1 + exp(-e)), 12)) AS s FROM {LOGITS_SQL}")
+@query("sigmoid", f"WITH {EMB} SELECT id, list_transform(x, lambda e: round(1 / (1 + exp(-20 * e)), 9)) AS s FROM e")
 def sigmoid(spark, sf_dir):
-    return logits(spark).select("id", F.transform("x", lambda e: F.round(A.sigmoid(e), 12)).alias("s"))
+    return numbers(spark, sf_dir).select("id", F.transform("x", lambda e: F.round(A.sigmoid(20 * e), 9)).alias("s"))
 
 
-TANH = "(exp(2 * {0}) - 1) / (exp(2 * {0}) + 1)".format("(0.5 * greatest(-9, least(9, h)) + 0.1)")
+#: Weights of the small networks below: four units, by formula.
+UNITS = 4
+MATRICES = [[[round(math.sin(9 * m + 4 * i + j + 1) / 2, 3) for j in range(UNITS)] for i in range(UNITS)] for m in range(6)]
+BIAS = [0.1, -0.2, 0.05, 0.0]
 
 
-@query("attention_pool", f"""WITH e AS (SELECT id, x, list_transform(x, lambda h: 0.7 * {TANH}) AS score FROM {LOGITS_SQL}),
-w AS (SELECT id, x, list_transform(score, lambda s: exp(s)) AS w FROM e) SELECT id, round(list_dot_product(w, x) / list_sum(w), 9) AS pooled FROM w""")
-def attention_pool(spark, sf_dir):
-    """One-dimensional additive attention: scores v tanh(w h + u), softmax, weighted sum of the states."""
-    score = F.transform("x", lambda h: 0.7 * F.tanh(0.5 * F.greatest(F.lit(-9.0), F.least(F.lit(9.0), h)) + 0.1))
-    return logits(spark).withColumn("score", score).select("id", F.round(A.dot(A.softmax(F.col("score")), F.col("x")), 9).alias("pooled"))
+def _m(x: str, matrix, j: str) -> str:
+    """Column ``j`` of row vector ``x`` times a literal matrix."""
+    return "(" + " + ".join(f"({x})[{i + 1}] * {[float(v) for v in matrix[i]]}[{j}]" for i in range(UNITS)) + ")"
+
+
+STATES = "list_transform(range(0, 16), lambda k: x[4 * k + 1:4 * k + 4])"
 
 
-STEPS = [(1, [1.0, -2.0], [0.5, -3.0], [0.0, 0.0], [0.0, 0.0], 1), (2, [0.0], [30.0], [0.2], [0.4], 7)]
-STEPS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {w}::DOUBLE[], {g}::DOUBLE[], {m}::DOUBLE[], {v}::DOUBLE[], {t})" for i, w, g, m, v, t in STEPS) + ") s(id, w, g, m, v, t))"
+@query("attention_pool", f"""WITH {EMB}, s AS (SELECT id, {STATES} AS hs FROM e),
+c AS (SELECT id, hs, list_transform(hs[1:15], lambda h: list_sum(list_transform(range(1, 5), lambda j: {BIAS}[j] * tanh({_m('h', MATRICES[0], 'j')} + {_m('hs[16]', MATRICES[1], 'j')})))) AS score FROM s),
+w AS (SELECT id, hs, list_transform(score, lambda v: exp(v - list_max(score))) AS w FROM c)
+SELECT id, list_transform(range(1, 5), lambda j: round(list_sum(list_transform(range(1, 16), lambda k: w[k] * hs[k][j])) / list_sum(w), 9)) AS pooled FROM w""")
+def attention_pool(spark, sf_dir):
+    """Each vector as 16 states of four units: additive attention of the last over the earlier ones."""
+    hs = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("x", 4 * k + 1, 4))
+    pooled = A.let(hs, lambda every: A.attention(F.slice(every, 1, 15), F.element_at(every, 16), A.matrix(MATRICES[0]), A.matrix(MATRICES[1]), A.row(BIAS)))
+    return numbers(spark, sf_dir).select("id", rounded(pooled).alias("pooled"))
 
 
-@query("adam_step", f"""WITH c AS (SELECT *, list_transform(g, lambda e: e * least(1.0, 5.0 / (sqrt(list_dot_product(g, g)) + 1e-12))) AS k FROM {STEPS_SQL})
+@query("adam_step", f"""WITH {EMB}, g AS (SELECT id, x[1:32] AS w, list_transform(x[33:64], lambda e: 9 * e) AS g, list_transform(x[1:32], lambda e: e / 10) AS m, list_transform(x[33:64], lambda e: e * e) AS v, 1 + id % 7 AS t FROM e),
+c AS (SELECT *, list_transform(g, lambda e: e * least(1.0, 5.0 / (sqrt(list_dot_product(g, g)) + 1e-12))) AS k FROM g)
 SELECT id, list_transform(range(1, len(w) + 1), lambda i: round(w[i] - 0.003 * ((0.9 * m[i] + 0.1 * k[i]) / (1 - 0.9 ** t)) / (sqrt((0.999 * v[i] + 0.001 * k[i] * k[i]) / (1 - 0.999 ** t)) + 1e-8), 9)) AS w FROM c""")
 def adam_step(spark, sf_dir):
-    rows = spark.createDataFrame(STEPS, "id int, w array<double>, g array<double>, m array<double>, v array<double>, t int")
-    g = A.scaled(F.col("g"), F.least(F.lit(1.0), F.lit(5.0) / (A.norm(F.col("g")) + 1e-12)))
-    m = F.zip_with("m", g, lambda a, b: (0.9 * a + 0.1 * b))
-    v = F.zip_with("v", g, lambda a, b: (0.999 * a + 0.001 * b * b))
-    move = F.zip_with(m, v, lambda a, b: 0.003 * (a / (1 - F.pow(F.lit(0.9), "t"))) / (F.sqrt(b / (1 - F.pow(F.lit(0.999), "t"))) + 1e-8))
-    return rows.select("id", F.transform(F.zip_with("w", move, lambda a, b: a - b), lambda e: F.round(e, 9)).alias("w"))
+    """The first half of each vector as weights, nine times the second as their gradient, clipped; moments and step number follow from them."""
+    low, high = F.slice("x", 1, 32), F.slice("x", 33, 32)
+    rows = numbers(spark, sf_dir).select("id", low.alias("w"), A.clipped(A.scaled(high, F.lit(9.0)), 5.0).alias("g"), A.scaled(low, F.lit(0.1)).alias("m"), F.transform(high, lambda e: e * e).alias("v"), (1 + F.col("id") % 7).alias("t"))
+    return rows.select("id", rounded(A.adam("w", "g", "m", "v", F.col("t"), 0.003)).alias("w"))
 
 
-@query("sgns_step", f"WITH s AS (SELECT id, w, g, 1 / (1 + exp(-list_dot_product(w, g))) AS p FROM {STEPS_SQL}) SELECT id, list_transform(range(1, len(w) + 1), lambda i: round(w[i] - 0.01 * (p - t) * g[i], 9)) AS w, round(t * -ln(p + 1e-12) + (1 - t) * -ln(1 - p + 1e-12), 9) AS loss FROM s, (VALUES (0), (1)) l(t) WHERE id = 1 OR t = 1")
+@query("sgns_step", f"""WITH {EMB}, s AS (SELECT a.id, a.x AS w, b.x AS g, (a.y = b.y)::INT AS t, 1 / (1 + exp(-list_dot_product(a.x, b.x))) AS p FROM e a JOIN e b ON b.id = a.id + 1)
+SELECT id, t, list_transform(range(1, len(w) + 1), lambda i: round(w[i] - 0.01 * (p - t) * g[i], 9)) AS w, round(t * -ln(p + 1e-12) + (1 - t) * -ln(1 - p + 1e-12), 9) AS loss FROM s""")
 def sgns_step(spark, sf_dir):
-    """One update of an input vector ``w`` against an output vector ``g`` with label ``t``."""
-    rows = spark.createDataFrame([(i, w, g, t) for i, w, g, *_ in STEPS for t in (0, 1) if i == 1 or t == 1], "id int, w array<double>, g array<double>, t int")
-    p = A.sigmoid(A.dot(F.col("w"), F.col("g")))
-    rows = rows.withColumn("p", p)
+    """One update of each vector, as an input, against the next one as an output; they go together if their labels agree."""
+    rows, next_ = numbers(spark, sf_dir), numbers(spark, sf_dir).select((F.col("id") - 1).alias("id"), F.col("x").alias("g"), F.col("y").alias("z"))
+    rows = rows.join(next_, "id").select("id", F.col("x").alias("w"), "g", (F.col("y") == F.col("z")).cast("int").alias("t")).withColumn("p", A.sigmoid(A.dot(F.col("w"), F.col("g"))))
     moved = F.zip_with("w", "g", lambda a, b: F.round(a - 0.01 * (F.col("p") - F.col("t")) * b, 9))
-    return rows.select("id", moved.alias("w"), F.round(F.col("t") * -F.log(F.col("p") + 1e-12) + (1 - F.col("t")) * -F.log(1 - F.col("p") + 1e-12), 9).alias("loss"))
+    return rows.select("id", "t", moved.alias("w"), F.round(F.col("t") * -F.log(F.col("p") + 1e-12) + (1 - F.col("t")) * -F.log(1 - F.col("p") + 1e-12), 9).alias("loss"))
 
 
-SHAPES = [("vanilla", 30, 32, 128), ("vanilla", 50, 16, 64), ("blstm", 30, 32, 64), ("attention", 30, 32, 128)]
+SHAPES = [("vanilla", 32, 128), ("vanilla", 16, 64), ("blstm", 32, 64), ("attention", 32, 128)]
 
 
-@query("param_counts", """SELECT model, v, e, h, (v * e + CASE model
+@query("param_counts", f"""WITH {CHARS}, k AS (SELECT (count(*) + 3)::INT AS v FROM v) SELECT model, v, e, h, (v * e + CASE model
   WHEN 'blstm' THEN 3 * (4 * h * (e + h + 1) + 2 * 4 * h * (2 * h + 1)) + (2 * h + 1) * v + (h + 1) * v
   WHEN 'attention' THEN h * (e + h + 1) + 2 * h * (2 * h + 1) + 2 * h * h + h + (2 * h + 1) * v
-  ELSE h * (e + h + 1) + 2 * h * (2 * h + 1) + (h + 1) * v END)::BIGINT AS parameters FROM (VALUES """ + ", ".join(map(str, SHAPES)) + ") s(model, v, e, h)")
+  ELSE h * (e + h + 1) + 2 * h * (2 * h + 1) + (h + 1) * v END)::BIGINT AS parameters FROM k, (VALUES """ + ", ".join(map(str, SHAPES)) + ") s(model, e, h)")
 def param_counts(spark, sf_dir):
-    """Sizes of the networks as they are built."""
+    """Sizes of the networks as they are built for the alphabet of the names."""
     from ..operators.recurrent import Network
 
-    rows = [(m, v, e, h, Network(m, v, e, h).size()) for m, v, e, h in SHAPES]
+    v = N.char_vocab(names(spark, sf_dir), "name").count() + 3
+    rows = [(m, v, e, h, Network(m, v, e, h).size()) for m, e, h in SHAPES]
     return spark.createDataFrame(rows, "model string, v int, e int, h int, parameters long")
 
 
-LOSSES = [("a", [3.0, 2.0, 2.5, 2.5, 2.5, 1.9, 1.9, 1.9, 1.9, 1.9, 1.9, 1.9, 1.8]), ("b", [1.0, 0.9, 0.8]), ("c", [1.0, 0.999995, 1.0, 1.0, 1.0, 1.0, 1.0, 0.1])]
-RECURSIVE = "WITH RECURSIVE l AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {x}::DOUBLE[])" for m, x in LOSSES) + """) t(model, x)),
-r(model, i, best, rate, missed, flat, stopped) AS (SELECT model, 0, 'inf'::DOUBLE, 0.003::DOUBLE, 0, 0, false FROM l UNION ALL
-SELECT r.model, i + 1, CASE WHEN x[i + 1] < best - 1e-5 THEN x[i + 1] ELSE best END,
+#: Each vector as the losses of a run.
+RECURSIVE = f"WITH RECURSIVE {EMB}, l AS (SELECT id, list_transform(x, lambda e: abs(e)) AS x FROM e), " + """
+r(id, i, best, rate, missed, flat, stopped) AS (SELECT id, 0, 'inf'::DOUBLE, 0.003::DOUBLE, 0, 0, false FROM l UNION ALL
+SELECT r.id, i + 1, CASE WHEN x[i + 1] < best - 1e-5 THEN x[i + 1] ELSE best END,
 CASE WHEN x[i + 1] >= best - 1e-5 AND flat + 1 >= 3 THEN greatest(rate * 0.3, 1e-5) ELSE rate END, CASE WHEN x[i + 1] < best - 1e-5 THEN 0 ELSE missed + 1 END,
-CASE WHEN x[i + 1] < best - 1e-5 OR flat + 1 >= 3 THEN 0 ELSE flat + 1 END, x[i + 1] >= best - 1e-5 AND missed + 1 >= 6 FROM r JOIN l USING (model) WHERE i < len(x) AND NOT stopped)"""
+CASE WHEN x[i + 1] < best - 1e-5 OR flat + 1 >= 3 THEN 0 ELSE flat + 1 END, x[i + 1] >= best - 1e-5 AND missed + 1 >= 6 FROM r JOIN l USING (id) WHERE i < len(x) AND NOT stopped)"""
 
 
-def losses(spark):
-    return spark.createDataFrame(LOSSES, "model string, x array<double>")
+def losses(spark, sf_dir):
+    return numbers(spark, sf_dir).select("id", F.transform("x", F.abs).alias("x"))
 
 
-@query("lr_schedule", RECURSIVE + " SELECT model, round(rate, 12) AS rate FROM r QUALIFY row_number() OVER (PARTITION BY model ORDER BY i DESC) = 1")
+@query("lr_schedule", RECURSIVE + " SELECT id, round(rate, 12) AS rate FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1")
 def lr_schedule(spark, sf_dir):
-    return losses(spark).select("model", F.round(N.plateau(F.col("x"))["rate"], 12).alias("rate"))
+    return losses(spark, sf_dir).select("id", F.round(N.plateau(F.col("x"))["rate"], 12).alias("rate"))
 
 
-@query("early_stop", RECURSIVE + " SELECT model, i AS epochs, best, stopped FROM r QUALIFY row_number() OVER (PARTITION BY model ORDER BY i DESC) = 1")
+@query("early_stop", RECURSIVE + " SELECT id, i AS epochs, best, stopped FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1")
 def early_stop(spark, sf_dir):
-    return losses(spark).withColumn("s", N.plateau(F.col("x"))).select("model", "s.epochs", "s.best", "s.stopped")
+    return losses(spark, sf_dir).withColumn("s", N.plateau(F.col("x"))).select("id", "s.epochs", "s.best", "s.stopped")
 
 
-FLAT = "WITH h AS (SELECT model, unnest(x) AS loss, generate_subscripts(x, 1)::INT AS epoch FROM (VALUES " + ", ".join(f"('{m}', {x}::DOUBLE[])" for m, x in LOSSES) + ") t(model, x))"
+#: Histories of three models: class and place give model and epoch, the mean gives the loss; they end after 64, 50 and 41 epochs.
+FLAT = f"WITH {EMB}, h AS (SELECT ['a', 'b', 'c'][y % 3 + 1] AS model, k::INT AS epoch, round(avg(abs(x[k])), 9) AS loss FROM e, range(1, 65) r(k) WHERE k <= [64, 50, 41][y % 3 + 1] GROUP BY 1, 2)"
 
 
-def history(spark):
-    return losses(spark).select("model", F.posexplode("x").alias("epoch", "loss")).withColumn("epoch", F.col("epoch") + 1)
+def history(spark, sf_dir):
+    each = numbers(spark, sf_dir).select(F.get(F.array(*map(F.lit, "abc")), (F.col("y") % 3).cast("int")).alias("model"), F.posexplode("x").alias("epoch", "loss"))
+    ends = F.when(F.col("model") == "a", 64).when(F.col("model") == "b", 50).otherwise(41)
+    return each.withColumn("epoch", F.col("epoch") + 1).filter(F.col("epoch") <= ends).groupBy("model", "epoch").agg(F.round(F.avg(F.abs("loss")), 9).alias("loss"))
 
 
 @query("loss_table", FLAT + ", s AS (SELECT min(n) AS n FROM (SELECT max(epoch) AS n FROM h GROUP BY model)) SELECT epoch, max(loss) FILTER (WHERE model = 'a') AS a, max(loss) FILTER (WHERE model = 'b') AS b, max(loss) FILTER (WHERE model = 'c') AS c FROM h, s WHERE epoch <= s.n AND (epoch % 3 = 1 OR epoch = s.n) GROUP BY epoch")
 def loss_table(spark, sf_dir):
-    h = history(spark)
-    shortest = h.groupBy("model").agg(F.max("epoch").alias("n")).agg(F.min("n").alias("n"))
-    kept = h.crossJoin(F.broadcast(shortest)).filter("epoch <= n and (epoch % 3 = 1 or epoch = n)")
-    return kept.groupBy("epoch").pivot("model", ["a", "b", "c"]).agg(F.max("loss"))
+    return N.loss_table(save(history(spark, sf_dir)), ["a", "b", "c"])
 
 
 @query("model_summary", FLAT + " SELECT model, max(epoch) AS epochs, arg_max(loss, epoch) AS final_loss, min(loss) AS best_loss FROM h GROUP BY model")
 def model_summary(spark, sf_dir):
-    return history(spark).groupBy("model").agg(F.max("epoch").alias("epochs"), F.max_by("loss", "epoch").alias("final_loss"), F.min("loss").alias("best_loss"))
-
-
-RUNS = [("lib", "cbow", "window", 3, 0.5), ("lib", "cbow", "dim", 5, 0.55), ("lib", "sg", "window", 10, 0.7), ("own", "cbow", "window", 3, 0.4), ("own", "cbow", "window", 5, 0.45), ("own", "sg", "window", 10, 0.75)]
+    return N.summary(history(spark, sf_dir))
 
 
-@query("sweep_diff", "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', '{s}', {w}, {x}::DOUBLE)" for k, a, s, w, x in RUNS) + ") r(kind, arch, sweep, win, sim) WHERE sweep = 'window') SELECT arch, win, max(sim) FILTER (WHERE kind = 'lib') AS lib, max(sim) FILTER (WHERE kind = 'own') AS own, round(max(sim) FILTER (WHERE kind = 'lib') - max(sim) FILTER (WHERE kind = 'own'), 4) AS diff FROM r GROUP BY arch, win")
+@query("sweep_diff", f"""WITH {EMB}, p AS (SELECT CASE WHEN a.id % 2 = 0 THEN 'cbow' ELSE 'sg' END AS arch, win, kind, list_dot_product(a.x[i:i + 31], b.x[i:i + 31]) / ((sqrt(list_dot_product(a.x[i:i + 31], a.x[i:i + 31])) + 1e-8) * (sqrt(list_dot_product(b.x[i:i + 31], b.x[i:i + 31])) + 1e-8)) AS sim
+  FROM e a, (VALUES (3), (5), (10)) w(win), (VALUES ('lib', 1), ('own', 33)) k(kind, i), e b WHERE b.id = a.id + win),
+r AS (SELECT arch, win, round(avg(sim) FILTER (WHERE kind = 'lib'), 4) AS lib, round(avg(sim) FILTER (WHERE kind = 'own'), 4) AS own FROM p GROUP BY arch, win) SELECT arch, win, lib, own, round(lib - own, 4) AS diff FROM r""")
 def sweep_diff(spark, sf_dir):
-    runs = spark.createDataFrame(RUNS, "kind string, arch string, sweep string, win int, sim double").filter("sweep = 'window'")
-    return runs.groupBy("arch", "win").pivot("kind", ["lib", "own"]).agg(F.max("sim")).withColumn("diff", F.round(F.col("lib") - F.col("own"), 4))
+    """Mean probe similarity of two kinds of models, the halves of the vectors, per architecture and window, and their difference; probes are ``win`` apart."""
+    e = numbers(spark, sf_dir)
+    a = e.select("id", "x", F.when(F.col("id") % 2 == 0, "cbow").otherwise("sg").alias("arch"), F.explode(F.array(*map(F.lit, (3, 5, 10)))).alias("win"))
+    pairs = a.join(e.select(F.col("id").alias("other"), F.col("x").alias("z")), F.col("other") == F.col("id") + F.col("win"))
+    runs = pairs.select("arch", "win", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), A.cosine(F.slice("x", i, 32), F.slice("z", i, 32)).alias("sim")) for k, i in (("lib", 1), ("own", 33))])).alias("r"))
+    return N.sweep_difference(runs.select("arch", "win", "r.kind", "r.sim"), "lib", "own")
 
 
 GRID = "(VALUES (100, 5, 10, 'base'), (200, 5, 10, 'dim'), (300, 5, 10, 'dim'), (100, 3, 10, 'window'), (100, 10, 10, 'window'), (100, 5, 5, 'negative'), (100, 5, 15, 'negative')) g(dim, win, neg, sweep)"
-
-
-@query("sweep_grid", f"SELECT arch, dim, win, neg, sweep FROM {GRID}, (VALUES ('cbow'), ('skipgram')) a(arch)")
-def sweep_grid(spark, sf_dir):
-    from ..operators.training import sweep
-
-    return spark.createDataFrame(sweep(), "arch string, dim int, win int, neg int, sweep string")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lexweave.functions import text as X
 from lexweave.functions import urls as U
 from lexweave.operators import names as N
-from lexweave.operators import pages as P
 
 
 def one(spark, text, f):
@@ -53,17 +52,6 @@ def test_table_rows(spark):
     assert df.select(X.table_sentences(F.col("r"))).first()[0] == ["a b", "x y z"]
 
 
-@pytest.mark.parametrize(("base", "href", "want"), [
-    ("https://h.x/a/b/", "../c/", "https://h.x/a/c"), ("https://h.x/a", "/p/q/#top", "https://h.x/p/q"), ("https://h.x/a", "?q=1", "https://h.x/a?q=1"),
-    ("https://h.x/a", "#s", "https://h.x/a"), ("https://h.x/a", "//k.y/z//", "https://k.y/z"),
-])
-def test_urls(spark, base, href, want):
-    df = spark.createDataFrame([(href, base)], "h string, b string")
-    assert df.select(U.resolved("h", "b")).first()[0] == want
-    if ".." not in href:
-        assert df.select(U.normalised(F.col("h"), F.col("b"))).first()[0] == want
-
-
 def test_url_tests(spark):
     assert one(spark, "https://x", U.key) == "7d0708a6f06c"
     assert one(spark, "https://notexample.com.evil.com/", lambda u: U.is_internal(u, "example.com"))
@@ -71,12 +59,6 @@ def test_url_tests(spark):
     assert one(spark, "https://h/a.json?x", U.is_skipped) and one(spark, "https://h/tag/x", U.is_skipped) and not one(spark, "https://h/a.pdf", U.is_skipped)
 
 
-def test_reachable_counts_hops(spark):
-    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2), (5, 6)], "src long, dst long")
-    got = {(r.node, r.depth) for r in P.reachable(spark, edges, spark.createDataFrame([(0,)], "node long")).collect()}
-    assert got == {(0, 0), (1, 1), (2, 1)}
-
-
 def test_failure_modes(spark):
     df = spark.createDataFrame([("aaab",), ("   x",), ("kk11",), ("ab",)], "name string")
     assert tuple(N.failures(df, "name").first()) == (1, 0, 3, 1, 3.5)
