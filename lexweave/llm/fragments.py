@@ -11,8 +11,8 @@ linked at threshold t has at least q = ceil(t * n) grams in common with its part
 the two share a gram among the first n - q + 1 of each.  Sets that cannot reach q
 with grams of other sets are dropped before anything is paired.  Equal sets are
 one.  The sets of a gram are paired with one centre first, not with each other; after
-that only pairs of different components are looked at, and only if the bounds
-let them be linked.
+that only pairs of different components are looked at, and only if their sizes, the
+grams that they share with any other set, and their odd sketches let them be linked.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.numbering import numbered, ordered, part
 from . import common as storage
 from . import textarrays as ta
 from .common import components, forget, only_ids, tuned
-from .minhash import shingle_sets
+from .minhash import SKETCH, odd_sketches, shingle_sets
 
 U64 = np.uint64
 _SALTS = (0, 0x5851F42D4C957F2D)
@@ -68,29 +67,35 @@ def _signer(size: int, percent: int):
 
 
 def _sets(size: int):
+    """Class, grams and odd sketch of each set."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in ta.slices(batch.column(1)):
                 h, bounds = shingle_sets(t, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), ta.binaries(_classes(h, bounds).reshape(-1), np.arange(len(t) + 1) * 2), ta.binaries(h, bounds)], ["rep", "cls", "grams"])
+                sketch = odd_sketches(h, bounds)
+                ends = np.concatenate(([0], np.cumsum(np.diff(bounds) > 0))) * sketch.shape[1]
+                columns = [batch.column(0).slice(t.first, len(t)), ta.binaries(_classes(h, bounds).reshape(-1), np.arange(len(t) + 1) * 2), ta.binaries(h, bounds), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sketch.reshape(-1)))]
+                yield pa.RecordBatch.from_arrays(columns, ["rep", "cls", "grams", "sketch"])
 
     return sets
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, gram) of (node, binary), a bounded number of rows at a time."""
+    """(node, n, gram) of (node, n, binary), a bounded number of rows at a time."""
     for batch in batches:
-        node, grams = batch.column(0).to_numpy(), batch.column(1)
+        node, n, grams = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         for k in range(0, len(batch), 100):
             each = [np.frombuffer(x.as_buffer(), np.int64) for x in grams.slice(k, 100)]
-            of, every = np.repeat(node[k : k + 100], [len(x) for x in each]), np.concatenate(each)
-            for at in range(0, len(every), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(of[at : at + (1 << 17)]), pa.array(every[at : at + (1 << 17)])], ["node", "gram"])
+            size = [len(x) for x in each]
+            columns = [np.repeat(node[k : k + 100], size), np.repeat(n[k : k + 100], size), np.concatenate(each)]
+            for at in range(0, len(columns[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 17)]) for x in columns], ["node", "n", "gram"])
 
 
 def _shared(sets: DataFrame, column: str) -> DataFrame:
     """(node, alone): how many grams of each set no other set has; a node without such grams is absent."""
-    each = sets.select("node", column).mapInArrow(_exploded, "node long, gram long")
+    each = sets.select("node", "n", column).mapInArrow(_exploded, "node long, n long, gram long")
     return each.groupBy("gram").agg(F.count("*").alias("sets"), F.min("node").alias("node")).filter("sets = 1").groupBy("node").agg(F.count("*").alias("alone"))
 
 
@@ -104,39 +109,43 @@ def fragments_of(weights: dict[int, int], fragments: int) -> dict[int, tuple[int
 
 
 def segments_of(sets: DataFrame, fragments: int) -> DataFrame:
-    """(node, fragment, grams): the grams of each set that other sets have too, cut by the global order, sorted inside a fragment.
+    """(node, n, fragment, grams): the grams of each set (node, n, grams) that other sets have too, cut by the global order, sorted inside a fragment.
 
     The order is (binary logarithm of the number of sets, gram).  Cuts lie at
     levels and, inside a level, at equal steps of the gram's hash.
     """
-    each = sets.select("node", "grams").mapInArrow(_exploded, "node long, gram long")
+    each = sets.select("node", "n", "grams").mapInArrow(_exploded, "node long, n long, gram long")
     counts = storage.save(each.groupBy("gram").agg(F.count("*").alias("sets")).filter("sets > 1").select("gram", F.floor(F.log2("sets")).cast("int").alias("level"), "sets"))
     cuts = fragments_of({r.level: r.n for r in counts.groupBy("level").agg(F.sum("sets").alias("n")).collect()}, fragments)  # a level for each power of two
     if not cuts:
-        return counts.sparkSession.createDataFrame([], "node long, fragment int, grams array<long>")
+        return counts.sparkSession.createDataFrame([], "node long, n long, fragment int, grams array<long>")
     rank = F.col("gram").cast("double") / 2.0**64 + 0.5
     fragment = F.coalesce(*[F.when(F.col("level") == level, first + F.least(F.floor(rank * n), F.lit(n - 1))) for level, (first, n) in cuts.items()])
-    placed = each.join(counts, "gram").select("node", fragment.cast("int").alias("fragment"), "gram")
-    out = storage.save(placed.groupBy("node", "fragment").agg(F.sort_array(F.collect_list("gram")).alias("grams")))
+    placed = each.join(counts, "gram").select("node", "n", fragment.cast("int").alias("fragment"), "gram")
+    out = storage.save(placed.groupBy("node", "n", "fragment").agg(F.sort_array(F.collect_list("gram")).alias("grams")))
     forget(counts)
     return out
 
 
+#: Tasks over which the pairs of one centre spread.
+SALTS = 64
+
+
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, common) of each pair (a, b) with an overlap: partial overlaps of the fragments, summed up.
+    """``pairs`` (a, b and more) that overlap, with ``common``: partial overlaps of the fragments, summed up.
 
-    Pairs are sorted into tasks by a, so that a centre with a million partners
-    spreads over many; its segments are joined once for each task that needs them.
+    The pairs of a centre ``a`` spread over 64 salts, and its segments are
+    joined once for each salt that needs them, so a centre with a million partners is no hot key.
     """
-    parts = ordered(pairs.select("a", "b"), "a", "b").withColumn("part", part())
-    first = parts.select("a", "part").distinct().join(segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("x")), "a")
-    half = parts.join(storage.save(first), ["a", "part"]).select("a", "b", "fragment", "x")
+    parts = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    first = parts.select("a", "salt").distinct().join(segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("x")), "a")
+    half = parts.join(first, ["a", "salt"])
     both = half.join(segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("y")), ["b", "fragment"])
-    partial = both.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).cast("long").alias("partial")).filter("partial > 0")
-    return partial.groupBy("a", "b").agg(F.sum("partial").alias("common"))
+    partial = both.select(*pairs.columns, F.size(F.array_intersect("x", "y")).cast("long").alias("partial")).filter("partial > 0")
+    return partial.groupBy(*pairs.columns).agg(F.sum("partial").alias("common"))
 
 
-def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80, fragments: int = 16, centres: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80, fragments: int = 16, centres: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents reachable from each other by links: (doc_id, n_shingles, component_id), one row per input row.
 
     Two documents are linked when 100 * intersection >= percent * union of their
@@ -158,14 +167,15 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
     docs = documents.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     signed = save(docs.mapInArrow(_signer(size, percent), "doc_id long, n long, cls binary, low binary"))
     some = signed.filter("n > 0 and doc_id is not null")
-    classes = save(numbered(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "cls", name="node"))
-    links = _links(docs, some, classes, save, size, percent, fragments, centres)
+    classes = save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    links, linked = _links(docs, some, classes, save, size, percent, fragments, centres)
 
     # A doc_id with several texts links their classes.
     several = save(some.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("doc_id"))
-    through = some.select("doc_id", "cls").join(several, "doc_id", "left_semi").distinct().join(classes.select("cls", "node"), "cls").select("doc_id", "node")
-    through = through.join(through.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
-    linked = save(components(save(links.union(through))))
+    if several.head(1):
+        through = some.select("doc_id", "cls").join(several, "doc_id", "left_semi").distinct().join(classes.select("cls", "node"), "cls").select("doc_id", "node")
+        through = through.join(through.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").filter("a < node").select("a", F.col("node").alias("b"))
+        linked = components(save(links.union(through)))
 
     group = F.coalesce("component", "node")
     grouped = save(classes.join(linked, "node", "left").select("cls", "rep", group.alias("group")))
@@ -178,7 +188,7 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
 
 
 def _candidates(docs: DataFrame, some: DataFrame, classes: DataFrame, save, size: int, percent: int) -> DataFrame:
-    """(node, grams) of the sets that other sets may reach: first by their lowest hashes, then by all."""
+    """(node, n, grams, sketch) of the sets that other sets may reach: first by their lowest hashes, then by all."""
     mine = classes.select(F.col("rep").alias("doc_id"), "cls", "node", "n")
     low = only_ids_with(some.select("doc_id", "cls", "low"), mine, ["doc_id", "cls"]).select("node", "n", "low")
     low = save(low)
@@ -187,10 +197,10 @@ def _candidates(docs: DataFrame, some: DataFrame, classes: DataFrame, save, size
     near = save(lows.filter(F.col("lows") - F.coalesce("alone", F.lit(0)) >= reach).select("node").distinct())
     forget(low)
     mine = save(mine.withColumnRenamed("doc_id", "rep").join(near, "node", "left_semi"))
-    sets = only_ids(docs, mine.select("rep").distinct(), "rep").mapInArrow(_sets(size), "rep long, cls binary, grams binary")
-    sets = save(only_ids_with(sets, mine, ["rep", "cls"]).select("node", "n", "grams"))
+    sets = only_ids(docs, mine.select("rep").distinct(), "rep").mapInArrow(_sets(size), "rep long, cls binary, grams binary, sketch array<long>")
+    sets = save(only_ids_with(sets, mine, ["rep", "cls"]).select("node", "n", "grams", "sketch"))
     if sets.count() > mine.count():  # a row of the table that is there twice
-        sets = save(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
+        sets = save(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch")))
     reached = save(sets.select("node", "n").join(_shared(sets, "grams"), "node", "left").filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= least_common(F.col("n"), percent)).select("node"))
     return save(only_ids(sets, reached, "node", most=1_000_000))
 
@@ -200,56 +210,57 @@ def only_ids_with(df: DataFrame, ids: DataFrame, keys: list[str], most: int = 1_
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, keys)
 
 
-def _links(docs: DataFrame, some: DataFrame, classes: DataFrame, save, size: int, percent: int, fragments: int, centres: int) -> DataFrame:
-    """(a, b): links between classes, enough of them that components are right."""
+def _links(docs: DataFrame, some: DataFrame, classes: DataFrame, save, size: int, percent: int, fragments: int, centres: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between classes, enough of them that components are right; and these components (node, component)."""
     sets = _candidates(docs, some, classes, save, size, percent)
     segments = segments_of(sets, fragments)
-    n, length = F.col("n"), F.size("grams")
-    about = segments.groupBy("node").agg(F.sum(length).alias("common")).join(classes.select("node", "n"), "node")
-    about = save(about.filter(F.col("common") >= least_common(n, percent)).withColumn("cap", F.col("common") * (1 + 100 / percent) - n + 1e-6))
-
-    # The first grams of each set in the global order; those that no other set has come before all.
-    before = F.coalesce(F.sum(length).over(Window.partitionBy("node").orderBy("fragment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = n - least_common(n, percent) + 1 - (n - F.col("common")) - before
-    index = segments.join(about, "node").withColumn("left", left).filter("left > 0")
-    index = save(index.select(F.explode(F.slice("grams", 1, F.least(F.col("left"), length).cast("int"))).alias("gram"), "node", "n", "cap"))
-    frame = index.groupBy("gram").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("cap").alias("most")).filter("members > 1")
-    index = save(index.join(save(frame), "gram").filter("least <= cap and most >= n").select("gram", "node", "n", "cap", "members"))
+
+    # One row for each set: its grams in the global order, of which the first matter; those that no other set has come before all.
+    every = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("fragment", "grams"))), lambda x: x["grams"]))
+    about = segments.groupBy("node", "n").agg(every.alias("grams")).withColumn("common", F.size("grams")).filter(F.col("common") >= least_common(F.col("n"), percent))
+    left = F.col("n") - least_common(F.col("n"), percent) + 1 - (F.col("n") - F.col("common"))
+    cap = F.col("common") * (1 + 100 / percent) - F.col("n") + 1e-6
+    about = save(about.select("node", "n", cap.alias("cap"), "common", F.slice("grams", 1, left.cast("int")).alias("first")))
+    index = about.select(F.explode("first").alias("gram"), "node", "n", "cap", "common")
+
+    # Centre of a gram: the member with most grams in common with others; the same for the grams of a group.
+    frame = index.groupBy("gram").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("cap").alias("most"), F.max(F.struct("common", "node", "n", "cap")).alias("head")).filter("members > 1")
+    frame = save(frame.select("gram", "least", "most", F.col("head.node").alias("a"), F.col("head.n").alias("na"), F.col("head.cap").alias("ca")))
+    listed = save(index.join(frame, "gram").filter("least <= cap and most >= n").select("gram", "node", "n", "cap", "a", "na", "ca"))
+    pair = ["a", "b", "na", "nb"]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-        found = overlaps(pairs, segments).join(a, "a").join(b, "b")
+        found = overlaps(pairs, segments)
         return save(found.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"))
 
-    # The centre of a gram is the member that meets most others over all grams.
-    degree = index.groupBy("node").agg(F.sum(F.col("members") - 1).alias("degree"))
-    heads = index.join(degree, "node").groupBy("gram").agg(F.min(F.struct(-F.col("degree"), "node", "n", "cap")).alias("head"))
-    heads = save(heads.select("gram", F.col("head.node").alias("a"), F.col("head.n").alias("na"), F.col("head.cap").alias("ca")))
-    tested = save(index.join(heads, "gram").filter("node <> a and n <= ca and na <= cap").select("a", F.col("node").alias("b")).distinct())
+    tested = save(listed.filter("node <> a and n <= ca and na <= cap").withColumnsRenamed({"node": "b", "n": "nb"}).select(*pair).distinct())
     links = confirmed(tested)
+    linked = save(components(links))
 
     # What is left: members outside the largest component of their gram, each with all members of other components.
-    linked = save(components(links))
     label = F.coalesce("component", "node")
-    now = index.join(linked, "node", "left").select("gram", "node", "n", "cap", label.alias("component"))
-    sizes = now.groupBy("gram", "component").agg(F.count("*").alias("members"))
-    main = save(sizes.groupBy("gram").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("members") - F.max("members")).alias("others")).filter("others > 0"))
+    now = save(listed.select("gram", "node", "n", "cap").join(linked, "node", "left").select("gram", "node", "n", "cap", label.alias("component")))
+    sizes = now.groupBy("gram", "component").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("cap").alias("most"))
+    main = sizes.groupBy("gram").agg(F.max_by("component", F.struct("members", "component")).alias("main"), (F.sum("members") - F.max("members")).alias("others"), F.min("least").alias("least"), F.max("most").alias("most")).filter("others > 0")
     place = F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("others"))
-    open_ = save(now.join(main, "gram").select("gram", "node", "n", "cap", F.when(F.col("component") != F.col("main"), place).alias("place")))
-    bounds = open_.groupBy("gram").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
-    open_ = save(open_.join(save(bounds), "gram").filter("least <= cap and most >= n").drop("least", "most"))
-    done = 0
-    while open_.filter(F.col("place") >= done).head(1):
+    open_ = now.join(save(main), "gram").filter("least <= cap and most >= n")
+    open_ = open_.select("gram", "node", "n", "cap", F.when(F.col("component") != F.col("main"), place).alias("place"))
+    open_ = save(open_.join(sets.select("node", "sketch"), "node"))
+    # Sets of a linked pair differ in few elements, and their odd sketches in no more bits.
+    differ = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("ka", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0))
+    most = (100 - percent) / (100 + percent) * (F.col("n") + F.col("na")) + 1e-6
+    last, done = open_.agg(F.max("place")).first()[0], 0
+    while last is not None and done <= last:
         now = open_.join(linked, "node", "left").withColumn("component", label)
-        heads = save(now.filter(F.col("place").between(done, done + centres - 1)).select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cap").alias("ca"), F.col("place").alias("at"), F.col("component").alias("of")))
+        heads = save(now.filter(F.col("place").between(done, done + centres - 1)).select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cap").alias("ca"), F.col("place").alias("at"), F.col("component").alias("of"), F.col("sketch").alias("ka")))
         once = F.col("place").isNull() | (F.col("place") > F.col("at")) | ((F.col("place") == F.col("at")) & (F.col("node") > F.col("a")))
-        pairs = now.join(heads, "gram").filter(once).filter("component <> of and n <= ca and na <= cap")
-        pairs = save(pairs.select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        pairs = now.join(heads, "gram").filter(once).filter("component <> of and n <= ca and na <= cap").filter(differ <= most).withColumnsRenamed({"node": "b", "n": "nb"})
+        pairs = save(pairs.select(*pair).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").select(*pair))
         if pairs.head(1):
             tested = tested.union(pairs)
             new = confirmed(pairs)
             if new.head(1):
                 links = save(links.union(new))
                 linked = save(components(links))
-        done, centres = done + centres, centres * 4
-    return links
+        done, centres = done + centres, centres * 16
+    return links, linked

@@ -71,7 +71,7 @@ def test_partial_overlaps_add_up(spark):
     sets = {k: {min(int(rng.expovariate(0.02)), 10_000) * 2654435761 * 2**31 % 2**64 - 2**63 for _ in range(rng.randrange(1, 200))} for k in range(40)}
     import numpy as np
 
-    df = spark.createDataFrame([(k, bytes(np.array(sorted(s), np.int64).tobytes())) for k, s in sets.items()], "node long, grams binary")
+    df = spark.createDataFrame([(k, bytes(np.array(sorted(s), np.int64).tobytes())) for k, s in sets.items()], "node long, grams binary").withColumn("n", F.octet_length("grams") / 8).withColumn("n", F.col("n").cast("long"))
     segments = segments_of(df, 12)
     shared = {g for k, s in sets.items() for g in s if sum(g in t for t in sets.values()) > 1}
     got = {}
