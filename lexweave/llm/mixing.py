@@ -8,8 +8,10 @@ so every shard is a random mix and the totals still meet the targets.  The draws
 are made where the slots are made: shards are the leaves of binary trees whose
 nodes split their counts in two, and a task draws the path to its own leaves.
 Slot k of a source takes block ``permute(k mod n)`` of pass ``k div n``, where ``permute``
-is a keyed pseudorandom permutation of the n block numbers: no block comes
+is a keyed pseudorandom permutation of the n whole blocks: no block comes
 again before all others of its source came, and nothing is sorted or stored.
+The short block at the end of a stream is the last of each pass, and the last slot of a
+source takes only the words that its target still lacks.
 Documents meet their slots by joining on (source, block).
 """
 
@@ -108,9 +110,19 @@ def shard_counts(quotas: np.ndarray, shard: int, per_shard: int, seed: int, most
         yield from leaves(tree, lo, hi, begin, end - begin)
 
 
-def _slots(model, per_shard: int, per_task: int, seed: int):
+def quota(size: int, goal: float, block: int, most: float) -> tuple[int, int]:
+    """Slots of a source of ``size`` words, and the words that its last slot takes, so that all together take ``goal`` words."""
+    if not size:
+        return 0, 0
+    words = min(round(goal), int(most * size))
+    passes, rest = divmod(words, size)
+    slots = passes * -(-size // block) + -(-rest // block)
+    return slots, (rest or size) - ((rest or size) - 1) // block * block if slots else 0
+
+
+def _slots(model, block_words: int, per_shard: int, per_task: int, seed: int):
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quotas, blocks = model.value
+        quotas, whole, blocks, last = model.value
         for batch in batches:
             for task in batch.column(0).to_pylist():
                 for shard, first, counts in shard_counts(quotas, task * per_task, per_shard, seed, per_task):
@@ -118,9 +130,11 @@ def _slots(model, per_shard: int, per_task: int, seed: int):
                     source = np.repeat(some, counts[some])
                     place = np.arange(len(source))
                     k = place - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some]) + first[source]
-                    n = blocks[source]
-                    block = permute(k % n, n, ta.combine(source.astype(U64), (k // n).astype(U64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int64)), pa.array(place), pa.array(source.astype(np.int32)), pa.array(k // n), pa.array(block)], ["mix_shard", "slot", "source_no", "pass", "block"])
+                    step, turn = k % blocks[source], k // blocks[source]
+                    block, at = step.copy(), np.flatnonzero(step < whole[source])
+                    block[at] = permute(step[at], whole[source[at]], ta.combine(source[at].astype(U64), turn[at].astype(U64)))
+                    words = np.where(k == quotas[source] - 1, last[source], block_words)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int64)), pa.array(place), pa.array(source.astype(np.int32)), pa.array(turn), pa.array(block), pa.array(words)], ["mix_shard", "slot", "source_no", "pass", "block", "words"])
 
     return slots
 
@@ -129,9 +143,9 @@ class Mix:
     """Rows (row, doc_id, source, text) with their place in the source's stream, and the slots that take blocks of it.
 
     ``placed``: row, doc_id, source_no, size, source_size, target, start; one per
-    input row.  ``slots``: mix_shard, slot, source_no, pass, block.  The driver
-    holds a name and three numbers for each source, and raises an error beyond
-    ``most_sources`` of them.
+    input row.  ``slots``: mix_shard, slot, source_no, pass, block, words (taken of
+    the block, from its begin).  The driver holds a name and a few numbers for each source, and
+    raises an error beyond ``most_sources`` of them.
     """
 
     def __init__(self, rows: DataFrame, *, share: float = 1.5, most: float = 2.0, block: int = 256, slots_per_shard: int = 16384, shards_per_task: int = 4, seed: int = 11, most_sources: int = 1_000_000):
@@ -148,13 +162,13 @@ class Mix:
         names = sorted(x for x in found if x is not None) + [None] * (None in found)
         sizes = [found[x] for x in names]
         goals = targets(sizes, [WEIGHTS[k % len(WEIGHTS)] for k in range(len(names))], share, most)
-        blocks = np.array([-(-n // block) for n in sizes], np.int64)
-        quotas = np.array([min(int(most * b), round(t * int(b) / n)) if n else 0 for n, t, b in zip(sizes, goals, blocks)], np.int64)
+        blocks, whole = (np.array([n // block + (up and n % block > 0) for n in sizes], np.int64) for up in (True, False))
+        quotas, last = np.array([quota(n, t, block, most) for n, t in zip(sizes, goals)], np.int64).reshape(-1, 2).T
         shards = -(-int(quotas.sum()) // slots_per_shard)
         tasks = -(-shards // shards_per_task)
-        model = spark.sparkContext.broadcast((quotas, blocks))
+        model = spark.sparkContext.broadcast((quotas, whole, blocks, last))
         plan = spark.range(0, tasks, 1, max(1, min(tasks, 100_000)))
-        self.slots = self._save(plan.mapInArrow(_slots(model, slots_per_shard, shards_per_task, seed), "mix_shard long, slot long, source_no int, pass long, block long"))
+        self.slots = self._save(plan.mapInArrow(_slots(model, block, slots_per_shard, shards_per_task, seed), "mix_shard long, slot long, source_no int, pass long, block long, words long"))
         model.destroy()
         about = spark.createDataFrame([(x, k, sizes[k], float(goals[k])) for k, x in enumerate(names)], "name string, source_no int, source_size long, target double")
         known = sized.join(F.broadcast(about) if len(names) <= FEW_SOURCES else about, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
@@ -165,10 +179,12 @@ class Mix:
         return self.saved[-1]
 
     def pieces(self) -> DataFrame:
-        """Each row cut at block borders: also block, and the first and last word (exclusive) inside the row."""
+        """(row, pass, lo, hi): spans of words of each row that slots take, hi exclusive; rows are cut at block borders, and a block is in two passes at most."""
         n, start, end = F.lit(self.block), F.col("start"), F.col("start") + F.col("size")
         cut = self.placed.filter("size > 0").select("row", "source_no", "start", "size", F.explode(F.sequence(F.floor(start / n), F.floor((end - 1) / n))).alias("block"))
-        return cut.withColumn("lo", F.greatest(start, F.col("block") * n) - start).withColumn("hi", F.least(end, (F.col("block") + 1) * n) - start)
+        cut = cut.withColumn("lo", F.greatest(start, F.col("block") * n) - start).withColumn("hi", F.least(end, (F.col("block") + 1) * n) - start)
+        taken = cut.join(self.slots.select("source_no", "block", "pass", "words"), ["source_no", "block"])
+        return taken.withColumn("hi", F.least("hi", F.col("block") * n + F.col("words") - start)).filter("lo < hi").select("row", "pass", "lo", "hi")
 
 
 def mix_report(documents: DataFrame, **options) -> DataFrame:
@@ -186,8 +202,7 @@ def mix_report(documents: DataFrame, **options) -> DataFrame:
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text")
     mix = Mix(rows, **options)
-    times = mix.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    took = mix.pieces().join(times, ["source_no", "block"]).groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    took = mix.pieces().groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     return mix.placed.join(took, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -236,8 +251,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     kinds = StructType([StructField("n_chars", LongType()) if f.name == "n_chars" else StructField(f.name, f.dataType) for f in documents.schema.fields])
     rows = save(packed(documents, F.monotonically_increasing_id().alias("row")))
     mix = Mix(rows.select("row", *(F.col("d")[c].alias(c) for c in ("doc_id", "source", "text"))), **options)
-    met = mix.pieces().join(mix.slots.select("source_no", "block", "pass"), ["source_no", "block"])
-    spans = met.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = mix.pieces().groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     spans = save(spans.select("row", F.col("spans.lo").alias("los"), F.col("spans.hi").alias("his")))
     forget(*mix.saved)
     return rows.join(spans, "row").select("d", "los", "his").mapInArrow(_cut(documents.columns), kinds)

@@ -144,11 +144,15 @@ def mix_stage(rows, block=256, seed=11):
     taken = collections.Counter()
     for no, (x, size, goal) in enumerate(zip(names, sizes, goals)):
         stream = [k for k in streams[x] for _ in words(rows[k][1])]
-        n = -(-size // block)
-        for slot in range(min(2 * n, round(goal * n / size)) if size else 0):
-            key = mixing.ta.combine(np.array([no], np.uint64), np.array([slot // n], np.uint64))
-            b = int(mixing.permute(np.array([slot % n]), np.array([n]), key)[0])
-            taken.update(stream[b * block : (b + 1) * block])
+        left, whole, turn = min(2 * size, round(goal)), size // block, 0
+        while left:
+            key = mixing.ta.combine(np.full(whole, no, np.uint64), np.full(whole, turn, np.uint64))
+            order = [*mixing.permute(np.arange(whole), np.full(whole, whole), key), *[whole] * (size % block > 0)]
+            for b in order:
+                some = stream[b * block : (b + 1) * block][:left]
+                taken.update(some)
+                left -= len(some)
+            turn += 1
     return taken, dict(zip(names, goals)), dict(zip(names, sizes))
 
 
@@ -174,6 +178,28 @@ def test_mix_report_takes_exactly_these(spark, rows, docs):
         assert x.taken == want[rows.index(r)]
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(s * 10 + k, " ".join(f"w{s}x{k}y{j}" for j in range(50)), f"s{s:02}") for s in range(40) for k in range(3)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    took = collections.Counter()
+    for r in got:
+        took[r.doc_id // 10] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    goals = {r.doc_id // 10: r.target for r in got}
+    assert all(abs(took[s] - goal) <= 0.5 for s, goal in goals.items()) and abs(sum(goals.values()) - 9000) < 1e-6
+
+
+def test_quota():
+    for size in (1, 5, 16, 17, 150, 256, 1000):
+        for goal in (0, 1, 7.4, size / 2, size, 1.3 * size, 2 * size):
+            slots, last = mixing.quota(size, goal, 16, 2.0)
+            want, per, n = min(round(goal), 2 * size), -(-size // 16), 0
+            for k in range(slots):
+                n += last if k == slots - 1 else min(16, size - k % per * 16)
+            assert n == want
+    assert mixing.quota(0, 0, 16, 2.0) == (0, 0)
+
+
 def test_stages(spark, rows, docs, bench):
     kept = recognised(docs)
     assert kept.columns == docs.columns and multiset(kept.collect()) == multiset(language_stage(rows))
