@@ -212,3 +212,34 @@ def table_sentences(rows: Column) -> Column:
     """Rows of cells to lines: cells stripped, blanks dropped, at least two left."""
     cells = F.transform(rows, lambda r: F.filter(F.transform(r, stripped), lambda c: F.coalesce(c != "", F.lit(False))))
     return F.transform(F.filter(cells, lambda r: F.size(r) >= 2), lambda r: F.array_join(r, " "))
+
+
+#: The rewriting steps of Penn Treebank tokenising, in order: opening quotes, punctuation, final period, brackets, dashes, closing quotes, clitics.
+TREEBANK = (
+    (r'^"', "`` "), ("(``)", " $1 "), (r"""([ (\[{<])("|'')""", "$1 `` "),
+    ("([:,])([^0-9])", " $1 $2"), (r"([:,])\z", " $1 "), ("[.][.][.]", " ... "), ("([;@#$%&])", " $1 "),
+    (r"""([^.])([.])([\])}>"']*)[ \t\n\r]*\z""", "$1 $2$3 "), ("([?!])", " $1 "), ("([^'])' ", "$1 ' "),
+    (r"([\]\[(){}<>])", " $1 "), ("--", " -- "), (r"\z", " "), ("^", " "),
+    ('"', " '' "), (r"([^ \t\n\r])('')", "$1 $2 "), ("([^' ])('[sSmMdD]|') ", "$1 $2 "), ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+)
+#: Words that are two, and where the second begins.
+CONTRACTIONS = {"cannot": 4, "d'ye": 2, "gimme": 4, "gonna": 4, "gotta": 4, "lemme": 4, "more'n": 5, "wanna": 4, "'tis": 3, "'twas": 3}
+
+
+def treebank_tokens(sentence: Column) -> Column:
+    """Penn Treebank tokens of a sentence: clitics, brackets, quotes and the final period come off, inner hyphens and periods stay."""
+    for pattern, to in TREEBANK:
+        sentence = F.regexp_replace(sentence, pattern, to)
+
+    def parts(x: Column) -> Column:
+        low, out = F.lower(x), F.array(x)
+        for word, at in CONTRACTIONS.items():
+            out = F.when(low == word, F.array(F.substring(x, 1, at - 1), F.substring(x, at, 99))).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(F.filter(F.split(sentence, r"[ \t\n\r\f\x0B]+"), lambda x: x != ""), parts))
+
+
+def valid_tokens(words: Column) -> Column:
+    """Lower-cased words that begin with a letter of a-z and go on with such letters or digits."""
+    return F.filter(F.transform(words, F.lower), lambda x: x.rlike(TOKEN))

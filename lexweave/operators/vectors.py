@@ -42,13 +42,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     continue
                 x = np.stack(pdf["vector"].to_numpy())
                 score = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)) @ unit.T
-                ids, made = pdf["vec_id"].to_numpy(), []
-                for q in range(len(names)):
-                    s = score[:, q]
-                    left = np.flatnonzero(~np.isin(ids, list(exclude[q]))) if exclude[q] else np.arange(len(ids))
-                    top = left[np.lexsort((ids[left], -s[left]))[:k]]
-                    made.append(pd.DataFrame({"query": names[q], "vec_id": ids[top], "score": s[top]}))
-                yield pd.concat(made)
+                ids = pdf["vec_id"].to_numpy()
+                place = np.argsort(ids, kind="stable")
+                for q, left in enumerate(exclude):
+                    if left:
+                        gone = np.fromiter(left, ids.dtype)
+                        lo, hi = (np.searchsorted(ids[place], gone, side) for side in ("left", "right"))
+                        for a, b in zip(lo[hi > lo], hi[hi > lo]):
+                            score[place[a:b], q] = -np.inf
+                # All that reach the k-th best score of their query, equal ones too, and of these the first k by id.
+                least = np.partition(score, max(0, len(ids) - k), axis=0)[max(0, len(ids) - k)]
+                row, q = np.nonzero((score >= least) & (score > -np.inf))
+                order = np.lexsort((ids[row], -score[row, q], q))
+                row, q = row[order], q[order]
+                begins = np.flatnonzero(np.diff(q, prepend=-1))
+                rank = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q))))
+                row, q = row[rank < k], q[rank < k]
+                yield pd.DataFrame({"query": np.array(names)[q], "vec_id": ids[row], "score": score[row, q]})
 
         return vectors.select("vec_id", "vector").mapInPandas(best, "query long, vec_id long, score double")
 
@@ -113,8 +123,12 @@ def pca(vectors: DataFrame, k: int = 2) -> DataFrame:
     return made.crossJoin(F.broadcast(mean)).select("vec_id", *[((F.col("out")[c] - F.col(f"m{c}")) * sign[c]).alias("xyz"[c]) for c in range(k)])
 
 
-def tsne(points: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: int = 42) -> DataFrame:
-    """(grp, vec_id, x, y): t-SNE of each group, which is a word group of some dozens of points; groups run in parallel."""
+def tsne(points: DataFrame, perplexity: float = 30.0, steps: int = 1000, early: int = 250) -> DataFrame:
+    """(grp, vec_id, x, y): t-SNE of each group, which is a word group of some dozens of points; groups run in parallel.
+
+    It starts from the first two principal components; the perplexity is that given, or one less than
+    the points of a smaller group.  Distances count twelve times in the ``early`` steps.
+    """
 
     def project(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vector"].to_numpy())
@@ -122,7 +136,7 @@ def tsne(points: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: in
         if n < 3:
             return pd.DataFrame({"grp": pdf["grp"], "vec_id": pdf["vec_id"], "x": 0.0, "y": 0.0})
         d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
-        goal, p = np.log(max(1.5, min(perplexity, (n - 1) / 3))), np.zeros((n, n))
+        goal, p = np.log(min(perplexity, n - 1) * (1 - 1e-6)), np.zeros((n, n))
         for i in range(n):
             lo, hi, beta = 0.0, np.inf, 1.0 / max(1e-12, np.median(d2[i]))
             for _ in range(60):
@@ -145,8 +159,8 @@ def tsne(points: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: in
             t = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
             np.fill_diagonal(t, 0)
             q = np.maximum(t / t.sum(), 1e-12)
-            g = 4 * (((p * (12 if step < 100 else 1) - q) * t)[:, :, None] * (y[:, None] - y[None])).sum(1)
-            move = (0.5 if step < 100 else 0.8) * move - max(n / 12, 10) * g
+            g = 4 * (((p * (12 if step < early else 1) - q) * t)[:, :, None] * (y[:, None] - y[None])).sum(1)
+            move = (0.5 if step < early else 0.8) * move - max(n / 48, 10) * g
             y = y + move
             y -= y.mean(0)
         return pd.DataFrame({"grp": pdf["grp"], "vec_id": pdf["vec_id"], "x": y[:, 0], "y": y[:, 1]})

@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them all."""
 
-from . import cleaning, corpus, detection, models, names, vectors, web  # noqa: F401
+from . import cleaning, corpus, detection, models, names, punkt, vectors, web  # noqa: F401

@@ -57,6 +57,26 @@ def tokenize(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.tokens(F.col("text")).alias("tokens"))
 
 
+def treebank_sql(x: str) -> str:
+    for pattern, to in X.TREEBANK:
+        x = f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(to.replace('$', chr(92)))}, 'g')"
+    cut = " ".join(f"WHEN {_quoted(w)} THEN [substr(w, 1, {at - 1}), substr(w, {at})]" for w, at in X.CONTRACTIONS.items())
+    return rf"flatten(list_transform(list_filter(string_split_regex({x}, '[ \t\n\r\f\x0B]+'), lambda w: w <> ''), lambda w: CASE lower(w) {cut} ELSE [w] END))"
+
+
+#: Sentences that hold what the documents lack.
+SAID = ["They'll say \"it's 5.50, e.g. (well-known)\"...", "I cannot--gonna, lemme go!", "'Tis John's dog; don't we've", "a:b 10:30, c: d 'quoted' x?", "Stage-II vs. U.S.A.", "''", "end.)", "He said, \"no.\""]
+SAID_SQL = "(SELECT doc_id, (generate_subscripts({split}, 1) - 1)::INT AS sent_idx, replace(unnest({split}), '{dot}', '.') AS sentence FROM documents UNION ALL SELECT * FROM (VALUES {said}) s(doc_id, sent_idx, sentence))".format(
+    split=SPLIT_SQL.replace("(x,", "(text,"), dot=X.DOT, said=", ".join(f"({-k - 1}, 0, {_quoted(x)})" for k, x in enumerate(SAID)))
+
+
+@query("treebank_tokenize", f"SELECT doc_id, sent_idx, array_to_string({treebank_sql('sentence')}, ' ') AS tokens FROM {SAID_SQL} q")
+def treebank_tokenize(spark, sf_dir):
+    """Penn Treebank tokens of every sentence of the documents, and of literal ones."""
+    said = spark.createDataFrame([(-k - 1, 0, x) for k, x in enumerate(SAID)], "doc_id long, sent_idx int, sentence string")
+    return sentence_split(spark, sf_dir).union(said).select("doc_id", "sent_idx", F.array_join(X.treebank_tokens(F.col("sentence")), " ").alias("tokens"))
+
+
 @query("doc_sentences", f"WITH {SENTS} SELECT doc_id, sent_idx, key FROM g")
 def doc_sentences(spark, sf_dir):
     return sents(spark, sf_dir).select("doc_id", "sent_idx", "key")
