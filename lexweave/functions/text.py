@@ -162,7 +162,7 @@ def collapse_punctuation(t: Column) -> Column:
 
 
 def plain_spaces(t: Column) -> Column:
-    return F.translate(F.translate(t, "\u00A0", " "), "\u200B", "")
+    return F.replace(F.replace(t, F.lit("\u00A0"), F.lit(" ")), F.lit("\u200B"), F.lit(""))
 
 
 def clean(t: Column, hidden_emails: bool = True, phones: bool = True) -> Column:
@@ -198,9 +198,9 @@ def distinct_stripped_lines(t: Column) -> Column:
 
 def sentences(t: Column) -> Column:
     """Split after . ! ? and blanks before a capital or digit, but not after a single capital; a newline alone ends nothing."""
-    t = F.regexp_replace(t, r"(^|[^A-Za-z0-9_])([A-Z])\.", f"$1$2{DOT}")
-    t = F.regexp_replace(t, r"([.!?])[ \n\t]+([A-Z0-9])", f"$1{BREAK}$2")
-    return F.transform(F.split(t, BREAK), lambda x: F.translate(x, DOT, "."))
+    t = F.regexp_replace(t, r"(?<=[A-Z])(?<![A-Za-z0-9_][A-Z])\.", DOT)
+    t = F.regexp_replace(t, r"(?<=[.!?])[ \n\t]+(?=[A-Z0-9])", BREAK)
+    return F.transform(F.split(t, BREAK), lambda x: F.replace(x, F.lit(DOT), F.lit(".")))
 
 
 def tokens(t: Column) -> Column:

@@ -15,7 +15,9 @@ from .names import GRID
 
 TOK = "list_filter(list_transform(string_split_regex(sentence, '" + r"""[ \t\n\r\f\x0B\x{00A0}\[\](){}<>,;:"?!&@#$%]+""" + "'), lambda w: lower(trim(w, '.''`'))), lambda w: regexp_matches(w, '^[a-z][a-z0-9]+$'))"
 ALPHA_S = rf"list_filter(string_split_regex(sentence, '{S}+'), lambda w: regexp_matches(w, '^\p{{L}}+$'))"
-SPLIT_SQL = rf"string_split(regexp_replace(regexp_replace(x, '(^|[^A-Za-z0-9_])([A-Z])\.', '\1\2{X.DOT}', 'g'), '([.!?])[ \n\t]+([A-Z0-9])', '\1{X.BREAK}\2', 'g'), '{X.BREAK}')"
+#: Marked twice, as initials in a row share the character between them.
+_INITIALS = rf"regexp_replace({{}}, '(^|[^A-Za-z0-9_])([A-Z])\.', '\1\2{X.DOT}', 'g')"
+SPLIT_SQL = rf"string_split(regexp_replace({_INITIALS.format(_INITIALS.format('x'))}, '([.!?])[ \n\t]+([A-Z0-9])', '\1{X.BREAK}\2', 'g'), '{X.BREAK}')"
 #: doc_id, sent_idx, toks, key: sentences before removal of repeats across documents.
 SENTS = f"""
 c AS (SELECT doc_id, string_split({clean_sql('text')}, chr(10)) ls FROM documents),

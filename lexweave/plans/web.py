@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import markup as M
 from ..operators import pages as P
-from ..registry import query, table
+from ..registry import query, spread, table
 from .cleaning import _quoted
 
 URLS = [
@@ -133,7 +133,7 @@ def url_normalise(spark, sf_dir):
 
 def web(spark, sf_dir):
     """``pages`` with links between them, which they lack: after the text of page i come links to the pages 2i + 1, 2i + 2 and 7i mod n in several spellings, to addresses that are no page, and to PDFs."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     i, n = F.col("page_id"), F.lit(pages.count())
     to = pages.select(i.alias("to"), F.regexp_replace("url", "&", "&amp;").alias("address"))
     asked = pages.select("page_id", F.explode(F.array(2 * i + 1, 2 * i + 2, (7 * i) % n)).alias("to")).distinct()
@@ -152,7 +152,7 @@ WEB = """(SELECT page_id, url, html || coalesce(near, '') || '<div id=x><div><a
 
 
 def trees(spark, sf_dir):
-    return M.parsed(table(spark, sf_dir, "pages"))
+    return M.parsed(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 @query("html_links", f"WITH RECURSIVE {dom(WEB)}, l AS (SELECT page_id, href, {resolved_sql('href', 'url')} AS url FROM hr) SELECT page_id, href, url AS link, count(*) AS n FROM l WHERE contains({HOST}, 'example') AND NOT {SKIP_SQL} GROUP BY ALL")
