@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave import plans, registry  # noqa: F401
 from lexweave.functions import urls as U
 from lexweave.operators import markup as M
 from lexweave.operators import pages as P
@@ -177,3 +178,17 @@ def test_crawl_from_nowhere(spark):
 def test_site_takes_the_first_of_an_address(spark):
     pages = spark.createDataFrame([(2, "https://h.x/a/", "<p>two"), (1, "https://h.x/a#f", "<a href=z>"), (3, "https://h.x/b", None)], "page_id long, url string, html string")
     assert {(r.key, r.url, tuple(r.hrefs)) for r in P.site(pages).collect()} == {("https://h.x/a", "https://h.x/a#f", ("z",)), ("https://h.x/b", "https://h.x/b", ())}
+
+
+@pytest.mark.parametrize("name", ["html_content_area"])
+def test_references_need_their_semicolon(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    words = "some words that are English enough to be kept " * 3
+    pages = [f"<title>a &amp;&amp;&amp</title><p>{words}", f"<body><p>{words}&lt;b &amp;lt; &quot</p><p>{words}&amp;&am", f"<p>AT&T &copy &notit; {words}&", f"<article><p>{words}&quot;&ltx &amp;amp</article>"]
+    rows = [(k, f"https://h.x/{k}", html) for k, html in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(*[d[0] for d in want.description]).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
