@@ -180,7 +180,7 @@ def test_site_takes_the_first_of_an_address(spark):
     assert {(r.key, r.url, tuple(r.hrefs)) for r in P.site(pages).collect()} == {("https://h.x/a", "https://h.x/a#f", ("z",)), ("https://h.x/b", "https://h.x/b", ())}
 
 
-@pytest.mark.parametrize("name", ["html_content_area", "html_strip_boilerplate", "html_text"])
+@pytest.mark.parametrize("name", ["html_content_area", "html_strip_boilerplate", "html_text", "page_save_filter"])
 def test_references_need_their_semicolon(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     words = "some words that are English enough to be kept " * 3
