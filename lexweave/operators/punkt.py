@@ -13,14 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
+from ..functions.text import SPACE, let
 from ..storage import save
 
 #: Published thresholds: abbreviations, collocations, sentence starters; and the assumed share of periods after an abbreviation.
 ABBREVIATION, COLLOCATION, STARTER, PERIOD = 0.3, 7.88, 30.0, 0.99
-CLOSERS = r"""["')\]}»”’]*"""
-ENDS = r"[.!?]" + CLOSERS + r"\z"
-DOTS = r"[.][.]" + CLOSERS + r"\z"
+CLOSERS = "\"')]}»”’"
+ENDS = r"""[.!?]["')\]}»”’]*\z"""
+DOTS = r"""[.][.]["')\]}»”’]*\z"""
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+\z"
 NUMBER = r"^[0-9.,-]*[0-9][0-9.,-]*\z"
 
@@ -44,16 +44,35 @@ def first_letter(raw: Column) -> Column:
     return F.substring(F.regexp_replace(raw, r"^[^\p{L}\p{N}]+", ""), 1, 1)
 
 
+def _before_closers(raw: Column) -> Column:
+    return F.rtrim(raw, F.lit(CLOSERS))
+
+
+def ends(raw: Column) -> Column:
+    """Whether a token ends in a sentence mark, before any closing quotes and brackets."""
+    return F.right(_before_closers(raw), F.lit(1)).isin(".", "!", "?")
+
+
 def tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, raw, w, dot, ends, dots, initial, upper, lower, before_ends, after, after_w, after_upper, after_lower): every token with its neighbours; no window."""
-    each = documents.select("doc_id", F.explode(F.transform(words(F.col("text")), lambda x, k: F.struct(k.alias("pos"), x.alias("raw")))).alias("t"), words(F.col("text")).alias("all"))
-    each = each.select("doc_id", "t.*", F.get("all", F.col("t.pos") - 1).alias("prev"), F.get("all", F.col("t.pos") + 1).alias("after"))
+    """(doc_id, all): the tokens of each document, one array."""
+    return documents.select("doc_id", words(F.col("text")).alias("all"))
+
+
+def marks(seen: DataFrame) -> DataFrame:
+    """(doc_id, pos, w, dot, ends, dots, after_w, after_upper, after_lower): the tokens that end in a sentence mark or in a period and have one after them, and a row at -1 for the start of each document.
+
+    They are picked inside the arrays; no row holds more than its two tokens.
+    """
+    def near(all_: Column) -> Column:
+        may = lambda x: x.contains(".") | x.contains("!") | x.contains("?")
+        places = F.filter(F.when(F.size(all_) > 0, F.sequence(F.lit(-1), F.size(all_) - 2)), lambda k: (k < 0) | may(F.get(all_, k)))
+        return F.transform(places, lambda k: F.struct(k.alias("pos"), F.when(k < 0, "").otherwise(F.get(all_, k)).alias("raw"), F.get(all_, k + 1).alias("after")))
+
     raw, after = F.col("raw"), F.col("after")
-    return each.select(
-        "doc_id", "pos", "raw", bare(raw).alias("w"), kind(raw).endswith(".").alias("dot"), raw.rlike(ENDS).alias("ends"), raw.rlike(DOTS).alias("dots"),
-        first_letter(raw).rlike(r"^\p{Lu}").alias("upper"), first_letter(raw).rlike(r"^\p{Ll}").alias("lower"), F.coalesce(F.col("prev").rlike(ENDS), F.lit(True)).alias("opens"),
-        "prev", "after", bare(after).alias("after_w"), first_letter(after).rlike(r"^\p{Lu}").alias("after_upper"), first_letter(after).rlike(r"^\p{Ll}").alias("after_lower"),
-    )
+    return seen.select("doc_id", F.explode(let(F.col("all"), near)).alias("t")).select("doc_id", "t.*").select(
+        "doc_id", "pos", bare(raw).alias("w"), kind(raw).endswith(".").alias("dot"), ends(raw).alias("ends"), _before_closers(raw).endswith("..").alias("dots"),
+        bare(after).alias("after_w"), first_letter(after).rlike(r"^\p{Lu}").alias("after_upper"), first_letter(after).rlike(r"^\p{Ll}").alias("after_lower"),
+    ).filter("ends or dot or pos < 0")
 
 
 def likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
@@ -69,8 +88,9 @@ def likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
 
 @dataclass
 class Model:
-    """Tables of what was found: abbreviations (w), ortho (w, lower, upper, mid_upper, opens_lower), starters (w) and collocations (w, after_w)."""
+    """Tables of what was found: marks (as ``marks`` gives them), abbreviations (w), ortho (w, lower, upper, mid_upper, opens_lower), starters (w) and collocations (w, after_w)."""
 
+    marks: DataFrame
     abbreviations: DataFrame
     ortho: DataFrame
     starters: DataFrame
@@ -78,11 +98,12 @@ class Model:
 
 
 def counted(seen: DataFrame) -> DataFrame:
-    """(w, c_dot, c, lower, upper, mid_upper): counts of each type."""
-    count = lambda of: F.sum(F.when(of, 1).otherwise(0))
-    return seen.groupBy("w").agg(
-        count(F.col("dot")).alias("c_dot"), F.count("*").alias("c"), count(F.col("lower")).alias("lower"), count(F.col("upper")).alias("upper"), count(F.col("upper") & ~F.col("opens")).alias("mid_upper"),
-    )
+    """(w, c_dot, c, lower, upper): counts of each type.  Equal tokens are counted first, so that types are found once for each."""
+    raw = F.col("raw")
+    alike = seen.select(F.explode("all").alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    alike = alike.select("n", bare(raw).alias("w"), kind(raw).endswith(".").alias("dot"), first_letter(raw).rlike(r"^\p{Lu}").alias("upper"), first_letter(raw).rlike(r"^\p{Ll}").alias("lower"))
+    count = lambda of: F.sum(F.when(F.col(of), F.col("n")).otherwise(0)).alias(of)
+    return alike.groupBy("w").agg(count("dot").alias("c_dot"), F.sum("n").alias("c"), count("lower"), count("upper"))
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -99,30 +120,33 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 
 
 def learn(seen: DataFrame) -> Model:
-    """``seen`` as ``tokens`` gives it, saved."""
-    counts = save(counted(seen))
+    """``seen`` as ``tokens`` gives it; read twice, of which few rows are kept."""
+    counts, seen = save(counted(seen)), save(marks(seen))
     found = save(abbreviations(counts))
     n = F.lit(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     known = found.select("w", F.lit(True).alias("abbr"))
 
     # Ends of the first pass: marks after anything but an abbreviation.
-    ends = seen.filter("ends and after is not null").select("w", "dot", "dots", "after_w", "after_lower").join(known, "w", "left")
-    breaks = save(ends.filter("not dots and not (dot and coalesce(abbr, false))").groupBy("after_w").agg(F.count("*").alias("both"), F.sum(F.when(F.col("after_lower"), 1).otherwise(0)).alias("opens_lower")))
+    last = seen.filter("ends").select("w", "dot", "dots", "after_w", "after_lower").join(known, "w", "left")
+    breaks = save(last.filter("not dots and not (dot and coalesce(abbr, false))").groupBy("after_w").agg(F.count("*").alias("both"), F.sum(F.when(F.col("after_lower"), 1).otherwise(0)).alias("opens_lower")))
     at = F.lit(breaks.agg(F.coalesce(F.sum("both"), F.lit(0))).first()[0])
     lone = counts.filter("w <> '' and w <> '##number##'").select("w", "c").join(breaks.withColumnRenamed("after_w", "w"), "w")
     starters = lone.filter((likelihood(at, F.col("c"), F.col("both"), n) >= STARTER) & (F.try_divide(n, at) > F.col("c") / F.col("both"))).select("w")
 
-    special = seen.filter("dot and after is not null").join(known, "w", "left").filter((F.col("abbr").isNotNull()) | F.col("w").rlike(r"^\p{L}\z") | (F.col("w") == "##number##"))
+    special = seen.filter("dot").join(known, "w", "left").filter((F.col("abbr").isNotNull()) | F.col("w").rlike(r"^\p{L}\z") | (F.col("w") == "##number##"))
     pairs = special.filter("after_w <> ''").groupBy("w", "after_w").agg(F.count("*").alias("both"))
     pairs = pairs.join(counts.select("w", F.col("c").alias("ca")), "w").join(counts.select(F.col("w").alias("after_w"), F.col("c").alias("cb")), "after_w")
     together = pairs.filter((likelihood(F.col("ca"), F.col("cb"), F.col("both"), n) >= COLLOCATION) & (F.try_divide(n, F.col("ca")) > F.col("cb") / F.col("both"))).select("w", "after_w")
-    ortho = counts.join(breaks.select(F.col("after_w").alias("w"), "opens_lower"), "w", "left").select("w", "lower", "upper", "mid_upper", F.coalesce("opens_lower", F.lit(0)).alias("opens_lower"))
-    return Model(found.select("w"), save(ortho), save(starters), save(together))
+    # Upper-case tokens that begin neither a document nor what follows a mark: all but those that do.
+    begin = seen.filter("(ends or pos < 0) and after_upper").groupBy(F.col("after_w").alias("w")).agg(F.count("*").alias("begin_upper"))
+    ortho = counts.join(breaks.select(F.col("after_w").alias("w"), "opens_lower"), "w", "left").join(begin, "w", "left")
+    ortho = ortho.select("w", "lower", "upper", (F.col("upper") - F.coalesce("begin_upper", F.lit(0))).alias("mid_upper"), F.coalesce("opens_lower", F.lit(0)).alias("opens_lower"))
+    return Model(seen, found.select("w"), save(ortho), save(starters), save(together))
 
 
-def breaks(seen: DataFrame, model: Model) -> DataFrame:
+def breaks(model: Model) -> DataFrame:
     """(doc_id, pos): tokens that end a sentence, the last of a document not among them."""
-    ends = seen.filter("ends and after is not null").join(model.abbreviations.withColumn("abbr", F.lit(True)), "w", "left").withColumn("abbr", F.coalesce("abbr", F.lit(False)) & F.col("dot"))
+    ends = model.marks.filter("ends").join(model.abbreviations.withColumn("abbr", F.lit(True)), "w", "left").withColumn("abbr", F.coalesce("abbr", F.lit(False)) & F.col("dot"))
     initial, number = F.col("w").rlike(r"^\p{L}\z"), F.col("w") == "##number##"
     ends = ends.withColumn("initial", initial & F.col("dot")).withColumn("number", number & F.col("dot"))
     plain = ends.filter("not abbr and not dots and not initial and not number").select("doc_id", "pos")
@@ -148,14 +172,16 @@ def breaks(seen: DataFrame, model: Model) -> DataFrame:
 def sentences(documents: DataFrame, at: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, sentence): the words of each document between its breaks, joined by blanks."""
     cuts = at.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("cuts"))
-    each = documents.select("doc_id", words(F.col("text")).alias("all")).join(cuts, "doc_id", "left").filter(F.size("all") > 0)
-    ends = F.concat(F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.size("all") - 1))
-    parts = F.transform(ends, lambda e, k: F.struct(F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).alias("lo"), e.alias("hi")))
-    cut = each.select("doc_id", "all", F.posexplode(parts).alias("sent_idx", "p"))
-    return cut.select("doc_id", "sent_idx", F.array_join(F.slice("all", F.col("p.lo") + 1, F.col("p.hi") - F.col("p.lo") + 1), " ").alias("sentence"))
+    each = documents.join(cuts, "doc_id", "left").select("doc_id", words(F.col("text")).alias("all"), F.coalesce("cuts", F.array().cast("array<int>")).alias("cuts"))
+
+    def between(all_: Column, ends_: Column) -> Column:
+        lo = lambda k: F.when(k == 0, 0).otherwise(F.get(ends_, k - 1) + 1)
+        return F.transform(ends_, lambda e, k: F.array_join(F.slice(all_, lo(k) + 1, e - lo(k) + 1), " "))
+
+    parts = let(F.col("all"), lambda a: F.when(F.size(a) > 0, let(F.concat(F.col("cuts"), F.array(F.size(a) - 1)), lambda ends_: between(a, ends_))))
+    return each.select("doc_id", F.posexplode(parts).alias("sent_idx", "sentence"))
 
 
 def split(documents: DataFrame) -> DataFrame:
     """Sentences of ``documents`` (doc_id, text) under what their own tokens show."""
-    seen = save(tokens(documents))
-    return sentences(documents, save(breaks(seen, learn(seen))))
+    return sentences(documents, save(breaks(learn(tokens(documents)))))

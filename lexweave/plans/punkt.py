@@ -82,7 +82,7 @@ def punkt_abbreviations(spark, sf_dir):
 @query("punkt_starters", f"WITH {MODEL} SELECT w, '' AS after_w FROM kd UNION ALL SELECT w, after_w FROM ko")
 def punkt_starters(spark, sf_dir):
     """Frequent sentence starters, and collocations across a period."""
-    model = P.learn(save(P.tokens(documents(spark, sf_dir))))
+    model = P.learn(P.tokens(documents(spark, sf_dir)))
     return model.starters.select("w", F.lit("").alias("after_w")).union(model.collocations)
 
 

@@ -46,3 +46,18 @@ def test_likelihood_of_independent_events_is_nothing(spark):
 def test_nulls_and_nothing(spark):
     assert split(spark, None, "", "  \n", "one")[3] == ["one"]
     assert P.split(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_ends_and_dots_are_those_of_the_patterns(spark):
+    raw = F.col("raw")
+    rows = spark.createDataFrame([(x + c + y,) for x in ("", "a", "a.", "..", ".a", "a.b", "é") for c in ("", ".", "!", "?", "..", ".!") for y in ("", '"', "')", "]}", "»”’", "-", "a", '."')], "raw string")
+    assert rows.filter((P.ends(raw) != raw.rlike(P.ENDS)) | (P._before_closers(raw).endswith("..") != raw.rlike(P.DOTS))).count() == 0
+
+
+def test_no_row_holds_more_than_its_tokens(spark):
+    text = "Dr. Rao met etc. and so on. He left. " * 4000
+    seen = P.tokens(spark.createDataFrame([(1, text)], KIND))
+    for made in (P.counted(seen), P.marks(seen)):
+        made = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+        assert made and not any("all#" in x.split("), [", 1)[-1] for x in made)
+    assert P.counted(seen).agg(F.sum("c")).first()[0] == 36_000
