@@ -58,3 +58,9 @@ def test_exactly_k_negatives_by_the_law(spark):
         for w, q in rest.items():
             assert abs(n[positive, w] / 60_000 - q / sum(rest.values())) < 0.01
     assert V.negatives(positives, V.noise(counts.limit(1))).count() == 0
+
+
+def test_a_radius_is_drawn_once(spark):
+    sents = spark.createDataFrame([(1, 0, ["a", "b", "c"])], "doc_id long, sent_idx int, tokens array<string>")
+    pairs = V.context_pairs(sents, 5, dynamic=True)
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
