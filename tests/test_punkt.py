@@ -61,3 +61,9 @@ def test_no_row_holds_more_than_its_tokens(spark):
         made = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
         assert made and not any("all#" in x.split("), [", 1)[-1] for x in made)
     assert P.counted(seen).agg(F.sum("c")).first()[0] == 36_000
+
+
+def test_only_marks_are_saved(spark):
+    seen = P.tokens(spark.createDataFrame([(1, "Dr. Rao left the house. He said so"), (2, "one"), (3, "")], KIND))
+    kept = sorted(tuple(r) for r in P.learn(seen).marks.select("doc_id", "pos", "w", "after_w").collect())
+    assert kept == [(1, -1, "", "dr"), (1, 0, "dr", "rao"), (1, 4, "house", "he"), (2, -1, "", "one")]
