@@ -67,3 +67,11 @@ def test_only_marks_are_saved(spark):
     seen = P.tokens(spark.createDataFrame([(1, "Dr. Rao left the house. He said so"), (2, "one"), (3, "")], KIND))
     kept = sorted(tuple(r) for r in P.learn(seen).marks.select("doc_id", "pos", "w", "after_w").collect())
     assert kept == [(1, -1, "", "dr"), (1, 0, "dr", "rao"), (1, 4, "house", "he"), (2, -1, "", "one")]
+
+
+def test_cuts_do_not_carry_the_document(spark):
+    text = "He left the house. She said so. " * 5000
+    parts = P.sentences(spark.createDataFrame([(1, text)], KIND), spark.range(4999).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") * 7 + 3).cast("int").alias("pos")))
+    plan = [x for x in parts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert plan and not any("all#" in x.split("), [", 1)[-1] for x in plan)
+    assert parts.agg(F.count("*"), F.sum(F.size(F.split("sentence", " ")))).first()[:] == (5000, 35_000)
