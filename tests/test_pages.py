@@ -192,3 +192,15 @@ def test_references_need_their_semicolon(spark, tmp_path, name):
     want = con.execute(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, str(tmp_path)).select(*[d[0] for d in want.description]).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_text_of_pages_cut_inside_a_tag(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    words = "some words that are English enough to be kept " * 3
+    pages = [f"<body><p>{words}</p", f"<body><p>{words}<foot", f"<p>{words}<", f"<p>{words} a<b and <i>{words}</i", f"<div><p>{words}<!-- no end", f"<div>{words}<script>var t='</p>'", f"<div>{words}<script>x</script>{words}<!DOC"]
+    spark.createDataFrame([(k, f"https://h.x/{k}", html) for k, html in enumerate(pages)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["html_text"])
+    got = registry.QUERIES["html_text"](spark, str(tmp_path)).select(*[d[0] for d in want.description]).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
